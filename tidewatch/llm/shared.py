@@ -42,9 +42,9 @@ def row_sig(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def same_row(a: DataFrame, b: DataFrame) -> Column:
-    """The join condition on (doc_id, sig); a null doc_id equals a null doc_id."""
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["sig"] == b["sig"])
+def row_key(sig: Column) -> Column:
+    """One exact join key for (doc_id, sig), so that a join and a later dedup share one shuffle; null ids are equal."""
+    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.hex(sig))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
