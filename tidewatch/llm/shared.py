@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Text bytes that one numpy pass holds; a longer document is a pass of its own.
 PASS_BYTES = 1 << 20
@@ -79,12 +81,13 @@ def passes(column: pa.Array, most: int = PASS_BYTES):
         i = j
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def mapped(df: DataFrame, kernel, schema: str) -> DataFrame:
     """mapInArrow of a kernel that takes a RecordBatch and returns columns (or yields several lists of them)."""
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
