@@ -33,6 +33,8 @@ SAMPLE = 32_768
 SHARD, BLOCK = 8_192, 65_536
 #: Below so many, a shard's own tree compares all.
 LEAF = 1_024
+#: The bits of each byte, lowest first.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -52,15 +54,13 @@ def fingerprints(texts: list[bytes], width: int = SHINGLE) -> np.ndarray:
         starts = [0, *ends[: len(words) - width].tolist()]
         hashes.extend([digest(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)])
         counts[i] = len(starts)
-    out = np.zeros(len(texts), np.uint64)
-    full = np.flatnonzero(counts)
-    if len(full):
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        first = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-        most = 2 * ones > counts[full][:, None]
-        out[full] = np.packbits(most, axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out
+    ones = np.zeros((len(texts), 64))
+    if hashes:
+        of = np.repeat(np.arange(len(texts)) * 256, counts)
+        for k, byte in enumerate(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8).T):
+            seen = np.bincount(of + byte, minlength=256 * len(texts)).reshape(-1, 256)
+            ones[:, 8 * k : 8 * k + 8] = seen @ _BITS
+    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def fingerprint_rows(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -115,25 +115,57 @@ class VantageTree:
         return index, node - ((1 << self.depth) - 1), home
 
 
-def _spread(fp: np.ndarray, radius: int, edges: list) -> None:
-    """Components among few fingerprints, by growing one at a time over those not reached yet."""
-    linked = np.zeros(len(fp), bool)
-    step = max(1, (1 << 19) // max(1, len(fp)))
-    for i in range(0, len(fp), step):
-        near = np.bitwise_count(fp[i : i + step, None] ^ fp[None, :]) <= radius
-        linked[i : i + step] = near.sum(axis=1) > 1
-    left = fp[linked]
+def _spread(home: np.ndarray, visit: np.ndarray, radius: int, edges: list) -> None:
+    """Edges that connect what the links of home with home and visit connect, by growing over those not reached yet.
+
+    A home looks for others of both kinds, a visitor for homes only; whoever is reached is not looked for
+    again, so copies of one text cost one step and no list of pairs.
+    """
+    all_of = np.concatenate([home, visit])
+    linked, met = np.zeros(len(home), bool), np.zeros(len(all_of), bool)
+    step = max(1, (1 << 18) // len(all_of))
+    for i in range(0, len(home), step):
+        near = np.bitwise_count(home[i : i + step, None] ^ all_of[None, :]) <= radius
+        own = near.sum(axis=1) > 1
+        linked[i : i + step] = own
+        met |= near[own].any(axis=0)
+    left, guests = home[linked], visit[met[len(home) :]]
     while len(left):
         root, left = left[0], left[1:]
-        queue = [root]
-        while queue and len(left):
-            at = queue.pop()
+        queue = [(root, True)]
+        while queue:
+            at, is_home = queue.pop()
             near = np.bitwise_count(left ^ at) <= radius
             if near.any():
-                reached = left[near]
+                reached, left = left[near], left[~near]
                 edges.append(np.stack([np.full(len(reached), root), reached]))
-                queue.extend(reached)
-                left = left[~near]
+                queue.extend((x, True) for x in reached)
+            if is_home and len(guests):
+                near = np.bitwise_count(guests ^ at) <= radius
+                if near.any():
+                    reached, guests = guests[near], guests[~near]
+                    edges.append(np.stack([np.full(len(reached), root), reached]))
+                    queue.extend((x, False) for x in reached)
+
+
+def forest(edges: list[np.ndarray]) -> np.ndarray:
+    """One edge for each node that is not the smallest of its component: (root, node)."""
+    if not edges:
+        return np.zeros((2, 0), np.uint64)
+    nodes, at = np.unique(np.concatenate(edges, axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b, label[a], label[b]):
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = label != np.arange(len(nodes))
+    return np.stack([nodes[label[other]], nodes[other]])
 
 
 def links(home: np.ndarray, visit: np.ndarray, radius: int, edges: list, rng: np.random.Generator) -> None:
@@ -151,7 +183,7 @@ def links(home: np.ndarray, visit: np.ndarray, radius: int, edges: list, rng: np
             links(home[inner], visit[dv <= r + radius], radius, edges, rng)
             links(home[~inner], np.concatenate([visit[dv > r - radius], home[inner & (d > r - radius)]]), radius, edges, rng)
             return
-    _spread(np.unique(np.concatenate([home, visit])), radius, edges)
+    _spread(home, visit, radius, edges)
 
 
 def shard_edges(distinct: DataFrame, radius: int, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -181,7 +213,7 @@ def shard_edges(distinct: DataFrame, radius: int, shard: int = SHARD, block: int
         fp, home = t["fp"].to_numpy().view(np.uint64), t["home"].to_numpy(zero_copy_only=False).astype(bool)
         edges: list = []
         links(np.sort(fp[home]), np.sort(fp[~home]), radius, edges, np.random.default_rng(len(fp)))
-        both = np.concatenate(edges, axis=1).view(np.int64) if edges else np.zeros((2, 0), np.int64)
+        both = forest(edges).view(np.int64)
         return pa.table({"a": both[0], "b": both[1]})
 
     return cells.groupBy("shard", "i", "j").applyInArrow(join, "a long, b long")
