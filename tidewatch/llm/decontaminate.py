@@ -9,7 +9,7 @@ substitutions outweighed PENALTY to one.
 
 Tokens are runs of letters and digits, in lower case. Defined cases: null and token-free texts have no
 seeds; items with fewer tokens than a mask spans give no seeds under it, and items under the shortest mask
-are too short to be told from chance and match nothing; items with equal tokens count as one, under the
+are too short to be told from chance and match nothing; a null item_id is an id like others; items with equal tokens count as one, under the
 smallest item_id; rows that repeat a doc_id are told apart by their text, and equal rows give equal
 results once; other columns are ignored; an empty table on either side gives no overlap.
 """
@@ -72,8 +72,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, le
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", row_key(row_sig()))
     bench = cut(items(benchmark))
     found = cut(hits(rows, bench))
-    bench_side = bench.select("item_id", F.col("hashes").alias("item"))
-    laid = found.join(F.broadcast(bench_side) if bench_side.count() <= BROADCAST // 64 else bench_side, "item_id")
+    side = bench.select(F.col("item_id").alias("__item"), F.col("hashes").alias("item"))
+    laid = found.join(F.broadcast(side) if side.count() <= BROADCAST // 64 else side, F.col("item_id").eqNullSafe(F.col("__item")))
     own = rows.join(found.select("key").distinct(), "key", "left_semi")
     own = own.groupBy("key").agg(F.first("text").alias("text")).select("key", F.transform(tokens(), lambda w: F.xxhash64(w)).alias("hashes"))
     both = laid.join(own, "key")
