@@ -32,7 +32,7 @@ ROWS, BLOCK_BITS, LEAST_BITS, MOST_BITS = 2, 20, 16, 29
 #: Bytes of text for one sketch cell: about a quarter of an anchor.
 BYTES_A_CELL = 8
 #: Anchors or flagged windows that a task gathers before it passes them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Bytes of text for one shard of the exact grouping, and the fewest shards.
 SHARD_BYTES, LEAST_SHARDS = 64 << 20, 64
 _LAST = np.iinfo(np.int64).max
