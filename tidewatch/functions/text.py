@@ -166,7 +166,7 @@ def fenced_json(x: Column) -> Column:
 
 def fixed2(x: Column) -> Column:
     """Two decimals, or a dash for null."""
-    return F.coalesce(F.format_string("%.2f", x), F.lit("—"))
+    return F.when(x.isNull(), "—").otherwise(F.format_string("%.2f", x))
 
 
 def canonical_url(url: Column) -> Column:

@@ -156,13 +156,13 @@ def gated(df: DataFrame, cluster: str, vector: str, least: int = MIN_ARTICLES, c
 def silhouette(df: DataFrame, cluster: str, vector: str, key: str) -> DataFrame:
     """(key, cluster, silhouette) by cosine distance for unit vectors: a member's mean distance to a cluster is one less its dot
     with the cluster's mean, so each is compared with the clusters' sums and not with all members. A singleton has 0."""
-    sums = vector_sums(df, cluster, vector).select(F.col(cluster).alias("c"), "n", "sum")
+    sums = vector_sums(df, cluster, vector).select(F.col(cluster).alias("__c"), F.col("n").alias("__n"), F.col("sum").alias("__sum"))
     rows = df.select(key, cluster, vector).join(F.broadcast(sums))  # rows by clusters; clusters are few
-    own = F.col("c") == F.col(cluster)
-    similarity = dot(F.col(vector), F.col("sum"))
+    own, n = F.col("__c") == F.col(cluster), F.col("__n")
+    similarity = dot(F.col(vector), F.col("__sum"))
     self_dot = dot(F.col(vector), F.col(vector))
-    away = F.when(own, F.when(F.col("n") > 1, 1 - (similarity - self_dot) / (F.col("n") - 1))).otherwise(1 - similarity / F.col("n"))
-    rows = rows.select(key, cluster, own.alias("own"), "n", away.alias("away"))
+    away = F.when(own, F.when(n > 1, 1 - (similarity - self_dot) / (n - 1))).otherwise(1 - similarity / n)
+    rows = rows.select(key, cluster, own.alias("own"), away.alias("away"))
     both = rows.groupBy(key, cluster).agg(F.max(F.when(F.col("own"), F.col("away"))).alias("a"), F.min(F.when(~F.col("own"), F.col("away"))).alias("b"))
     return both.select(key, cluster, F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
 

@@ -175,39 +175,35 @@ def years(since: date, until: date, delay_days: int = 365) -> list[tuple[date, d
     return [(max(since, date(y, 1, 1)), min(end, date(y, 12, 31))) for y in range(since.year, end.year + 1) if since <= end]
 
 
-class _Page(InputPartition):
-    def __init__(self, number: int):
-        super().__init__(number)
+def paged_source(name: str, fetch: Callable[[int], list[tuple]], schema: str = RAW) -> type[DataSource]:
+    """A paged service as a source to register: one partition a page; option pages. fetch takes a page number and returns
+    its rows; a short page is simply the last with any."""
 
+    class Page(InputPartition):
+        pass
 
-class PagedSource(DataSource):
-    """A paged service as a source: one partition a page. Options: pages, and fetch, the name of a registered fetcher.
+    class Reader(DataSourceReader):
+        def __init__(self, pages: int):
+            self.pages = pages
 
-    A fetcher takes a page number and returns rows; a short page is simply the last with any.
-    """
-
-    fetchers: dict[str, Callable[[int], list[tuple]]] = {}
-
-    @classmethod
-    def name(cls) -> str:
-        return "tidewatch_paged"
-
-    def schema(self) -> str:
-        return self.options.get("schema", RAW)
+        def partitions(self) -> list[InputPartition]:
+            return [Page(i) for i in range(self.pages)]
 
-    def reader(self, schema) -> DataSourceReader:
-        return _PagedReader(int(self.options.get("pages", "1")), self.fetchers[self.options["fetch"]])
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            yield from fetch(partition.value)
 
+    class Paged(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
 
-class _PagedReader(DataSourceReader):
-    def __init__(self, pages: int, fetch: Callable[[int], list[tuple]]):
-        self.pages, self.fetch = pages, fetch
+        def schema(self) -> str:
+            return schema
 
-    def partitions(self) -> list[InputPartition]:
-        return [_Page(i) for i in range(self.pages)]
+        def reader(self, schema) -> DataSourceReader:
+            return Reader(int(self.options.get("pages", "1")))
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from self.fetch(partition.value)
+    return Paged
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
