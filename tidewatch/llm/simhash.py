@@ -30,7 +30,7 @@ SEED, SHINGLE, RADIUS = 42, 4, 4
 #: Fingerprints that the tree over all shards is fitted on, at most.
 SAMPLE = 32_768
 #: Distinct fingerprints meant for one shard, and the most in one block of an overfull one.
-SHARD, BLOCK = 16_384, 65_536
+SHARD, BLOCK = 32_768, 1 << 20
 #: Below so many, a shard's own tree compares all.
 LEAF = 1_024
 #: The bits of each byte, lowest first.
