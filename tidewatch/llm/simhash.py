@@ -228,7 +228,7 @@ def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     distinct = cut(prints.groupBy("fp").agg(first))
     roots = cut(connected_components(shard_edges(distinct, radius)))
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = placed.groupBy("root").agg(F.min("first").alias("first"))
+    ids = cut(placed.groupBy("root").agg(F.min("first").alias("first")))  # so that a hot root's rows can be split in the join
     return placed.select("fp", "root").join(ids, "root").select(
         "fp", F.col("first.doc_id").alias("component_id"), F.col("first.doc_id").alias("keep_id"), F.col("first.sig").alias("keep_sig")
     )
