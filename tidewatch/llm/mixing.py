@@ -32,7 +32,7 @@ REPEATS = 3
 COSTS = (1, 3, 5)
 SEED = 8
 #: Buckets of the seeded order; one of them is ordered exactly.
-BUCKETS = 1 << 14
+BUCKETS = 1 << 12
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def select(rows: DataFrame, pattern: str, quota: DataFrame, seed: int = SEED) ->
     the quota ends within one document, which takes what is left. quota: pattern, words; one row a pattern.
     """
     order = F.xxhash64(F.lit(seed), "doc_id", "sig")
-    rows = rows.withColumn("__order", order).withColumn("__bucket", F.shiftrightunsigned("__order", 50).cast("int"))
+    rows = rows.withColumn("__order", order).withColumn("__bucket", F.shiftrightunsigned("__order", 52).cast("int"))
     sums = rows.groupBy(pattern, "__bucket").agg(F.sum("size").alias("words_in"))
     at = Window.partitionBy(pattern).orderBy("__bucket")  # at most BUCKETS rows a pattern
     sums = sums.withColumn("before", F.sum("words_in").over(at) - F.col("words_in")).withColumn("total", F.sum("words_in").over(Window.partitionBy(pattern)))
