@@ -310,3 +310,19 @@ def test_pipeline_keeps_clean_documents(spark, docs):
 
     kept = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
     assert kept and kept <= set(docs)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_counterparts(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    plain = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    sql = con.sql(queries.oracle_sql()[name])
+    assert sorted(sql.columns) == columns
+    got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
+    assert got and got == sorted(tuple(plain(dict(zip(sql.columns, r, strict=True))[c]) for c in columns) for r in sql.fetchall())

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cotrain, decontaminate, langmix, licenses, mixing, quality_rules, secrets, simhash, substring_dedup, warc
+from .oracles import oracle_sql as _oracle_sql
 from .shared import table
 
 
@@ -61,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _oracle_sql()
