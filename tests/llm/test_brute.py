@@ -266,6 +266,15 @@ def test_substrings(spark, docs):
     assert {r.doc_id: tuple(r)[1:] for r in rows(spark, "op10_substring_dedup")} == expected
 
 
+@pytest.mark.parametrize("most_bits", [10, 14])
+def test_full_sketch_loses_nothing(spark, most_bits):
+    from tidewatch.llm.substring_dedup import substring_dedup
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    shown = lambda df: sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in df.collect())
+    assert shown(substring_dedup(docs, most_bits, 8)) == shown(substring_dedup(docs))
+
+
 def test_substrings_within_one_text(spark):
     from tidewatch.llm.substring_dedup import substring_dedup
 

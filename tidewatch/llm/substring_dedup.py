@@ -27,10 +27,12 @@ from .shared import arrow_schema, as_batch, passes, row_key, row_sig
 from .words import Words, mix, window_hash
 
 WINDOW, ANCHOR = 20, 8
-#: Sketch rows; cells of a merged block; the fewest and most bits that number the cells of a row (two bitmaps of 64 MB at most).
-ROWS, BLOCK_BITS, LEAST_BITS, MOST_BITS = 2, 20, 16, 29
-#: Bytes of text for one sketch cell: about a quarter of an anchor.
-BYTES_A_CELL = 8
+#: Sketch rows; bits that number a block's cells; the fewest bits that number a row's cells.
+ROWS, BLOCK_BITS, LEAST_BITS = 2, 18, 20
+#: Bits that number the cells of a bitmap of repeated cells, at most (two bitmaps of 64 MB), and the sketch's bits beyond it.
+MOST_BITS, BEYOND = 29, 6
+#: Bytes of text for one sketch cell: about an eighth of an anchor.
+BYTES_A_CELL = 6
 #: Anchors or flagged windows that a task gathers before it passes them on.
 FLUSH = 1 << 20
 #: Bytes of text for one shard of the exact grouping, and the fewest shards.
@@ -74,11 +76,24 @@ def _gathered(batches, arrow, take, flush):
         yield as_batch(cols, arrow)
 
 
-def sketch(rows: DataFrame, bits: int) -> list[np.ndarray]:
+class Layout:
+    """How many cells a sketch row has, and how its repeated cells fold into a bitmap: block by block, one over another."""
+
+    def __init__(self, size: int, most: int = MOST_BITS, block: int = BLOCK_BITS):
+        self.bits = min(most + BEYOND, max(LEAST_BITS, (size // BYTES_A_CELL).bit_length()))
+        self.folded, self.block = min(most, self.bits - 2), block
+        self.over = 1 << (self.bits - self.folded)
+
+    def place(self, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(block of the bitmap, cell within the blocks that fold into it)."""
+        block = (cell >> self.block) & ((1 << (self.folded - self.block)) - 1)
+        return block, (cell >> self.folded << self.block) | (cell & ((1 << self.block) - 1))
+
+
+def sketch(rows: DataFrame, layout: Layout) -> list[np.ndarray]:
     """For each sketch row, the bitmap of cells that count two or more over all rows."""
     schema = "sketch_row int, block long, once binary, twice binary"
     arrow = arrow_schema(schema)
-    block = min(BLOCK_BITS, bits)
 
     def count(batches):
         keys: list[np.ndarray] = []
@@ -95,26 +110,28 @@ def sketch(rows: DataFrame, bits: int) -> list[np.ndarray]:
             all_keys = np.concatenate(keys)
             keys.clear()
             for row in range(ROWS):
-                cell, n = np.unique(cells(all_keys, row, bits), return_counts=True)
-                edges = np.searchsorted(cell, np.arange(0, (1 << bits) + 1, 1 << block))
-                for k in np.flatnonzero(np.diff(edges)).tolist():
-                    own, many = cell[edges[k] : edges[k + 1]] & ((1 << block) - 1), n[edges[k] : edges[k + 1]] > 1
-                    yield [[row], [k], [own[~many].astype(np.uint32).tobytes()], [own[many].astype(np.uint32).tobytes()]]
+                block, within = layout.place(cells(all_keys, row, layout.bits))
+                both, n = np.unique(block << 32 | within, return_counts=True)
+                block, within = both >> 32, (both & 0xFFFFFFFF).astype(np.uint32)
+                for a, b in _pieces(block):
+                    own, many = within[a:b], n[a:b] > 1
+                    yield [[row], [int(block[a])], [own[~many].tobytes()], [own[many].tobytes()]]
 
         yield from _gathered(batches, arrow, take, flush)
 
     def merge(key, batches):
-        total = np.zeros(1 << block, np.uint8)
+        total = np.zeros(layout.over << layout.block, np.uint8)
         for batch in batches:
             for once, twice in zip(batch.column("once"), batch.column("twice"), strict=True):
                 at = np.frombuffer(once.as_buffer(), np.uint32)
                 total[at] = np.minimum(total[at] + 1, 2)
                 total[np.frombuffer(twice.as_buffer(), np.uint32)] = 2
-        yield pa.RecordBatch.from_pydict({"sketch_row": pa.array([key[0].as_py()], pa.int32()), "block": [key[1].as_py()], "hot": [np.packbits(total > 1, bitorder="little").tobytes()]})
+        hot = (total > 1).reshape(layout.over, -1).any(axis=0)
+        yield pa.RecordBatch.from_pydict({"sketch_row": pa.array([key[0].as_py()], pa.int32()), "block": [key[1].as_py()], "hot": [np.packbits(hot, bitorder="little").tobytes()]})
 
     made = rows.mapInArrow(count, schema).groupBy("sketch_row", "block").applyInArrow(_iterated(merge), "sketch_row int, block long, hot binary")
-    out = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(ROWS)]
-    size = 1 << (block - 3)
+    out = [np.zeros(1 << (layout.folded - 3), np.uint8) for _ in range(ROWS)]
+    size = 1 << (layout.block - 3)
     for row in made.collect():  # bounded: ROWS bitmaps of 2**MOST_BITS bits
         out[row.sketch_row][row.block * size : (row.block + 1) * size] = np.frombuffer(row.hot, np.uint8)
     return out
@@ -153,7 +170,7 @@ def _by_row(x: np.ndarray):
         yield int(x["doc"][a]), int(x["sig"][a]), x["start"][a:b].tobytes()
 
 
-def repeats(rows: DataFrame, hot: list[np.ndarray], bits: int, shards: int) -> DataFrame:
+def repeats(rows: DataFrame, hot: list[np.ndarray], layout: Layout, shards: int) -> DataFrame:
     """(doc, sig, starts) of windows that start later than their first occurrence; a row may come in several parts."""
     arrow = arrow_schema(_MOVED)
     marks = rows.sparkSession.sparkContext.broadcast(hot)
@@ -164,7 +181,7 @@ def repeats(rows: DataFrame, hot: list[np.ndarray], bits: int, shards: int) -> D
         def take(batch, w):
             starts, key, _ = anchors(w)
             for row in range(ROWS):
-                cell = cells(key, row, bits)
+                cell = cells(key, row, layout.bits) & ((1 << layout.folded) - 1)
                 hit = (marks.value[row][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
                 starts, key = starts[hit], key[hit]
             if len(starts):
@@ -224,13 +241,13 @@ def _pieces(values: np.ndarray):
     return zip(edge, np.append(edge[1:], len(values))[: len(edge)], strict=True)
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
+def substring_dedup(docs: DataFrame, most_bits: int = MOST_BITS, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Every row's doc_id, sig, n_words, n_removed, the kept words as kept_text, and its SHA-256."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_sig().alias("sig"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_A_CELL).bit_length()))
-    hot = sketch(rows, bits)
-    found = repeats(rows, hot, bits, max(LEAST_SHARDS, -(-size // SHARD_BYTES)))
+    layout = Layout(size, most_bits, block_bits)
+    hot = sketch(rows, layout)
+    found = repeats(rows, hot, layout, max(LEAST_SHARDS, -(-size // SHARD_BYTES)))
     found = found.withColumn("doc_id", F.when(F.col("doc") != _LAST, F.col("doc")))
     found = found.groupBy(row_key(F.col("sig")).alias("key")).agg(F.collect_list("starts").alias("starts"))
     both = rows.withColumn("key", row_key(F.col("sig"))).join(found, "key", "left").select("doc_id", "text", "sig", "starts")
