@@ -71,16 +71,16 @@ def dedup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.transitive_duplicates(vectors(spark, sf_dir), 0.3, 240)
 
 
-@query(f"""WITH {VECTORS_SQL}, c AS (SELECT article_id AS cluster_id, embedding AS v FROM vectors_ WHERE article_id < 40), e AS (SELECT 'e' || article_id AS event_id, embedding AS v FROM vectors_ WHERE article_id >= 40 AND article_id % 5 <> 0),
+@query(f"""WITH {VECTORS_SQL}, {_sums()}, c AS (SELECT cluster_id, list_transform(s, lambda x: x / sqrt(t)) AS v FROM sums), e AS (SELECT 'e' || article_id AS event_id, embedding AS v FROM vectors_ WHERE event_type <> 'error'),
  m AS (SELECT c.cluster_id, e.event_id, round({_DOT.format('c.v', 'e.v')}, 9) AS similarity FROM c, e)
  SELECT cluster_id, event_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY similarity DESC, event_id) AS k FROM m WHERE similarity >= 0.3) WHERE k = 1""")
 def registry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest live event of each cluster."""
+    """The nearest live event of each cluster's centroid; events of errors are closed."""
     v = vectors(spark, sf_dir)
-    clusters = v.where("article_id < 40").select(F.col("article_id").alias("cluster_id"), F.col("embedding").alias("centroid"))
-    status = F.when(F.col("article_id") % 5 == 0, "closed").otherwise("enriched")
-    events = v.where("article_id >= 40").select(F.concat(F.lit("e"), F.col("article_id").cast("string")).alias("event_id"), F.col("embedding").alias("centroid"), status.alias("status"))
-    return registry.best_match(clusters, events, 0.3).select("cluster_id", "event_id", F.round("similarity", 6).alias("similarity"))
+    status = F.when(F.col("event_type") == "error", "closed").otherwise("enriched")
+    events = v.select(F.concat(F.lit("e"), F.col("article_id").cast("string")).alias("event_id"), F.col("embedding").alias("centroid"), status.alias("status"))
+    found = registry.best_match(centroids(v, "cluster_id", "embedding"), events, 0.3)
+    return found.select("cluster_id", "event_id", F.round("similarity", 6).alias("similarity"))
 
 
 _AXES = {"action_forms": range(0, 8), "thematic_fields": range(8, 16), "channel": range(16, 19), "intensity": range(19, 22)}
@@ -92,14 +92,14 @@ def _labels(v: DataFrame) -> DataFrame:
 
 
 _ZERO = f"""l AS (SELECT article_id AS ord, 'L' || article_id AS label, embedding AS lv, CASE WHEN article_id < 8 THEN 'action_forms' WHEN article_id < 16 THEN 'thematic_fields' WHEN article_id < 19 THEN 'channel' ELSE 'intensity' END AS axis FROM vectors_ WHERE article_id < 22),
- s AS (SELECT v.article_id AS id, axis, ord, label, {_DOT.format('v.embedding', 'lv')} / (sqrt({_DOT.format('v.embedding', 'v.embedding')}) * sqrt({_DOT.format('lv', 'lv')}) + 1e-9) AS sim FROM vectors_ v, l WHERE v.article_id >= 22),
+ s AS (SELECT v.article_id AS id, axis, ord, label, {_DOT.format('v.embedding', 'lv')} / (sqrt({_DOT.format('v.embedding', 'v.embedding')}) * sqrt({_DOT.format('lv', 'lv')}) + 1e-9) AS sim FROM vectors_ v, l),
  k AS (SELECT *, row_number() OVER (PARTITION BY id, axis ORDER BY sim DESC, ord) AS k FROM s),
  z AS (SELECT id, axis, string_agg(label, '|' ORDER BY k) AS labels, max(sim) AS confidence FROM k WHERE k = 1 OR (axis IN ('action_forms', 'thematic_fields') AND k <= 3 AND sim >= 0.12) GROUP BY 1, 2)"""
 
 
 def _zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    return classify.zero_shot(v.where("article_id >= 22").select(F.col("article_id").alias("id"), "embedding"), _labels(v), "id", "embedding", least=0.12)
+    return classify.zero_shot(v.select(F.col("article_id").alias("id"), "embedding"), _labels(v), "id", "embedding", least=0.12)
 
 
 @query(f"WITH {VECTORS_SQL}, {_ZERO} SELECT id, axis, labels, round(confidence, 6) AS confidence FROM z")

@@ -16,17 +16,17 @@ _KEYWORDS = ["und", "License", "été"]
 _URL = "regexp_replace(regexp_replace(url, '#.*$', ''), '\\?.*$', '')"
 
 
-@query("SELECT page_id, sha256(trim(url) || '|' || lower(trim(left(html, 60)))) AS content_hash, left(sha256(url), 32) AS id FROM pages")
+@query("SELECT page_id, sha256(trim(url) || '|' || lower(trim(html))) AS content_hash, left(sha256(url), 32) AS id FROM pages")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """content and url keys."""
     rows = table(spark, sf_dir, "pages")
-    return rows.select("page_id", T.content_hash(F.col("url"), F.left("html", F.lit(60)), F.lit("")).alias("content_hash"), T.url_id(F.col("url")).alias("id"))
+    return rows.select("page_id", T.content_hash(F.col("url"), F.col("html"), F.lit("")).alias("content_hash"), T.url_id(F.col("url")).alias("id"))
 
 
-@query(r"SELECT doc_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 200) AS clean FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM documents")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """White space collapsed, a prefix."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.left(T.clean_space(F.col("text")), F.lit(200)).alias("clean"))
+    """white space collapsed."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_space(F.col("text")).alias("clean"))
 
 
 @query(f"SELECT page_id, {_URL} AS canonical FROM pages")
@@ -95,14 +95,14 @@ def cap_then_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.first_by(feeds.capped(rows, "keyword", ["event_id"]), ["value"], ["event_id"]).select("event_id", "user_id")
 
 
-@query(f"""WITH b AS (SELECT page_id, {_URL} AS canonical_url, page_id % 200 AS content_hash FROM pages), s AS (SELECT {_URL} AS canonical_url, page_id % 200 AS content_hash FROM pages WHERE page_id < 20),
+@query(f"""WITH b AS (SELECT page_id, {_URL} AS canonical_url, length(html) AS content_hash FROM pages), s AS (SELECT {_URL} AS canonical_url, length(html) AS content_hash FROM pages WHERE html LIKE '%lang="de"%'),
  h AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY page_id) AS k FROM b), i AS (SELECT * FROM h WHERE k = 1 AND content_hash NOT IN (SELECT content_hash FROM s)),
  u AS (SELECT *, row_number() OVER (PARTITION BY canonical_url ORDER BY page_id) AS m FROM i)
  SELECT page_id, canonical_url, content_hash FROM u WHERE m = 1 AND canonical_url NOT IN (SELECT canonical_url FROM s)""")
 def upsert_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserts under two unique keys."""
-    rows = table(spark, sf_dir, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical_url"), (F.col("page_id") % 200).alias("content_hash"))
-    return sinks.insert_new(rows, rows.where("page_id < 20"), ["page_id"])
+    rows = table(spark, sf_dir, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical_url"), F.length("html").cast("long").alias("content_hash"), F.contains("html", F.lit('lang="de"')).alias("old"))
+    return sinks.insert_new(rows.drop("old"), rows.where("old"), ["page_id"])
 
 
 @query("""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS mail, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp,

@@ -17,15 +17,15 @@ from .registry import query
 
 
 def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users as events: last seen at their last row of an even number of half days, with a status by key."""
-    rows = table(spark, sf_dir, "events").where("user_id % 20 < hour(ts) + 1").groupBy(F.col("user_id").alias("event_id")).agg(F.max("ts").alias("seen"))
+    """Users as events: last seen some days before their last row, with a status by key."""
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("event_id")).agg(F.max("ts").alias("seen"))
     seen = F.col("seen") - F.make_dt_interval(F.col("event_id").cast("int") % 15, F.lit(0), F.lit(0), F.lit(0))
     status = F.when(F.col("event_id") % 4 == 0, "archived").when(F.col("event_id") % 4 == 1, "pending_review").otherwise("enriched")
     return rows.select("event_id", status.alias("status"), seen.alias("last_seen"))
 
 
 _USERS = """users_ AS (SELECT user_id AS event_id, CASE user_id % 4 WHEN 0 THEN 'archived' WHEN 1 THEN 'pending_review' ELSE 'enriched' END AS status,
- max(ts) - to_days((user_id % 15)::INTEGER) AS last_seen FROM events WHERE user_id % 20 < hour(ts) + 1 GROUP BY user_id)"""
+ max(ts) - to_days((user_id % 15)::INTEGER) AS last_seen FROM events GROUP BY user_id)"""
 _SWEPT = f"""a AS (SELECT *, CASE WHEN status = 'enriched' AND last_seen < {AS_OF_SQL} - INTERVAL 72 HOUR THEN 'archived' ELSE status END AS s1 FROM users_),
  swept AS (SELECT event_id, s1, CASE WHEN s1 = 'archived' AND last_seen < {AS_OF_SQL} - INTERVAL 10 DAY THEN 'closed' ELSE s1 END AS status FROM a)"""
 
@@ -38,44 +38,44 @@ def archival_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles.join(events, "event_id").groupBy("status", "event_id").agg(F.count("body_text").alias("with_body"))
 
 
-@query(f"WITH {_USERS} SELECT event_id, CASE WHEN event_id % 3 <> 0 AND status = 'enriched' THEN 'closed' ELSE replace(status, 'enriched', 'ongoing') END AS status FROM users_")
+@query(f"WITH {_USERS} SELECT event_id, CASE WHEN hour(last_seen) >= 12 AND status = 'enriched' THEN 'closed' ELSE replace(status, 'enriched', 'ongoing') END AS status FROM users_")
 def close_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9: what a run has not seen is closed."""
     rows = _users(spark, sf_dir).withColumn("status", F.replace("status", F.lit("enriched"), F.lit("ongoing")))
-    return registry.close_unseen(rows, rows.where("event_id % 3 = 0")).select("event_id", "status")
+    return registry.close_unseen(rows, rows.where("hour(last_seen) < 12")).select("event_id", "status")
 
 
-@query(f"WITH {EVENTS_SQL} SELECT event_id, CASE WHEN status = 'pending_review' AND event_id % 10 = 0 THEN 'enriched' WHEN status = 'pending_review' AND event_id % 10 = 1 THEN 'rejected' ELSE status END AS status FROM events_")
+@query(f"WITH {EVENTS_SQL} SELECT event_id, CASE WHEN status = 'pending_review' AND channel = '1-URGENT' THEN 'enriched' WHEN status = 'pending_review' AND channel = '5-LOW' THEN 'rejected' ELSE status END AS status FROM events_")
 def moderation_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approvals and rejections of what is pending."""
     events = orders_as_events(spark, sf_dir)
-    decisions = events.where("event_id % 10 < 2").select("event_id", F.when(F.col("event_id") % 10 == 0, "approve").otherwise("reject").alias("decision"))
+    decisions = events.where("channel in ('1-URGENT', '5-LOW')").select("event_id", F.when(F.col("channel") == "1-URGENT", "approve").otherwise("reject").alias("decision"))
     return lifecycle.moderate(events, decisions).select("event_id", "status")
 
 
-@query(f"WITH {EVENTS_SQL} SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE round(lat, 6) END AS lat, CASE WHEN event_id % 9 = 0 THEN 'edited' ELSE channel END AS channel FROM events_")
+@query(f"WITH {EVENTS_SQL} SELECT event_id, CASE WHEN channel = '5-LOW' THEN NULL ELSE round(lat, 6) END AS lat, CASE WHEN channel = '5-LOW' THEN 'edited' ELSE channel END AS channel FROM events_")
 def event_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-row edits; a null latitude stays null."""
     events = orders_as_events(spark, sf_dir)
-    edits = events.where("event_id % 9 = 0").select("event_id", F.lit(None).cast("double").alias("lat"), F.lit("edited").alias("channel"))
+    edits = events.where("channel = '5-LOW'").select("event_id", F.lit(None).cast("double").alias("lat"), F.lit("edited").alias("channel"))
     return lifecycle.edit(events, edits).select("event_id", F.round("lat", 6).alias("lat"), "channel")
 
 
-@query("""SELECT n_nationkey AS location_id, CASE WHEN n_nationkey % 5 = 1 THEN 'new ' || n_name ELSE n_name END AS name FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT 100 + r_regionkey, r_name FROM region""")
+@query("""SELECT n_nationkey AS location_id, CASE WHEN n_regionkey = 1 THEN 'new ' || n_name ELSE n_name END AS name FROM nation WHERE n_regionkey <> 0 UNION ALL SELECT 100 + r_regionkey, r_name FROM region""")
 def child_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3: children deleted, replaced and added."""
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("location_id"), F.col("n_name").alias("name"))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("location_id"), F.col("n_name").alias("name"), "n_regionkey")
     new = table(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).alias("location_id"), F.col("r_name").alias("name"))
-    changed = rows.where("location_id % 5 = 1").withColumn("name", F.concat(F.lit("new "), F.col("name")))
-    return lifecycle.edit_children(rows, rows.where("location_id % 5 = 0"), changed, new, "location_id")
+    changed = nation.where("n_regionkey = 1").select("location_id", F.concat(F.lit("new "), F.col("name")).alias("name"))
+    return lifecycle.edit_children(nation.drop("n_regionkey"), nation.where("n_regionkey = 0"), changed, new, "location_id")
 
 
-@query(f"""WITH {EVENTS_SQL}, {ARTICLES_SQL} SELECT 'events' AS entity, count(*) AS n, NULL::BIGINT AS linked FROM events_ WHERE event_id % 6 <> 0
- UNION ALL SELECT 'locations', count(*), NULL FROM events_ WHERE event_id % 6 <> 0 AND event_id < 1000 UNION ALL SELECT 'articles', count(*), count(*) FILTER (WHERE event_id % 6 <> 0) FROM articles_""")
+@query(f"""WITH {EVENTS_SQL}, {ARTICLES_SQL} SELECT 'events' AS entity, count(*) AS n, NULL::BIGINT AS linked FROM events_ WHERE channel <> '3-MEDIUM'
+ UNION ALL SELECT 'locations', count(*), NULL FROM events_ WHERE channel <> '3-MEDIUM' UNION ALL SELECT 'articles', count(*), count(*) FILTER (WHERE event_id NOT IN (SELECT event_id FROM events_ WHERE channel = '3-MEDIUM')) FROM articles_""")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations go with their event, articles lose the link."""
     events, articles = orders_as_events(spark, sf_dir), lines_as_articles(spark, sf_dir)
-    left = lifecycle.delete_events(events, events.where("event_id < 1000").select("event_id", "lat"), articles, events.where("event_id % 6 = 0"))
+    left = lifecycle.delete_events(events, events.select("event_id", "lat"), articles, events.where("channel = '3-MEDIUM'"))
     parts = [d.agg(F.count("*").alias("n"), (F.count("event_id") if k == "articles" else F.lit(None).cast("long")).alias("linked")).select(F.lit(k).alias("entity"), "n", "linked") for k, d in zip(("events", "locations", "articles"), left, strict=True)]
     return parts[0].union(parts[1]).union(parts[2])
 
@@ -108,35 +108,35 @@ def count_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.add_counts(orders_as_events(spark, sf_dir).withColumn("article_count", F.lit(5).cast("long")), deltas).select("event_id", "article_count")
 
 
-@query("""SELECT event_id AS article_id, CASE WHEN event_id % 4 = 0 THEN 'c' || (event_id % 8) WHEN event_id % 4 = 1 THEN 'old' END AS event_id, event_id % 3 = 0 AS is_duplicate FROM events""")
+@query("""SELECT event_id AS article_id, CASE WHEN event_type = 'click' THEN 'c' || user_id WHEN event_type = 'view' THEN 'old' END AS event_id, value < 20 AS is_duplicate FROM events""")
 def link_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of members and marks of duplicates."""
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("article_id"), F.when(F.col("event_id") % 4 == 1, "old").alias("event_id"), F.lit(False).alias("is_duplicate"))
-    members = rows.where("article_id % 4 = 0").select("article_id", F.concat(F.lit("c"), (F.col("article_id") % 8).cast("string")).alias("event_id"))
-    return lifecycle.link(rows, members, rows.where("article_id % 3 = 0"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("article_id"), F.when(F.col("event_type") == "view", "old").alias("event_id"), F.lit(False).alias("is_duplicate"), "event_type", "user_id", "value")
+    members = rows.where("event_type = 'click'").select("article_id", F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("event_id"))
+    return lifecycle.link(rows.select("article_id", "event_id", "is_duplicate"), members, rows.where("value < 20"))
 
 
-@query("SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'group ' || (user_id % 10) ELSE event_type END AS event_type FROM events")
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'group ' || event_type ELSE event_type END AS event_type FROM events")
 def spread_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A group's result over its members' own values."""
-    rows = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 10).alias("g"), "event_type")
-    results = rows.where("g % 2 = 0").select("g", F.concat(F.lit("group "), F.col("g").cast("string")).alias("event_type")).distinct()
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("g"), "event_type")
+    results = rows.where("g in ('click', 'view')").select("g", F.concat(F.lit("group "), F.col("g")).alias("event_type")).distinct()
     return lookups.spread(rows, results, "g", ["event_type"]).select("event_id", "event_type")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE value END AS value FROM events WHERE event_id < 5000 UNION ALL SELECT event_id + 1000000, 0.0 FROM events WHERE event_id < 5000 AND event_id % 3 = 0")
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN 0.0 ELSE value END AS value FROM events UNION ALL SELECT event_id + 1000000, 0.0 FROM events WHERE event_type = 'click'")
 def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4, K5: rows replaced and added by key."""
-    rows = table(spark, sf_dir, "events").where("event_id < 5000").select("event_id", "value")
-    new = rows.where("event_id % 3 = 0").withColumn("value", F.lit(0.0))
+    events = table(spark, sf_dir, "events")
+    rows, new = events.select("event_id", "value"), events.where("event_type = 'click'").select("event_id", F.lit(0.0).alias("value"))
     return sinks.upsert(rows, new.union(new.withColumn("event_id", F.col("event_id") + 1000000)), "event_id")
 
 
-@query("SELECT vec_id FROM embeddings WHERE vec_id < 100 AND vec_id % 7 = 0")
+@query("SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT event_id FROM events WHERE event_type = 'click')")
 def existing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of some ids a table has."""
-    e = table(spark, sf_dir, "embeddings")
-    return config.existing(e, spark.range(0, 10_000_000, 7).select(F.col("id").alias("vec_id")), "vec_id").where("vec_id < 100")
+    ids = table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("event_id").alias("vec_id"))
+    return config.existing(table(spark, sf_dir, "embeddings"), ids, "vec_id")
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
