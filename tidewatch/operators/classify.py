@@ -124,3 +124,17 @@ def prompt(titles: Column, bodies: Column, most_titles: int = 8, most_bodies: in
     heads = F.array_join(F.transform(F.slice(titles, 1, most_titles), lambda t: F.concat(F.lit("- "), t)), "\n")
     texts = F.array_join(F.transform(F.slice(bodies, 1, most_bodies), lambda b: F.left(b, F.lit(chars))), "\n\n")
     return F.concat_ws("\n\n", heads, texts)
+
+
+def best_label(vectors: DataFrame, labels: DataFrame, key: str, vector: str, least: float | None = None) -> DataFrame:
+    """(key, label, confidence, bucket) of the nearest label over all axes, the first in order on ties; below `least` the key is left out."""
+    rows = scores(vectors, labels, key, vector).groupBy(key).agg(F.min_by(F.struct("label", "sim"), F.struct((-F.col("sim")).alias("s"), "axis", "ord")).alias("b"))
+    rows = rows.select(key, "b.label", F.col("b.sim").alias("confidence"))
+    bucket = F.when(F.col("confidence") > 0.55, "high").when(F.col("confidence") > 0.40, "medium").otherwise("low")
+    return (rows if least is None else rows.where(F.col("confidence") >= least)).withColumn("bucket", bucket)
+
+
+def first_accepted(candidates: DataFrame, key: str, kinds: list[str], inside: Column) -> DataFrame:
+    """The first candidate of each key, by ord, of an accepted kind that lies inside a territory."""
+    rows = candidates.where(F.col("kind").isin(kinds) & inside)
+    return rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in candidates.columns if c != key]), "ord").alias("__b")).select(key, "__b.*")

@@ -110,3 +110,14 @@ def validate(edits: DataFrame, domains: dict[str, list[str]], arrays: dict[str,
     bad = [F.when(~F.coalesce(F.col(c).isin(v), F.lit(False)), F.lit(f"Invalid {c}.")) for c, v in domains.items()]
     bad += [F.when(F.size(F.array_except(c, F.array(*map(F.lit, v)))) > 0, F.lit(f"Invalid {c}.")) for c, v in arrays.items()]
     return edits.withColumn("errors", F.array_compact(F.array(*bad)))
+
+
+def by_category(events: DataFrame, category: str | None = None, country: str | None = None) -> DataFrame:
+    """Events of a category, exactly, and of a country, without regard to case; either may be left out."""
+    return events.where(conjunction([equal("category", category), F.lower("country") == country.lower() if country else None]))
+
+
+def fullest(articles: DataFrame, key: str = "event_id") -> DataFrame:
+    """(key, article_id): each group's article with the longest text among its canonical ones, else among all; smaller id on ties."""
+    rank = F.struct(F.col("is_duplicate").alias("dup"), (-F.length(F.coalesce("body_text", F.lit("")))).alias("size"), "article_id")
+    return articles.groupBy(key).agg(F.min_by("article_id", rank).alias("article_id"))

@@ -169,3 +169,25 @@ def hdbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings of documents by the stand-in model; no SQL, tested for unit length."""
     return classify.embed(table(spark, sf_dir, "documents"), "doc_id", "text", classify.HashingModel())
+
+
+_BEST = f"""l AS (SELECT article_id AS ord, 'L' || article_id AS label, embedding AS lv, CASE WHEN article_id < 8 THEN 'action_forms' WHEN article_id < 16 THEN 'thematic_fields' WHEN article_id < 19 THEN 'channel' ELSE 'intensity' END AS axis FROM vectors_ WHERE article_id < 22),
+ s AS (SELECT v.id, axis, ord, label, {_DOT.format('v.v', 'lv')} / (sqrt({_DOT.format('v.v', 'v.v')}) * sqrt({_DOT.format('lv', 'lv')}) + 1e-9) AS sim FROM v, l),
+ b AS (SELECT id, label, sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, axis, ord) AS k FROM s) WHERE k = 1)"""
+_BUCKET = "CASE WHEN sim > 0.55 THEN 'high' WHEN sim > 0.40 THEN 'medium' ELSE 'low' END"
+
+
+@query(f"WITH {VECTORS_SQL}, v AS (SELECT article_id AS id, embedding AS v FROM vectors_), {_BEST} SELECT id, label, round(sim, 6) AS confidence, {_BUCKET} AS bucket FROM b")
+def best_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest label and how sure it is."""
+    v = vectors(spark, sf_dir)
+    rows = classify.best_label(v.select(F.col("article_id").alias("id"), "embedding"), _labels(v), "id", "embedding")
+    return rows.select("id", "label", F.round("confidence", 6).alias("confidence"), "bucket")
+
+
+@query(f"WITH {VECTORS_SQL}, {_sums()}, v AS (SELECT cluster_id AS id, list_transform(s, lambda x: x / sqrt(t)) AS v FROM sums), {_BEST} SELECT id, label, round(sim, 6) AS confidence FROM b WHERE sim >= 0.25")
+def cluster_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters whose centroid is near enough to any label."""
+    v = vectors(spark, sf_dir)
+    rows = classify.best_label(centroids(v, "cluster_id", "embedding").select(F.col("cluster_id").alias("id"), "centroid"), _labels(v), "id", "centroid", 0.25)
+    return rows.select("id", "label", F.round("confidence", 6).alias("confidence"))

@@ -217,3 +217,26 @@ def confidence_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 def share_of_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars by share of the largest."""
     return stats.share_of_max(stats.by_value(table(spark, sf_dir, "orders"), "o_orderstatus"))
+
+
+@query("""SELECT c_custkey, c_mktsegment FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'MACHINERY' AND lower(n_name) = 'nation_1'""")
+def category_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P20: category exactly, country without case."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("country"))
+    rows = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("category", F.col("c_mktsegment"))
+    return serve.by_category(rows, "MACHINERY", "Nation_1").select("c_custkey", "c_mktsegment")
+
+
+@query("""SELECT event_id, article_id FROM (SELECT source AS event_id, doc_id AS article_id, row_number() OVER (PARTITION BY source ORDER BY lang <> 'en', -length(text), doc_id) AS k FROM documents) WHERE k = 1""")
+def fullest_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest text among canonical articles."""
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("event_id"), F.col("doc_id").alias("article_id"), (F.col("lang") != "en").alias("is_duplicate"), F.col("text").alias("body_text"))
+    return serve.fullest(rows)
+
+
+@query(f"""WITH c AS (SELECT o_custkey AS k, o_orderkey AS ord, o_orderpriority AS kind, {LAT_SQL.format('o_orderkey')} AS lat FROM orders)
+ SELECT k AS place, ord, kind FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ord) AS n FROM c WHERE kind IN ('1-URGENT', '2-HIGH') AND lat < 38) WHERE n = 1""")
+def accepted_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first candidate of an accepted kind inside a territory."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("place"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("kind"), coordinates("o_orderkey")["lat"].alias("lat"))
+    return classify.first_accepted(rows, "place", ["1-URGENT", "2-HIGH"], F.col("lat") < 38).select("place", "ord", "kind")
