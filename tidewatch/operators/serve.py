@@ -36,13 +36,16 @@ def list_events(
     """
     if not (1 <= limit <= 1000 and offset >= 0):
         raise ValueError("limit is 1 to 1000 and offset 0 or more")
+    def moment(text: str, column: str) -> Column:
+        return F.lit(parse_iso(text)).cast(events.schema[column].dataType)  # in the column's own type, so that it reaches the scan
+
     wanted = conjunction([
         F.col("status") == "enriched",
         F.array_contains("action_forms", action_form) if action_form else None,
         F.array_contains("thematic_fields", thematic_field) if thematic_field else None,
         equal("channel", channel), equal("intensity", intensity), equal("region_code", region_code),
-        F.col("first_seen") >= F.lit(parse_iso(date_from)) if date_from else None,
-        F.col("last_seen") <= F.lit(parse_iso(date_to)) if date_to else None,
+        F.col("first_seen") >= moment(date_from, "first_seen") if date_from else None,
+        F.col("last_seen") <= moment(date_to, "last_seen") if date_to else None,
         in_box(F.col("lat"), F.col("lon"), bbox),
     ])
     return page(events.where(wanted), "last_seen", limit, offset)
