@@ -11,8 +11,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidewatch.llm import components, decontaminate, langmix, licenses, mixing, queries, secrets, simhash
+from tidewatch.llm import decontaminate, langmix, licenses, mixing, queries, secrets, simhash
 from tidewatch.llm.words import PLAIN, Words
+from tidewatch.operators import dedup
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -68,7 +69,7 @@ def test_tree_loses_no_link(spark, spread):
     fps = sorted({b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, spread))) for b in base for _ in range(30)})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     edges = simhash.shard_edges(spark.createDataFrame([(f,) for f in signed], "fp long"), 4, shard=60, block=40)
-    found = {r.node: r.root for r in components.connected_components(edges).collect()}
+    found = {r.node: r.root for r in dedup.components(edges).collect()}
     group = dict(zip(signed, signed, strict=True))
 
     def root(i):

@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from tidewatch.operators.dedup import components as connected
+
 from .shared import cut, mapped, passes, row_key, row_sig
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
@@ -226,7 +227,7 @@ def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("first")
     distinct = cut(prints.groupBy("fp").agg(first))
-    roots = cut(connected_components(shard_edges(distinct, radius)))
+    roots = cut(connected(shard_edges(distinct, radius), checkpoint=cut))
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = cut(placed.groupBy("root").agg(F.min("first").alias("first")))  # so that a hot root's rows can be split in the join
     return placed.select("fp", "root").join(ids, "root").select(
