@@ -1,10 +1,11 @@
 """Operator 6: license scans by an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text, as the set of its words; it holds a template if it has at least CONTAINED of
-the template's words. The words of each template are ordered by how often they occur in all documents,
+A block is a line of a text, or a window of words that crosses line breaks and is as long as the template and
+WIDER, as the set of its words; it holds a template if it has at least CONTAINED of the template's words. The words of each template are ordered by how often they occur in all documents,
 rarest first. A block that holds a template must have one of the first words in this order (prefix filter),
 enough words (length filter), and enough words of both sides behind the first common one (positional
-filter); whatever passes is counted exactly, so no block is missed. Beside this, fixed phrases are found
+filter); whatever passes is counted exactly, so no block is missed. Of windows that overlap, the
+first with the largest share counts, unless a line has as much there. Beside this, fixed phrases are found
 wherever their words stand consecutively.
 
 Defined cases: null is empty and has no words; blank lines are no blocks; a repeated line counts each time;
@@ -24,6 +25,8 @@ from .shared import arrow_schema, as_batch, mapped, passes, row_sig
 from .words import ALNUM, Words
 
 CONTAINED = 0.8
+#: Words of a window for each word of a template: room for comment marks and for what is put in.
+WIDER = 1.25
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: License notices and the labels that a block holding one gets.
@@ -56,6 +59,7 @@ class Vocabulary:
         self.hashes, self.id = hashes[order], {self.words[k]: i for i, k in enumerate(order.tolist())}
         self.phrases = [([self.id[w] for w in p.split()], label) for p, label in phrases.items()]
         self.sets = {label: {self.id[w] for w in text.split()} for label, text in templates.items()}
+        self.span = {label: math.ceil(WIDER * len(text.split())) for label, text in templates.items()}
 
     def ids(self, w: Words) -> np.ndarray:
         """Each word's id, or -1."""
@@ -73,12 +77,14 @@ class Index:
         self.rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
         self.of: dict[int, list[tuple[str, int]]] = {}
         self.prefix = np.zeros(len(counts) + 1, bool)  # the last is for words outside
-        self.sets, self.need = sets, {}
+        self.sets, self.need, self.member, self.first = sets, {}, {}, {}
         for label, own in sets.items():
+            self.member[label], self.first[label] = np.zeros(len(counts) + 1, bool), np.zeros(len(counts) + 1, bool)
+            self.member[label][list(own)] = True
             self.need[label] = need = math.ceil(contained * len(own) - 1e-9)
             for i, word in enumerate(sorted(own, key=self.rank.__getitem__)[: len(own) - need + 1]):
                 self.of.setdefault(word, []).append((label, i))
-                self.prefix[word] = True
+                self.prefix[word] = self.first[label][word] = True
 
     def match(self, known: set[int], size: int) -> dict[str, float]:
         """Templates that a block holds: known has its ids in the vocabulary, size is its number of distinct words."""
@@ -119,6 +125,32 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     return out
 
 
+def windows(at: np.ndarray, w: Words, line: np.ndarray, label: str, span: int, index: Index) -> list[tuple[int, int, float]]:
+    """(first word, word after the last, share) of the windows across lines that hold a template, the best of those that overlap."""
+    member, need, size = index.member[label][at], index.need[label], len(index.sets[label])
+    total, rare = (np.concatenate([[0], np.cumsum(x)]) for x in (member, index.first[label][at]))
+    a = np.flatnonzero(member)
+    b = np.minimum(a + span, w.at[w.doc[a] + 1])
+    some = (total[b] - total[a] >= need) & (rare[b] > rare[a]) & (line[a] != line[b - 1])  # length and prefix filters
+    out: list[tuple[int, int, float]] = []
+    reach = -1
+    for i, j in zip(a[some].tolist(), b[some].tolist(), strict=True):
+        own = np.unique(at[i:j][member[i:j]])
+        if len(own) < need:
+            continue
+        end = i + int(np.flatnonzero(member[i:j])[-1]) + 1
+        if line[i] == line[end - 1]:
+            continue
+        share = len(own) / size
+        if i < reach:
+            if share > out[-1][2]:
+                out[-1] = (i, end, share)
+        else:
+            out.append((i, end, share))
+        reach = max(reach, end)
+    return out
+
+
 def find(data: np.ndarray, off: np.ndarray, vocabulary: Vocabulary, index: Index):
     """(words of each text, phrase places as (text, word, label), blocks as (text, first word, label, share))."""
     w = Words(data, off, ALNUM, lower=True)
@@ -134,14 +166,21 @@ def find(data: np.ndarray, off: np.ndarray, vocabulary: Vocabulary, index: Index
     if len(some):
         starts = np.unique(np.concatenate([off[:-1], np.flatnonzero(data == 10) + 1]))
         line = np.searchsorted(starts, w.start, side="right")
-        h = None
+        h, lines = None, []
         for k in np.unique(line[some]).tolist():
             a, b = np.searchsorted(line, k), np.searchsorted(line, k, side="right")
             known = set(at[a:b][at[a:b] >= 0].tolist())
             if len(known) >= min(index.need.values()):
                 h = w.hashes() if h is None else h
                 for label, share in index.match(known, len(np.unique(h[a:b]))).items():
-                    blocks.append((int(w.doc[a]), int(a - w.at[w.doc[a]]), label, share))
+                    lines.append((int(a), int(b), label, share))
+        for label in index.sets:
+            if index.first[label][at[some]].any():
+                whole = [x for x in lines if x[2] == label]
+                for a, b, share in windows(at, w, line, label, vocabulary.span[label], index):
+                    if not any(x < b and a < y and share <= most for x, y, _, most in whole):
+                        lines.append((a, b, label, share))
+        blocks = [(int(w.doc[a]), int(a - w.at[w.doc[a]]), label, share) for a, _, label, share in lines]
     return w.n, places, blocks
 
 
