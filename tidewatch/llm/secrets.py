@@ -1,7 +1,7 @@
 """Operator 4: secret scans by a battery of randomness tests.
 
-Three fixed patterns give the base spans. Beside them, every long token is put to a battery: its
-encoding is inferred from its characters; a chi-squared test of alphabet uniformity, a runs test and a
+Three fixed patterns give the base spans. Beside them, every long token (a run of token bytes, cut where an equals
+sign stands inside or where no one encoding has all of it) is put to a battery: its encoding is inferred from its characters; a chi-squared test of alphabet uniformity, a runs test and a
 serial-correlation test ask how well it fits random draws from that alphabet, and a normal test asks
 whether natural text would be as even. Tokens that the battery calls random are controlled for false
 discovery within their text, with weights by length, as short tokens carry little evidence.
@@ -127,6 +127,33 @@ def random_tokens(tokens: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     return [(s, e) for _, s, e in ranked[:last]]
 
 
+def pieces(token: str) -> list[tuple[int, int]]:
+    """Start and end of the parts of a run of token bytes that the battery takes.
+
+    Values are cut from names at '='; padding stays with the last part. A part with characters of both base64
+    alphabets is cut once at those of either, and all parts are tried.
+    """
+    out = []
+    for m in re.finditer("[^=]+", token):
+        a, b = m.span()
+        end = len(token) if not token[b:].strip("=") else b
+        if infer(token[a:b]) is None and re.search("[_-]", m[0]) and re.search("[/+]", m[0]):
+            for cut in ("[^_-]+", "[^/+]+"):
+                out += [(a + x.start(), end if a + x.end() == b else a + x.end()) for x in re.finditer(cut, m[0])]
+        else:
+            out.append((a, end))
+    return [(a, b) for a, b in dict.fromkeys(out) if b - a >= TOKEN_LEAST]
+
+
+def outermost(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that lie in no other one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if not out or b > out[-1][1]:
+            out.append((a, b))
+    return out
+
+
 def _runs(mask: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of runs of True of a length, cut between texts."""
     n = len(mask)
@@ -174,9 +201,10 @@ def find(data: np.ndarray, off: np.ndarray) -> list[list[tuple[int, int, int]]]:
     some = digits[e] > digits[s]
     tokens: dict[int, list[tuple[int, int, str]]] = {}
     for d, a, b in zip(owner(s[some]).tolist(), s[some].tolist(), e[some].tolist(), strict=True):
-        tokens.setdefault(d, []).append((a, b, raw[a:b].decode("ascii")))
+        token = raw[a:b].decode("ascii")
+        tokens.setdefault(d, []).extend((a + i, a + j, token[i:j]) for i, j in pieces(token))
     for d, own in tokens.items():
-        out[d].extend((a, b, 3) for a, b in random_tokens(own))
+        out[d].extend((a, b, 3) for a, b in outermost(random_tokens(own)))
     for spans in out:
         spans.sort(key=lambda x: (x[0], x[2]))
     return out
