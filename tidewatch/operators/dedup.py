@@ -7,9 +7,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.session import shared_folder
+
 #: Presets: similarity and hours of the greedy and of the transitive variant.
 GREEDY, TRANSITIVE = (0.95, 72), (0.85, 96)
 _HOUR = 3_600_000_000
+#: Edges that one task joins, at most, and nodes of a partition's forest at a time.
+SMALL, BATCH = 16_384, 1 << 20
 
 
 def _columns(articles: DataFrame, cluster: str) -> DataFrame:
@@ -71,14 +75,20 @@ def greedy_duplicates(articles: DataFrame, theta: float = GREEDY[0], hours: floa
     return rows.groupBy("cluster").applyInArrow(fold, f"cluster {kind}, id string, duplicate_of string")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", checkpoint=None) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", checkpoint=None, small: int = SMALL) -> DataFrame:
     """(node, root) of all nodes of an edge table; root is the smallest node of its component.
 
-    Stars are contracted in turn around smaller and larger neighbours until no edge moves; checkpoint cuts the lineage of a
-    round, by default in the session's checkpoint folder.
+    Every partition first keeps a forest of its own edges, which connects the same. At most `small` edges are then joined in
+    one task; of more, stars are contracted in turn around smaller and larger neighbours until no edge moves. checkpoint cuts
+    the lineage of a round, by default in the session's checkpoint folder.
     """
     keep = checkpoint or checkpointed
-    now = keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
+    kind = dict(now.dtypes)["u"]
+    now = keep(now.mapInArrow(_forest, f"u {kind}, v {kind}").distinct())
+    if now.limit(small + 1).count() <= small:
+        tree = now.coalesce(1).mapInArrow(_forest, f"u {kind}, v {kind}")
+        return tree.select(F.col("u").alias("node"), F.col("v").alias("root")).union(tree.select("v", "v").distinct())
     mark = None
     while True:
         both = now.union(now.select("v", "u"))
@@ -93,12 +103,37 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", checkpoint=None) ->
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+def _forest(batches):
+    """An edge from every node to the smallest of its component, by the edges of one partition; it is given out and begun anew
+    when it has grown to BATCH nodes, so that memory is bounded."""
+    top: dict = {}
+    schema = None
+
+    def find(x):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    def out():
+        nodes = [x for x in top if top[x] != x]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, schema.field(0).type), pa.array([find(x) for x in nodes], schema.field(1).type)], schema=schema)
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewatch-"))
+    for batch in batches:
+        schema = batch.schema
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            top.setdefault(u, u), top.setdefault(v, v)
+            x, y = find(u), find(v)
+            if x != y:
+                top[max(x, y)] = min(x, y)
+        if len(top) >= BATCH:
+            yield out()
+            top.clear()
+    if top:
+        yield out()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

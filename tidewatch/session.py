@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +18,7 @@ def local_session(cores: str | int | None = None, **extra: str) -> SparkSession:
         "spark.driver.memory": "8g",
         "spark.driver.host": "127.0.0.1",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.showConsoleProgress": "false",
         **extra,
     }
@@ -26,3 +28,22 @@ def local_session(cores: str | int | None = None, **extra: str) -> SparkSession:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that every executor sees: spark.checkpoint.dir; local runs that set none get one of their own.
+
+    A cluster without the setting is an error, as a folder of the driver's machine would be read by no executor.
+    """
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    known = sc._jsc.sc().getCheckpointDir()
+    if not at and known.isDefined():
+        at = known.get()
+    if not at:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="shared-")
+    if known.isEmpty():
+        sc.setCheckpointDir(at)
+    return at
