@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,31 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tidewatch.session import shared_folder
+
 #: Text bytes that one numpy pass holds; a longer document is a pass of its own.
 PASS_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        known = sc._jsc.sc().getCheckpointDir()
-        at = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="corpus-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(at)
-    return at
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder: lost executors cost nothing that came before."""
-    shared_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def scratch_table(spark: SparkSession, name: str) -> str:
     """The path of a new table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def row_sig(text: str = "text") -> Column:
