@@ -1,13 +1,17 @@
 """Operator 4: secret scans by a battery of randomness tests.
 
 Three fixed patterns give the base spans. Beside them, every long token (a run of token bytes, cut where an equals
-sign stands inside or where no one encoding has all of it) is put to a battery: its encoding is inferred from its characters; a chi-squared test of alphabet uniformity, a runs test and a
-serial-correlation test ask how well it fits random draws from that alphabet, and a normal test asks
-whether natural text would be as even. Tokens that the battery calls random are controlled for false
-discovery within their text, with weights by length, as short tokens carry little evidence.
+sign stands inside or where no one encoding has all of it) is put to a battery: its encoding is inferred from its
+characters; a chi-squared test of alphabet uniformity, a runs test and a serial-correlation test ask how well it fits random
+draws from that alphabet, and a normal test asks whether natural text would be as even.
+
+False discoveries are controlled over all tokens of the table, by length: the three tests' combined p-values go through a weighted step-up
+procedure that rejects randomness where it is untenable, and among the tokens that are left another one rejects natural text; these
+are the random spans. Weights are in proportion to length, as short tokens carry little evidence, with mean one. The
+procedures need only counts of tokens by length and p-value, which are gathered in a pass before.
 
 Defined cases: null is empty and has no spans; spans count code points from the text's start, end
-exclusive; every row is judged by itself, so repeated rows and ids change nothing; very long texts are
+exclusive; base spans depend on the row alone, random ones on the table's tokens too, so that repeated rows have equal spans; very long texts are
 scanned whole; other columns are ignored; an empty table gives an empty table.
 """
 
@@ -24,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mapped, passes, row_sig
+from .shared import arrow_schema, as_batch, mapped, passes, row_sig
 from .words import LOWER
 
 KINDS = ("assign", "access", "hex", "random")
@@ -34,8 +38,10 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 #: Bytes of tokens that the battery takes, and the fewest in a row.
 TOKEN_LEAST = 20
-#: Expected share of false discoveries among the random tokens of a text; the smallest p-value of uniformity that still fits.
+#: Expected share of false discoveries among the random tokens, and among those that are said not to be random draws.
 FDR, FIT = 1e-4, 1e-3
+#: Steps of a p-value's negative decimal logarithm in one decade, and decades that are told apart.
+STEPS, DECADES = 8, 40
 
 _HEX = np.zeros(256, bool)
 _HEX[48:58] = _HEX[97:103] = True
@@ -56,6 +62,16 @@ ENCODINGS = {
 #: Letter frequencies of English text, in per cent, a to z.
 LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
 
+#: The share of vowels among letters of text in per cent, of letters in the case of the one before, and of kinds after kinds.
+VOWELS, KEPT_CASE = 38.2, 0.93
+CHAIN = {
+    "start": {"vowel": 0.35, "consonant": 0.55, "digit": 0.08, "sign": 0.02},
+    "vowel": {"vowel": 0.10, "consonant": 0.72, "digit": 0.06, "sign": 0.12},
+    "consonant": {"vowel": 0.50, "consonant": 0.33, "digit": 0.05, "sign": 0.12},
+    "digit": {"vowel": 0.06, "consonant": 0.12, "digit": 0.70, "sign": 0.12},
+    "sign": {"vowel": 0.28, "consonant": 0.52, "digit": 0.18, "sign": 0.02},
+}
+
 
 def _upper_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
@@ -73,6 +89,33 @@ def infer(token: str) -> str | None:
     return next((k for k, a in ENCODINGS.items() if chars <= set(a)), None)
 
 
+def _kind(c: str) -> str:
+    return "vowel" if c in "aeiouAEIOU" else "consonant" if c.isalpha() else "digit" if c.isdigit() else "sign"
+
+
+def evidence(token: str, k: int) -> float:
+    """The log-likelihood of uniform draws from k characters over that of natural text and names.
+
+    Text is a chain of kinds of characters: vowels and consonants take turns, digits keep together, case is kept; within
+    their kind, letters come by their frequency.
+    """
+    total, kind, upper = 0.0, "start", None
+    one_case = k in (16, 32, 36)
+    for c in token:
+        new = _kind(c)
+        share = CHAIN[kind][new]
+        if c.isalpha():
+            share *= LETTERS[ord(c.lower()) - 97] / (VOWELS if new == "vowel" else 100 - VOWELS)
+            if not one_case:
+                share *= (0.2 if c.isupper() else 0.8) if upper is None else KEPT_CASE if c.isupper() == upper else 1 - KEPT_CASE
+            upper = c.isupper()
+        else:
+            share /= 10 if new == "digit" else 2
+        total -= math.log(share * k)
+        kind = new
+    return total
+
+
 def battery(token: str) -> dict[str, float] | None:
     """The p-values of a token: even (chi-squared), runs, serial under randomness, and natural under letter frequencies of text."""
     token = token.rstrip("=")
@@ -97,34 +140,68 @@ def battery(token: str) -> dict[str, float] | None:
     spread = sum((a - centre) ** 2 for a in at)
     corr = sum((a - centre) * (b - centre) for a, b in zip(at, at[1:], strict=False)) / spread if spread else 1.0
     serial = _two_sided((corr + 1 / n) * math.sqrt(n))
-    # Under natural text a character is a digit about once in 20; the log-odds per character are a sum of bounded terms.
-    def odds(c: str) -> float:
-        share = LETTERS[ord(c.lower()) - 97] / 100 * 0.93 / (1 if c.islower() else 12) if c.isalpha() else 0.05 / 10 if c.isdigit() else 0.01
-        return math.log((1 / k) / share)
-
-    total = sum(odds(c) for c in token)
-    natural = min(1.0, math.exp(-max(0.0, total)))  # under text, exp(total) has mean 1 at most: Markov's bound
+    natural = min(1.0, math.exp(-max(0.0, evidence(token, k))))  # under text, the likelihood ratio has mean 1 at most: Markov's bound
     return {"even": even, "runs": run_p, "serial": serial, "natural": natural}
 
 
-def random_tokens(tokens: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Spans of the tokens (start, end, text) of one text that pass the battery, by weighted step-up control.
+def combined(p: dict[str, float]) -> float:
+    """One p-value of the three tests of randomness, by the Cauchy combination, which holds for dependent tests."""
+    mean = sum(math.tan((0.5 - min(max(x, 1e-15), 1 - 1e-15)) * math.pi) for x in (p["even"], p["runs"], p["serial"])) / 3
+    return 0.5 - math.atan(mean) / math.pi if mean < 1e6 else 1 / (math.pi * mean)
 
-    A token is a candidate if no test of randomness rejects it at FIT, Bonferroni over the three. Its p-value
-    is that of natural text; weights in proportion to length have mean one over the text's tokens.
-    """
-    found = []
-    for start, end, token in tokens:
-        p = battery(token)
-        if p is not None:
-            fits = 3 * min(p["even"], p["runs"], p["serial"]) >= FIT
-            found.append((start, end, p["natural"] if fits else 1.0))
-    if not found:
-        return []
-    mean = sum(e - s for s, e, _ in found) / len(found)
-    ranked = sorted((p * mean / (e - s), s, e) for s, e, p in found)
-    last = max((i for i, (q, _, _) in enumerate(ranked, 1) if q <= FDR * i / len(ranked)), default=0)
-    return [(s, e) for _, s, e in ranked[:last]]
+
+def step_of(p: float) -> int:
+    """The step of a p-value: it stands for the largest p-value in it, so rounding only makes control stricter."""
+    return min(STEPS * DECADES, int(-math.log10(max(p, 1e-300)) * STEPS))
+
+
+def traits(token: str) -> tuple[int, int, int] | None:
+    """Of a token that the battery takes: length class (a power of two), and steps of the combined and the natural p-value."""
+    p = battery(token)
+    return None if p is None else (len(token).bit_length() - 1, step_of(combined(p)), step_of(p["natural"]))
+
+
+def step_up(counts: Counter, share: float) -> dict[int, int]:
+    """The first rejected step by length class, of counts by (length class, step), in a weighted step-up procedure at a share."""
+    m = sum(counts.values())
+    if not m:
+        return {}
+    mean = sum(n * (1 << c) for (c, _), n in counts.items()) / m
+    classes = sorted({c for c, _ in counts})
+    q = sorted((10 ** (-k / STEPS) * mean / (1 << c), n) for (c, k), n in counts.items())
+    limit, seen = 0.0, 0
+    for i, (x, n) in enumerate(q):
+        seen += n
+        if (i + 1 == len(q) or q[i + 1][0] > x) and x <= share * seen / m:
+            limit = x
+    if not limit:
+        return {c: STEPS * DECADES + 1 for c in classes}
+    return {c: next((k for k in range(STEPS * DECADES + 1) if 10 ** (-k / STEPS) * mean / (1 << c) <= limit), STEPS * DECADES + 1) for c in classes}
+
+
+class Control:
+    """Which tokens are random, by counts of traits() over a family of tokens."""
+
+    def __init__(self, counts: Counter):
+        fits: Counter = Counter()
+        for (c, fit, _), n in counts.items():
+            fits[c, fit] += n
+        self.unfit = step_up(fits, FIT)
+        left: Counter = Counter()
+        for (c, fit, natural), n in counts.items():
+            if fit < self.unfit[c]:
+                left[c, natural] += n
+        self.found = step_up(left, FDR)
+
+    def random(self, token: str) -> bool:
+        t = traits(token)
+        return t is not None and t[0] in self.found and t[1] < self.unfit[t[0]] and t[2] >= self.found[t[0]]
+
+
+def random_tokens(tokens: list[tuple[int, int, str]], control: Control | None = None) -> list[tuple[int, int]]:
+    """Spans of the tokens (start, end, text) that are random under a control, by default that of these tokens alone."""
+    control = control or Control(Counter(t for _, _, token in tokens if (t := traits(token))))
+    return [(a, b) for a, b, token in tokens if control.random(token)]
 
 
 def pieces(token: str) -> list[tuple[int, int]]:
@@ -167,8 +244,38 @@ def _runs(mask: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np
     return s[long], e[long]
 
 
-def find(data: np.ndarray, off: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """The spans of each text: (start byte in data, end byte, index in KINDS), ordered."""
+def tokens_of(data: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[int, int, str]]]:
+    """(start byte in data, end byte, token) of what the battery looks at, by text."""
+    s, e = _runs(_TOKEN[data], off, TOKEN_LEAST)
+    digits = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data >= 48) & (data <= 57), out=digits[1:])
+    some = digits[e] > digits[s]
+    out: dict[int, list[tuple[int, int, str]]] = {}
+    for d, a, b in zip((np.searchsorted(off, s[some], side="right") - 1).tolist(), s[some].tolist(), e[some].tolist(), strict=True):
+        token = data[a:b].tobytes().decode("ascii")
+        out.setdefault(d, []).extend((a + i, a + j, token[i:j]) for i, j in pieces(token))
+    return out
+
+
+def controlled(docs: DataFrame) -> Control:
+    """The control over all tokens of a table, by their counts: at most a row for each length class and pair of steps."""
+    arrow = arrow_schema("size int, fit int, natural int, n long")
+
+    def count(batches):
+        total: Counter = Counter()
+        for batch in batches:
+            for _, _, data, off in passes(batch.column(0)):
+                for own in tokens_of(data, off).values():
+                    total.update(t for _, _, token in own if (t := traits(token)))
+        if total:
+            yield as_batch([*zip(*total, strict=True), list(total.values())], arrow)
+
+    rows = docs.select("text").mapInArrow(count, "size int, fit int, natural int, n long").groupBy("size", "fit", "natural").agg(F.sum("n").alias("n"))
+    return Control(Counter({(r.size, r.fit, r.natural): r.n for r in rows.collect()}))
+
+
+def find(data: np.ndarray, off: np.ndarray, control: Control | None = None) -> list[list[tuple[int, int, int]]]:
+    """The spans of each text: (start byte in data, end byte, index in KINDS), ordered; control is by default that of each text's tokens."""
     docs = len(off) - 1
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(docs)]
     if not len(data):
@@ -195,16 +302,8 @@ def find(data: np.ndarray, off: np.ndarray) -> list[list[tuple[int, int, int]]]:
     s, e = _runs(_HEX[data], off, HEX_LEAST)
     for d, a, b in zip(owner(s).tolist(), s.tolist(), e.tolist(), strict=True):
         out[d].append((a, b, 2))
-    s, e = _runs(_TOKEN[data], off, TOKEN_LEAST)
-    digits = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data >= 48) & (data <= 57), out=digits[1:])
-    some = digits[e] > digits[s]
-    tokens: dict[int, list[tuple[int, int, str]]] = {}
-    for d, a, b in zip(owner(s[some]).tolist(), s[some].tolist(), e[some].tolist(), strict=True):
-        token = raw[a:b].decode("ascii")
-        tokens.setdefault(d, []).extend((a + i, a + j, token[i:j]) for i, j in pieces(token))
-    for d, own in tokens.items():
-        out[d].extend((a, b, 3) for a, b in outermost(random_tokens(own)))
+    for d, own in tokens_of(data, off).items():
+        out[d].extend((a, b, 3) for a, b in outermost(random_tokens(own, control)))
     for spans in out:
         spans.sort(key=lambda x: (x[0], x[2]))
     return out
@@ -212,11 +311,12 @@ def find(data: np.ndarray, off: np.ndarray) -> list[list[tuple[int, int, int]]]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """Every row's spans: (kind, start, end, value) in code points, base first by kind, with doc_id and sig."""
+    control = controlled(docs)
 
     def kernel(batch: pa.RecordBatch):
         for i, j, data, off in passes(batch.column(1)):
             rows = batch.slice(i, j - i)
-            found = find(data, off)
+            found = find(data, off, control)
             lists = [[]] * len(found)
             if any(found):
                 chars = np.zeros(len(data) + 1, np.int64)
@@ -253,12 +353,12 @@ MASK = "[SECRET]"
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every secret's characters replaced by MASK (overlapping spans by one) and n_chars renewed where there is one."""
-    names, schema = docs.columns, docs.schema
+    names, schema, control = docs.columns, docs.schema, controlled(docs)
     at = names.index("text")
 
     def clean(data: np.ndarray, off: np.ndarray, text: pa.Array) -> list[str | None]:
         out = text.to_pylist()
-        for d, own in enumerate(find(data, off)):
+        for d, own in enumerate(find(data, off, control)):
             if own:
                 parts, done = [], int(off[d])
                 for a, b, _ in own:
