@@ -1,14 +1,20 @@
 """Operator 7: a quality classifier by co-training of two views.
 
 One view sees a document's words: shares and repetition of words and characters, and hashed words. The
-other sees its metadata and layout: source, language, stated length, lines. Both are logistic models,
-fitted on a bounded sample of labelled rows; over several rounds each hands its most confident labels for a
-bounded pool of unlabelled documents to the other. A held-back part of the labels calibrates both views and
-the weights that combine them. All documents are then scored in one pass.
+other sees its metadata: source, language and stated length. Both are logistic models, fitted first on a
+bounded sample of labelled rows. Over several rounds each view scores all documents and hands those that it is most
+confident of, a share at either end of its calibrated scores, to the other one as soft pseudo-labels, weighted by
+confidence; the other view takes a step over its labelled rows and all that it was handed. Pseudo-labels together weigh as much as PSEUDO of
+the labelled rows, however many they are, times what the view that gives them explains of held-back labels, so rounds do the same at
+every size of the table and a weak view teaches little. The held-back part
+of the labels calibrates both views and the weights that combine them. All documents are then scored.
+
+Features of all documents are computed once, as half-precision numbers in a scratch table; rounds read that, and only sums of
+gradients and counts of scores by bin come to the driver.
 
 Defined cases: a null or empty text has zero features and is scored like any other; metadata columns that
 a table lacks count as null; labels of unknown documents are ignored, and of several labels for a document
-the largest counts; with labels of one class only, every document scores that class; repeated rows score
+the largest counts; with labels of one class only, every document scores that class, and without labels 0.5; repeated rows score
 alike; other columns are ignored; an empty table gives an empty table.
 """
 
@@ -22,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langmix import held_out
-from .shared import arrow_schema, as_batch, mapped, passes
+from .shared import arrow_schema, as_batch, mapped, passes, scratch_table, utf8
 from .words import Words, covered, mix, repeated, window_hash
 
-#: Labelled rows that the models are fitted on, and unlabelled rows in the pool, at most.
-LABELLED, POOL = 8_000, 8_000
-#: Rounds, pseudo-labels that a view may hand over in each, and the confidence that it needs.
-ROUNDS, HANDED, SURE = 4, 400, 0.97
+#: Labelled rows that the models are fitted on, at most.
+LABELLED = 8_000
+#: Rounds, the share of all documents that a view hands over at either end of its scores, and what pseudo-labels weigh together.
+ROUNDS, HANDED, PSEUDO = 4, 0.05, 0.5
+#: Bins of calibrated log-odds, and the log-odds that the outer ones begin at.
+BINS, WIDEST = 4_000, 20.0
 #: Hash buckets of words, and of source and language.
 WORD_BUCKETS, META_BUCKETS = 256, 32
 RIDGE, KEPT = 1.0, 0.5
@@ -62,19 +70,13 @@ def text_features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.hstack([*stats, np.sqrt(hashed / n)]).astype(np.float32)
 
 
-def meta_features(data: np.ndarray, off: np.ndarray, source: list, lang: list, n_chars: np.ndarray) -> np.ndarray:
-    docs = len(off) - 1
-    breaks = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(data == 10, out=breaks[1:])
-    lines = (breaks[off[1:]] - breaks[off[:-1]] + 1)[:, None]
-    size = np.diff(off)[:, None]
-    out = np.zeros((docs, 2 * META_BUCKETS), np.float32)
+def meta_features(source: list, lang: list, n_chars: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(source), 2 * META_BUCKETS), np.float32)
     for d, (s, g) in enumerate(zip(source, lang, strict=True)):
         out[d, zlib.crc32(repr(s).encode()) % META_BUCKETS] = 1
         out[d, META_BUCKETS + zlib.crc32(repr(g).encode()) % META_BUCKETS] = 1
-    stated = np.nan_to_num(n_chars.astype(np.float64))[:, None]
-    stats = [np.log1p(np.maximum(stated, 0)) / 10, np.log1p(size) / 10, np.log1p(lines) / 5, np.log1p(size / lines) / 5, lines == 1, size < 120]
-    return np.hstack([*stats, out]).astype(np.float32)
+    stated = np.log1p(np.maximum(np.nan_to_num(n_chars.astype(np.float64)), 0))[:, None] / 10
+    return np.hstack([stated, stated * stated, np.isnan(n_chars)[:, None], out]).astype(np.float32)
 
 
 def _views(batch: pa.RecordBatch):
@@ -82,7 +84,7 @@ def _views(batch: pa.RecordBatch):
     for i, j, data, off in passes(batch.column(0)):
         rows = batch.slice(i, j - i)
         n_chars = rows.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
-        yield i, j, text_features(data, off), meta_features(data, off, rows.column(1).to_pylist(), rows.column(2).to_pylist(), n_chars)
+        yield i, j, text_features(data, off), meta_features(rows.column(1).to_pylist(), rows.column(2).to_pylist(), n_chars)
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = RIDGE) -> np.ndarray:
@@ -110,46 +112,57 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def loss(p: np.ndarray, y: np.ndarray) -> float:
+    p = np.clip(p, 1e-12, 1 - 1e-12)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+
 class Model:
-    """Both views' weights, each one's calibration, and how the calibrated views combine."""
+    """Both views' weights, each one's calibration, and how the calibrated views combine.
 
-    def __init__(self, views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS):
+    given: by round and view, how many documents it was handed, of all the documents that may be learned from.
+    """
+
+    def __init__(self, views: list[np.ndarray], y: np.ndarray):
         self.only = float(y[0]) if len(y) and (y == y[0]).all() else None if len(y) else 0.5
+        self.given: list[list[int]] = []
         if self.only is not None:
             return
         hold = np.arange(len(y)) % 4 == 3  # rows come in hash order
         if len(set(y[hold])) < 2 or len(set(y[~hold])) < 2:
             hold = np.zeros(len(y), bool)
         held = hold if hold.any() else ~hold
-        given: list[dict[int, float]] = [{}, {}]  # by view: pool row and label
-        self.weights = [fit(v[~hold], y[~hold]) for v in views]
-        for _ in range(rounds if len(pool[0]) else 0):
-            for view in (0, 1):
-                p = self._calibrated(view, views, y, held, pool[view])
-                for label, order in ((1.0, np.argsort(-p, kind="stable")), (0.0, np.argsort(p, kind="stable"))):
-                    share = max(1, round(HANDED * (y == label).mean()))
-                    sure = [i for i in order[: 4 * share].tolist() if abs(p[i] - label) <= 1 - SURE and i not in given[1 - view]]
-                    given[1 - view].update((i, label) for i in sure[:share])
-            for view in (0, 1):
-                rows = np.array(sorted(given[view]), np.int64)
-                x = np.vstack([views[view][~hold], pool[view][rows]])
-                labels = np.concatenate([y[~hold], [given[view][i] for i in rows.tolist()]])
-                self.weights[view] = fit(x, labels, np.concatenate([np.ones((~hold).sum()), np.full(len(rows), 0.5)]))
-        self.scale = [self._scale(v, views, y, held) for v in (0, 1)]
-        both = np.stack([self.calibrated(v, views[v][held]) for v in (0, 1)], axis=1)
-        self.combine = fit(both, y[held], ridge=0.1)
-
-    def _scale(self, view: int, views: list[np.ndarray], y: np.ndarray, held: np.ndarray) -> np.ndarray:
-        return fit(logit(self.weights[view], views[view][held])[:, None], y[held], ridge=0.1)
-
-    def _calibrated(self, view: int, views: list[np.ndarray], y: np.ndarray, held: np.ndarray, x: np.ndarray) -> np.ndarray:
-        scale = self._scale(view, views, y, held)
-        return sigmoid(scale[0] + scale[1] * logit(self.weights[view], x))
+        self.views, self.y = [v[~hold].astype(np.float64) for v in views], y[~hold]
+        self.held_views, self.held_y = [v[held].astype(np.float64) for v in views], y[held]
+        self.weights = [fit(v, self.y) for v in self.views]
+        self.calibrate()
+
+    def calibrate(self) -> None:
+        self.scale = [fit(logit(w, v)[:, None], self.held_y, ridge=0.1) for w, v in zip(self.weights, self.held_views, strict=True)]
+        both = np.stack([self.calibrated(v, self.held_views[v]) for v in (0, 1)], axis=1)
+        self.combine = fit(both, self.held_y, ridge=0.1)
+        base = loss(np.full(len(self.held_y), self.held_y.mean()), self.held_y)
+        self.worth = [max(0.0, 1 - loss(sigmoid(z), self.held_y) / base) if base else 0.0 for z in both.T]
 
     def calibrated(self, view: int, x: np.ndarray) -> np.ndarray:
         """A view's calibrated log-odds."""
         return self.scale[view][0] + self.scale[view][1] * logit(self.weights[view], x)
 
+    def step(self, view: int, pull: np.ndarray, weight: float) -> None:
+        """A step of a view over its labelled rows (Newton's) and the gradient and weight of what it was handed.
+
+        Pseudo-labels are scaled to weigh PSEUDO of the labelled rows, times the other view's worth: the share of the loss of
+        held-back labels that its scores explain. Their curvature is bounded by a quarter of the features' second moments, taken from the labelled rows.
+        """
+        z, w = np.hstack([np.ones((len(self.y), 1)), self.views[view]]), self.weights[view]
+        p = sigmoid(z @ w)
+        hold = np.full(len(w), RIDGE)
+        hold[0] = 1e-6
+        most = PSEUDO * self.worth[1 - view] if weight else 0.0
+        share = most * len(self.y) / weight if weight else 0.0
+        curve = (z * (np.maximum(p * (1 - p), 1e-6) + most / 4)[:, None]).T @ z + np.diag(hold)
+        self.weights[view] = w - np.linalg.solve(curve, z.T @ (p - self.y) + hold * w + share * pull)
+
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.only is not None:
             one = np.full(len(text), self.only)
@@ -157,52 +170,139 @@ class Model:
         a, b = self.calibrated(0, text), self.calibrated(1, meta)
         return sigmoid(a), sigmoid(b), sigmoid(self.combine[0] + self.combine[1] * a + self.combine[2] * b)
 
+    def slim(self) -> Model:
+        """What workers need: no labelled rows."""
+        out = object.__new__(Model)
+        out.__dict__ = {k: v for k, v in self.__dict__.items() if k in ("only", "weights", "scale", "combine")}
+        return out
+
+
+def bin_of(z: np.ndarray) -> np.ndarray:
+    return np.clip((z + WIDEST) * (BINS / (2 * WIDEST)), 0, BINS - 1).astype(np.int64)
+
+
+def ends(counts: np.ndarray, share: float = HANDED) -> tuple[int, int]:
+    """The last bin of the low end and the first one of the high end: the fewest bins that hold a share of all, or the outermost."""
+    total = np.cumsum(counts)
+    low = int(np.searchsorted(total, share * total[-1]))
+    high = int(np.searchsorted(total, (1 - share) * total[-1], side="right"))
+    return min(low, high - 1), max(high, low + 1)
+
+
+def handed(teacher: np.ndarray, low: int, high: int, student: np.ndarray, w: np.ndarray) -> tuple[int, float, np.ndarray]:
+    """(documents, their weight, gradient) of what a teacher's calibrated log-odds hand to a student of weights w."""
+    at = bin_of(teacher)
+    some = (at <= low) | (at >= high)
+    said = sigmoid(teacher[some])
+    sure = np.abs(2 * said - 1)
+    z = np.hstack([np.ones((int(some.sum()), 1)), student[some].astype(np.float64)])
+    return int(some.sum()), float(sure.sum()), z.T @ (sure * (sigmoid(z @ w) - said))
+
 
 def _columns(docs: DataFrame) -> list:
     kinds = {"source": "string", "lang": "string", "n_chars": "double"}
     return ["text", *[(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]]
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """A model from at most `labelled` rows with a label, outside the held-out fold, and a pool of documents."""
+def features(docs: DataFrame) -> DataFrame:
+    """Every row's doc_id, held_out and both views as half-precision numbers."""
+
+    def kernel(batch: pa.RecordBatch):
+        for i, j, text, meta in _views(batch):
+            part = batch.slice(i, j - i)
+            yield [part.column(4), part.column(5), *[[r.tobytes() for r in v.astype(np.float16)] for v in (text, meta)]]
+
+    rows = docs.select(*_columns(docs), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"))
+    return mapped(rows, kernel, "doc_id long, held_out boolean, text_view binary, meta_view binary")
+
+
+def _matrix(column) -> np.ndarray:
+    data, off = utf8(column)
+    return data.view(np.float16).reshape(len(off) - 1, -1).astype(np.float32) if len(off) > 1 else np.zeros((0, 1), np.float32)
+
+
+def train(found: DataFrame, labels: DataFrame, target: str = "quality", labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
+    """A model from at most `labelled` documents with a label, and pseudo-labels of all documents, outside the held-out fold.
+
+    found: features() of the documents.
+    """
     order = F.xxhash64(F.lit(7), "doc_id")
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), target)
-    known = known.groupBy("doc_id").agg(F.max(target).cast("double").alias("label")).orderBy(order, "doc_id").limit(labelled)
-    free = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64(F.lit(70), "doc_id"), "doc_id").limit(pool)
-    sample = known.unionByName(free.withColumn("label", F.lit(None).cast("double"))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), *_columns(docs))
-    rows = rows.join(F.broadcast(sample), F.col("__id") == F.col("doc_id"))  # labelled + pool rows at most
-    schema = "doc_id long, label double, text_view binary, meta_view binary"
+    known = known.groupBy("doc_id").agg(F.max(target).cast("double").alias("label"))
+    known = known.join(found.select("doc_id"), "doc_id", "left_semi").orderBy(order, "doc_id").limit(labelled)
+    rows = found.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text_view", "meta_view")).alias("v"), F.max("label").alias("label"))
+    got = rows.orderBy(order, "doc_id").select("v.*", "label").toArrow()  # `labelled` rows at most
+    y = (np.array(got["label"].to_pylist(), float) > 0).astype(float)
+    model = Model([_matrix(got["text_view"]), _matrix(got["meta_view"])], y)
+    if model.only is not None:
+        return model
+    pool = found.where("not held_out").select("text_view", "meta_view")
+    for _ in range(rounds):
+        shared = found.sparkSession.sparkContext.broadcast(model.slim())
+        counts = [np.zeros(BINS, np.int64) for _ in (0, 1)]
+        for view, at, n in _bins(pool, shared).collect():  # BINS rows a view at most
+            counts[view][at] = n
+        limits = [ends(c) for c in counts]
+        size = [len(w) for w in model.weights]
+        sums = [np.zeros(n + 2) for n in size]
+        for view, at, x in _pulls(pool, shared, limits).collect():  # a row a weight
+            sums[view][at] = x
+        for view in (0, 1):
+            model.step(view, sums[view][2:], sums[view][1])
+        model.given.append([int(x[0]) for x in sums])
+        model.calibrate()
+    return model
+
+
+def _bins(pool: DataFrame, shared) -> DataFrame:
+    """(view, bin, n): how many documents' calibrated scores each bin has."""
+    schema = "view int, bin int, n long"
     arrow = arrow_schema(schema)
 
-    def features(batches):
+    def run(batches):
+        total = np.zeros((2, BINS), np.int64)
         for batch in batches:
-            for i, j, text, meta in _views(batch):
-                part = batch.slice(i, j - i)
-                yield as_batch([part.column(4), part.column(5), [r.tobytes() for r in text], [r.tobytes() for r in meta]], arrow)
+            for view in (0, 1):
+                total[view] += np.bincount(bin_of(shared.value.calibrated(view, _matrix(batch.column(view)))), minlength=BINS)
+        view, at = np.nonzero(total)
+        yield as_batch([view, at, total[view, at]], arrow)
 
-    found = rows.select("text", "source", "lang", "n_chars", "doc_id", "label").mapInArrow(features, schema)
-    got = found.orderBy(order, "doc_id", "text_view", "meta_view").limit(labelled + pool).toArrow()
-    unpack = lambda c, rows: np.array([np.frombuffer(b, np.float32) for b, r in zip(got[c].to_pylist(), rows, strict=True) if r])
-    y = np.array([np.nan if v is None else v for v in got["label"].to_pylist()])
-    has = ~np.isnan(y)
-    empty = lambda v: v if len(v) else np.zeros((0, 1), np.float32)
-    return Model([unpack(c, has) for c in ("text_view", "meta_view")], (y[has] > 0).astype(float), [empty(unpack(c, ~has)) for c in ("text_view", "meta_view")])
+    return pool.mapInArrow(run, schema).groupBy("view", "bin").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row's doc_id, held_out, both views' probabilities, score and kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _pulls(pool: DataFrame, shared, limits: list[tuple[int, int]]) -> DataFrame:
+    """(view, i, x): of what the other view hands to each, the number, the weight, and then the gradient, summed over all documents."""
+    schema = "view int, i int, x double"
+    arrow = arrow_schema(schema)
+
+    def run(batches):
+        model = shared.value
+        total = [np.zeros(len(w) + 2) for w in model.weights]
+        for batch in batches:
+            views = [_matrix(batch.column(v)) for v in (0, 1)]
+            for view in (0, 1):
+                n, weight, pull = handed(model.calibrated(1 - view, views[1 - view]), *limits[1 - view], views[view], model.weights[view])
+                total[view] += np.concatenate([[n, weight], pull])
+        for view in (0, 1):
+            yield as_batch([np.full(len(total[view]), view), np.arange(len(total[view])), total[view]], arrow)
+
+    return pool.mapInArrow(run, schema).groupBy("view", "i").agg(F.sum("x").alias("x"))
+
+
+def score(found: DataFrame, model: Model) -> DataFrame:
+    """Every row's doc_id, held_out, both views' probabilities, score and kept, of features()."""
+    shared = found.sparkSession.sparkContext.broadcast(model.slim())
 
     def kernel(batch: pa.RecordBatch):
-        for i, j, text, meta in _views(batch):
-            part = batch.slice(i, j - i)
-            a, b, both = shared.value.score(text, meta)
-            yield [part.column(4), part.column(5), a, b, both, both >= KEPT]
+        a, b, both = shared.value.score(_matrix(batch.column(2)), _matrix(batch.column(3)))
+        yield [batch.column(0), batch.column(1), a, b, both, both >= KEPT]
 
-    rows = docs.select(*_columns(docs), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"))
-    return mapped(rows, kernel, "doc_id long, held_out boolean, text_score double, meta_score double, score double, kept boolean")
+    return mapped(found, kernel, "doc_id long, held_out boolean, text_score double, meta_score double, score double, kept boolean")
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, train(docs, labels))
+def classify(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    spark = docs.sparkSession
+    path = scratch_table(spark, "views")
+    features(docs).write.parquet(path)
+    found = spark.read.parquet(path)
+    return score(found, train(found, labels, rounds=rounds))
