@@ -2,8 +2,9 @@
 
 An archive is a table of chunks: archive, record, chunk number, chunks of the record, and bytes; the bytes
 of an archive's chunks in order are a WARC/1.1 file. Records of one chunk are read where they lie; only the
-chunks of oversized ones are brought together, in order. A payload goes out in pieces of bounded size, and digests are carried from
-piece to piece, when writing and when reading, so no step joins a record's pieces in memory. Equal payloads
+chunks of oversized ones are brought together, in order. A payload goes out in pieces of bounded size and no step joins a record's
+pieces in memory: the writer carries a digest from piece to piece and checks it against the column's, by which equal payloads were
+found, and the reader carries another. Equal payloads
 are stored once: the record of the smallest page_id is a response, the others are revisits that name it.
 
 Defined cases: null html is an empty payload; empty payloads are deduplicated like others unless the least
@@ -23,10 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, as_batch, scratch_table
+from .shared import arrow_schema, as_batch, cut, scratch_table
 
 #: Payload bytes in one chunk, and payloads below which nothing is deduplicated.
 CHUNK, LEAST = 1 << 18, 0
+#: Repeated digests that are sent to all workers, at most; about 100 bytes each.
+BROADCAST = 500_000
 #: Bytes in which a record's headers are looked for first.
 _HEAD = 4096
 DATE = "2024-01-31T00:00:00Z"
@@ -38,12 +41,26 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-L
 
 
 def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, url, html, digest, first) of every page; first is the page_id of its response, null for a response."""
+    """(page_id, url, html, digest, bytes, first) of every page; first is the page_id of its response, null for a response.
+
+    Payloads stay where they are if the digests that occur twice are few enough to be sent to all workers. Beyond that, revisits, which
+    need no payload, are found by keys and sizes alone, and payloads meet only the keys of the rows that keep them.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html")).withColumn("bytes", F.octet_length("html"))
     first = rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    both = rows.join(first.drop("n"), ["digest", "bytes"], "left")
-    return both.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).select("page_id", "url", "html", "digest", "bytes", "first")
+    first = cut(first.drop("n"))
+    revisits = ~F.col("page_id").eqNullSafe(F.col("first"))
+    names = ["page_id", "url", "html", "digest", "bytes", "first"]
+    if first.count() <= BROADCAST:
+        both = rows.join(F.broadcast(first), ["digest", "bytes"], "left")
+        return both.withColumn("first", F.when(F.col("first").isNotNull() & revisits, F.col("first"))).select(*names)
+    again = rows.drop("html").join(first, ["digest", "bytes"]).where(F.col("first").isNotNull() & revisits).withColumn("html", F.lit(""))
+    gone = again.select("page_id", "digest", "bytes").distinct()
+    same = (F.col("page_id").eqNullSafe(F.col("__p"))) & (F.col("digest") == F.col("__d")) & (F.col("bytes") == F.col("__b"))
+    gone = gone.select(F.col("page_id").alias("__p"), F.col("digest").alias("__d"), F.col("bytes").alias("__b"))
+    kept = rows.join(gone, same, "left_anti").withColumn("first", F.lit(None).cast("long"))
+    return kept.select(*names).unionByName(again.select(*names))
 
 
 def _record_id(page_id: int | None, url: str) -> str:
@@ -83,9 +100,12 @@ def chunked(rows: DataFrame, size: int = CHUNK) -> DataFrame:
         http = _HTTP % n
         head = _header("response", record, url, digest, len(http) + n, more) + http
         chunks = max(1, -(-n // size))
-        payload = memoryview(html.as_buffer())
+        payload, running = memoryview(html.as_buffer()), hashlib.sha1()
         for k in range(chunks):
             piece = bytes(payload[k * size : (k + 1) * size])
+            running.update(piece)
+            if k == chunks - 1 and running.hexdigest() != digest:
+                raise ValueError(f"payload of {record} has another digest than its column")
             yield k, chunks, (head if k == 0 else b"") + piece + (_END if k == chunks - 1 else b"")
 
     def write(batches):
@@ -119,10 +139,13 @@ class _Record:
         parts = bytes(view[:_HEAD]).split(b"\r\n\r\n", 2)
         if len(parts) < 3:
             parts = bytes(view).split(b"\r\n\r\n", 2)  # a very long URL
-        lines = parts[0].decode().split("\r\n")
+        lines = parts[0].decode(errors="replace").split("\r\n")
         self.fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
         if lines[0] != "WARC/1.1" or len(parts) < 3:
-            raise ValueError(f"not a WARC record: {head[:80]!r}")
+            raise ValueError(f"not a WARC record: {bytes(view[:80])!r}")
+        lacking = {"WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Payload-Digest", "X-Page-ID", "X-Payload-Bytes", "Content-Length"} - set(self.fields)
+        if lacking:
+            raise ValueError(f"a WARC record without {', '.join(sorted(lacking))}: {bytes(view[:80])!r}")
         self.left = int(self.fields["Content-Length"]) - len(parts[1]) - 4
         self.sum, self.bytes, self.tail = hashlib.sha1(), 0, b""
         self.take(view[len(parts[0]) + len(parts[1]) + 8 :])
