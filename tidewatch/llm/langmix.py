@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, as_batch, mapped, passes
+from .shared import PASS_BYTES, arrow_schema, as_batch, mapped, passes
 from .words import LOWER, Words
 
 #: Buckets of hashed grams, rounds of expectation-maximisation, and the weight of a gram never seen.
 BUCKETS, ROUNDS, SMOOTH = 1 << 14, 8, 0.5
+#: Grams whose likelihoods are held at a time, and languages beyond which passes over texts are smaller.
+SLICE, FEW = 1 << 16, 8
 #: Documents with this remainder of crc32(doc_id as text) by FOLDS are never learned from.
 FOLDS, HELD_OUT = 4, 2
 _ASCII_LETTER = np.zeros(256, bool)
@@ -79,47 +81,77 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return names.tolist(), np.log(n / n.sum(axis=0)).astype(np.float32)
 
 
-def _sums(values: np.ndarray, w: Words) -> np.ndarray:
-    """Sums of the rows of values by text; texts without words get zeros."""
-    out = np.zeros((w.docs, values.shape[1]))
-    full = np.flatnonzero(w.n)
-    if len(full):
-        out[full] = np.add.reduceat(values, w.at[:-1][full], axis=0)
-    return out
+class _Part:
+    """The words of some texts: each one's text, and where texts begin."""
+
+    def __init__(self, n: np.ndarray):
+        self.n, self.at = n, np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(n)), n)
 
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums of the rows of values by text; texts without words get zeros."""
+        out = np.zeros((len(self.n), values.shape[1]))
+        full = np.flatnonzero(self.n)
+        if len(full):
+            out[full] = np.add.reduceat(values, self.at[full], axis=0)
+        return out
 
-def _mixture(like: np.ndarray, share: np.ndarray, w: Words, rounds: int) -> np.ndarray:
+
+def _mixture(like: np.ndarray, share: np.ndarray, w: _Part, rounds: int) -> np.ndarray:
     for _ in range(rounds):
         part = like * share[w.doc]
         part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
-        share = _sums(part, w) / np.maximum(w.n, 1)[:, None]
+        share = w.sums(part) / np.maximum(w.n, 1)[:, None]
     return share
 
 
+def _word_logs(g: np.ndarray, first: np.ndarray, last: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Each word's log-likelihood in each language: sums of the table over its grams, a slice of SLICE grams at a time."""
+    out = np.zeros((len(first), table.shape[1]))
+    i = 0
+    while i < len(first):
+        lo = int(first[i])
+        if last[i] - lo > SLICE:  # a word as long as a text: its grams are counted, not listed
+            out[i] = np.bincount(g[lo : last[i]], minlength=BUCKETS) @ table
+            i += 1
+            continue
+        j = i + int(np.searchsorted(last[i:], lo + SLICE, side="right"))
+        total = np.zeros((int(last[j - 1]) - lo + 1, table.shape[1]))
+        np.cumsum(table[g[lo : last[j - 1]]], axis=0, out=total[1:])
+        out[i:j] = total[last[i:j] - lo] - total[first[i:j] - lo]
+        i = j
+    return out
+
+
 def infer(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For several texts: each language's share (zero outside the selected set), and the selected set's penalised likelihood."""
+    """For several texts: each language's share (zero outside the selected set), and the selected set's penalised likelihood.
+
+    Sets grow by one language at a time, each text's until it gains nothing.
+    """
     w, k = Words(data, off), table.shape[1]
     g = grams(data)
-    total = np.zeros((len(g) + 1, k))
-    np.cumsum(table[g], axis=0, out=total[1:])
     # A word's grams start at the separator before it, where there is one, and end within a byte after it.
-    first = np.maximum(w.start - 1, off[w.doc]) if len(w) else w.start
-    last = np.clip(np.minimum(w.end - 1, off[w.doc + 1] - 2) if len(w) else w.end, first, len(g))
-    log = total[last] - total[np.minimum(first, len(g))]
-    top = log.max(axis=1, keepdims=True) if len(w) else log[:, :1]
-    like = np.exp(np.maximum(log - top, -60))
-    share = _mixture(like, np.full((w.docs, k), 1 / k), w, ROUNDS)
+    first = np.minimum(np.maximum(w.start - 1, off[w.doc]), len(g)) if len(w) else w.start
+    last = np.clip(np.minimum(w.end - 1, off[w.doc + 1] - 2), first, len(g)) if len(w) else w.end
+    like = _word_logs(g, first, last, table)
+    if len(w):
+        like = np.exp(np.maximum(like - like.max(axis=1, keepdims=True), -60))
+    part, still = _Part(w.n), np.arange(w.docs)
+    share = _mixture(like, np.full((w.docs, k), 1 / k), part, ROUNDS)
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
     best, chosen = np.full(w.docs, -np.inf), np.zeros((w.docs, k))
     for size in range(1, k + 1):
-        trial = np.where(rank < size, share, 0) + np.where(rank < size, 1e-9, 0)
-        trial = _mixture(like, trial / trial.sum(axis=1, keepdims=True), w, 2 if size > 1 else 0)
-        fit = np.log(np.maximum((like * trial[w.doc]).sum(axis=1, keepdims=True), 1e-30))
-        score = _sums(fit, w)[:, 0] - (size - 1) / 2 * np.log(np.maximum(w.n, 2))
-        better = score > best
-        best[better], chosen[better] = score[better], trial[better]
-        if not better.any():
+        within = rank[still] < size
+        trial = np.where(within, share[still] + 1e-9, 0)
+        trial = _mixture(like, trial / trial.sum(axis=1, keepdims=True), part, 2 if size > 1 else 0)
+        fit = np.log(np.maximum((like * trial[part.doc]).sum(axis=1, keepdims=True), 1e-30))
+        score = part.sums(fit)[:, 0] - (size - 1) / 2 * np.log(np.maximum(part.n, 2))
+        better = score > best[still]
+        best[still[better]], chosen[still[better]] = score[better], trial[better]
+        like, still = like[better[part.doc]], still[better]
+        if not len(still):
             break
+        part = _Part(w.n[still])
     return chosen, best
 
 
@@ -140,7 +172,7 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
     labels = np.array([*names, "und"], object)
 
     def kernel(batch: pa.RecordBatch):
-        for i, j, data, off in passes(batch.column(1)):
+        for i, j, data, off in passes(batch.column(1), PASS_BYTES * FEW // max(FEW, len(names))):
             rows, has = batch.slice(i, j - i), letters(data, off)
             if names:
                 share, _ = infer(data, off, model.value)
