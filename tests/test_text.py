@@ -44,7 +44,7 @@ def test_titles_and_dates(spark):
 def test_acronyms(spark):
     text = "Η ΑΔΕΔΥ και το Κ.Κ.Ε. με ΟΛΜΕ"
     masked = one(spark, T.mask_acronyms(F.lit(text)))
-    assert masked.text == "Η ACRNM0X και το ACRNM1X με ACRNM2X" and masked.acronyms == ["ΑΔΕΔΥ", "Κ.Κ.Ε.", "ΟΛΜΕ"]
+    assert masked.text == "Η ⟦0⟧ και το ⟦1⟧ με ⟦2⟧" and masked.acronyms == ["ΑΔΕΔΥ", "Κ.Κ.Ε.", "ΟΛΜΕ"]
     both = spark.range(1).select(T.mask_acronyms(F.lit(text)).alias("m")).select(T.restore_acronyms(F.col("m.text"), F.col("m.acronyms")).alias("x"))
     assert both.first().x == text
 
@@ -63,3 +63,11 @@ def test_labels(spark):
 def test_html(spark):
     page = "<html><nav>menu</nav><article><h1>Title</h1><script>x<y</script><p>" + "body &amp; soul " * 5 + "</p></article></html>"
     assert one(spark, T.html_text(F.lit(page))).startswith("Title body & soul") and one(spark, T.html_text(F.lit("<p>short</p>"))) is None
+
+
+def test_fenced_objects(spark):
+    for said, wanted in (
+        ('```json\n{"locations": ["Athens", "Patras"]}\n```', ["Athens", "Patras"]), ('{"locations": "Athens"}', ["Athens"]), ('{"location": ["Volos"]}', ["Volos"]),
+        ('{"location": "Volos"}', ["Volos"]), ('{"other": 1}', []), ('["a", "b"]', ["a", "b"]), ('"one"', ["one"]),
+    ):
+        assert one(spark, T.fenced_json(F.lit(said))) == wanted

@@ -113,20 +113,26 @@ def is_greek(x: Column) -> Column:
     return script_share(x) > 0.30
 
 
-#: Upper-case Greek letters with dots between, or two and more in a row.
-ACRONYM = r"[Α-Ω](?:\.[Α-Ω]){1,}\.?|[Α-Ω]{2,}(?:\s[Α-Ω]{1,})*"
+#: Upper-case Greek letters with dots between, or two and more in a row with further words in capitals.
+_CAPITAL = r"[\u0391-\u03A9]"
+ACRONYM = rf"(?:{_CAPITAL}\.)+{_CAPITAL}\.?|{_CAPITAL}{_CAPITAL}+(?: {_CAPITAL}+)*"
+
+
+def _held(i: Column) -> Column:
+    """What stands for the acronym of a number."""
+    return F.concat(F.lit("\u27E6"), i.cast("string"), F.lit("\u27E7"))
 
 
 def mask_acronyms(x: Column) -> Column:
     """struct(text, acronyms): each acronym replaced by a numbered placeholder."""
     parts = F.split(x, ACRONYM, -1)
     last = F.size(parts) - 1
-    masked = F.transform(parts, lambda p, i: F.when(i < last, F.concat(p, F.lit("ACRNM"), i.cast("string"), F.lit("X"))).otherwise(p))
+    masked = F.transform(parts, lambda p, i: F.when(i < last, F.concat(p, _held(i))).otherwise(p))
     return F.struct(F.array_join(masked, "").alias("text"), F.regexp_extract_all(x, F.lit(ACRONYM), F.lit(0)).alias("acronyms"))
 
 
 def restore_acronyms(text: Column, acronyms: Column) -> Column:
-    numbered = F.transform(acronyms, lambda a, i: F.struct(F.concat(F.lit("ACRNM"), i.cast("string"), F.lit("X")).alias("mark"), a.alias("word")))
+    numbered = F.transform(acronyms, lambda a, i: F.struct(_held(i).alias("mark"), a.alias("word")))
     return F.aggregate(numbered, text, lambda t, a: F.replace(t, a["mark"], a["word"]))
 
 
@@ -159,8 +165,17 @@ def bilingual(lang: Column, el: Column, en: Column) -> Column:
 
 
 def fenced_json(x: Column) -> Column:
-    """The JSON in a reply that may stand in a code fence, as a list of strings; null if it is no JSON."""
-    bare = F.trim(F.regexp_replace(x, r"```(?:json)?", ""))
+    """The JSON in a reply that may stand in a code fence, as a list of strings; null if it is no JSON.
+
+    Of an object its `locations` are taken, else its `location`, a list or one string; an object with neither gives an empty list.
+    """
+    bare = F.regexp_replace(F.regexp_replace(x, r"```(?:json)?", ""), r"^\s+|\s+$", "")
+    said = F.coalesce(F.get_json_object(bare, "$.locations"), F.get_json_object(bare, "$.location"))
+    listed = F.when(F.startswith(said, F.lit("[")), F.from_json(said, "array<string>")).when(said.isNotNull(), F.array(said)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.get_json_object(bare, "$").isNotNull() & F.startswith(bare, F.lit("{")), listed).otherwise(_strings(bare))
+
+
+def _strings(bare: Column) -> Column:
     return F.coalesce(F.from_json(bare, "array<string>"), F.array_compact(F.array(F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>")[0])))
 
 

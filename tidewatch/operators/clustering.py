@@ -147,6 +147,11 @@ def candidates(articles: DataFrame, as_of, days: int = 14) -> DataFrame:
     return articles.where(F.col("embedding").isNotNull() & ~F.col("is_duplicate") & F.col("event_id").isNull() & (F.col("ingested_at") >= start))
 
 
+def unembedded(articles: DataFrame) -> DataFrame:
+    """What is still to be embedded: no vector yet, and no duplicate."""
+    return articles.where(F.col("embedding").isNull() & ~F.coalesce("is_duplicate", F.lit(False)))
+
+
 def gated(df: DataFrame, cluster: str, vector: str, least: int = MIN_ARTICLES, cohesion: float = MIN_COHESION) -> DataFrame:
     """(cluster, n, centroid, cohesion) of clusters with enough members that are alike enough; noise is none."""
     rows = centroids(df.where(F.col(cluster) != -1), cluster, vector)
@@ -207,7 +212,12 @@ def baseline(df: DataFrame, cluster: str, vector: str, key: str) -> DataFrame:
     """(metric, value): the measures that runs are compared by."""
     clustered = df.where(F.col(cluster) != -1)
     parts = [
-        df.agg(F.count("*").cast("double").alias("records"), F.avg((F.col(cluster) == -1).cast("double")).alias("noise_share")),
+        df.agg(
+            F.count("*").cast("double").alias("records"), F.count_if(F.col(cluster) != -1).cast("double").alias("clustered"), F.count_if(F.col(cluster) == -1).cast("double").alias("noise"),
+            F.avg((F.col(cluster) == -1).cast("double")).alias("noise_share"), F.max(F.size(vector)).cast("double").alias("dimensions"),
+        ),
+        clustered.groupBy(cluster).agg(F.count("*").alias("n")).agg(F.median("n").cast("double").alias("median_size"), F.max("n").cast("double").alias("largest_size")),
+        silhouette(clustered, cluster, vector, key).groupBy(cluster).agg(F.avg("silhouette").alias("s")).agg(F.count_if(F.col("s") < 0).cast("double").alias("negative_clusters")),
         centroids(clustered, cluster, vector).agg(F.count("*").cast("double").alias("clusters"), F.avg("cohesion").alias("mean_cohesion"), F.median("cohesion").alias("median_cohesion"), F.min("cohesion").alias("min_cohesion")),
         silhouette(clustered, cluster, vector, key).agg(F.avg("silhouette").alias("silhouette")),
         davies_bouldin(clustered, cluster, vector), calinski_harabasz(clustered, cluster, vector),

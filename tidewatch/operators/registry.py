@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.vector import dot
@@ -14,6 +14,8 @@ THETA = 0.85
 SETTLED = ("closed", "rejected")
 #: Clusters of one run whose order matters, at most.
 MOST_CLUSTERS = 100_000
+#: Live events that are kept for each cluster of a run, the nearest ones.
+OPTIONS = 16
 
 
 def matchable(events: DataFrame) -> DataFrame:
@@ -41,22 +43,31 @@ def assign(clusters: DataFrame, events: DataFrame, theta: float = THETA) -> list
         raise ValueError(f"more than {MOST_CLUSTERS} clusters in a run")
     sim = F.round(dot(F.col("centroid"), F.col("__c")), 9)
     near = matchable(events).select("event_id", "centroid").join(F.broadcast(clusters.select("cluster_id", F.col("centroid").alias("__c"))))
-    near = near.select("cluster_id", "event_id", sim.alias("s")).where(F.col("s") >= theta).collect()
-    options: dict = {}
-    for r in near:
-        options.setdefault(r.cluster_id, []).append((r.event_id, r.s))
-    moved: dict[str, np.ndarray] = {}  # events whose centroid this run has set
+    near = near.select("cluster_id", "event_id", sim.alias("s")).where(F.col("s") >= theta)
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "event_id"))), 1, OPTIONS)
+    ranked = near.withColumn("__n", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("s"), "event_id"))).where(F.col("__n") <= OPTIONS)
+    options = {r.cluster_id: [(x.event_id, -x.s) for x in r.own] for r in ranked.groupBy("cluster_id").agg(top.alias("own")).collect()}
+    moved: dict[str, int] = {}  # events whose centroid this run has set, and the row of it
+    held = np.zeros((len(rows), len(rows[0].centroid) if rows else 0))
     out = []
     for r in rows:
         v = np.array(r.centroid, float)
-        found = [(e, s) for e, s in options.get(r.cluster_id, []) if e not in moved]
-        found += [(e, s) for e, c in moved.items() if (s := round(float(c @ v), 9)) >= theta]
+        own = options.get(r.cluster_id, [])
+        found = [(e, s) for e, s in own if e not in moved][:1]
+        if len(own) == OPTIONS and not found:  # all that were kept have moved: the registry is asked again, without them
+            gone = events.sparkSession.createDataFrame([(e,) for e in moved], "event_id string")
+            left = best_match(clusters.where(F.col("cluster_id") == r.cluster_id), events.join(gone, "event_id", "left_anti"), theta).first()
+            found = [(left.event_id, left.similarity)] if left else []
+        if moved:
+            sims = np.round(held[: len(moved)] @ v, 9)
+            found += [(e, float(sims[i])) for e, i in moved.items() if sims[i] >= theta]
         if found:
             event, s = min(found, key=lambda x: (-x[1], x[0]))
         else:
             event, s = hashlib.sha256(f"{r.cluster_id}|{r.first_id}".encode()).hexdigest()[:32], None
         out.append({"cluster_id": r.cluster_id, "event_id": event, "is_new": not found, "similarity": s})
-        moved[event] = v
+        at = moved.setdefault(event, len(moved))
+        held[at] = v
     return out
 
 
@@ -82,6 +93,19 @@ def close_unseen(registry: DataFrame, seen: DataFrame) -> DataFrame:
     return flagged.withColumn("status", F.when(F.col("__seen").isNull() & (F.col("status") == "ongoing"), "closed").otherwise(F.col("status"))).drop("__seen")
 
 
+def run(events: DataFrame, clusters: DataFrame, as_of: Column, theta: float = THETA) -> tuple[DataFrame, DataFrame]:
+    """(registry, assigned) after the clusters of one run: cluster_id, centroid, n, first_id. Entries of another dimension stay as they are and match nothing."""
+    spark = events.sparkSession
+    first = clusters.select(F.size("centroid").alias("k")).first()
+    known = same_size(events, first.k) if first else events
+    found = assign(clusters, known, theta)
+    kinds = dict(clusters.dtypes)
+    schema = f"cluster_id {kinds['cluster_id']}, event_id string, is_new boolean, similarity double"
+    assigned = spark.createDataFrame([(r["cluster_id"], r["event_id"], r["is_new"], r["similarity"]) for r in found], schema)
+    both = assigned.join(clusters.select("cluster_id", "centroid", "n"), "cluster_id")
+    return apply(events, both, as_of), both
+
+
 def same_size(registry: DataFrame, size: int) -> DataFrame:
     """Entries whose centroid has the run's dimension; others can't be compared."""
     return registry.where(F.size("centroid") == size)

@@ -102,6 +102,23 @@ def cluster_sizes(df: DataFrame, cluster: str, source: str, duplicate: Column) -
     return a.join(b)  # one row each
 
 
+def cluster_sources(df: DataFrame, cluster: str, source: str) -> DataFrame:
+    """(cluster, sources): distinct sources of each cluster, noise left out."""
+    return df.where(F.col(cluster) != -1).groupBy(cluster).agg(F.count_distinct(source).alias("sources"))
+
+
+def representative_titles(articles: DataFrame, group: str, order: str = "ord") -> DataFrame:
+    """(group, title): the first title of a group's members that is not empty, in order."""
+    title = F.nullif(F.trim("title"), F.lit(""))
+    return articles.groupBy(group).agg(F.min_by(title, F.when(title.isNotNull(), F.col(order))).alias("title"))
+
+
+def places(events: DataFrame) -> DataFrame:
+    """One row: events, those with coordinates, and their share."""
+    some = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    return events.agg(F.count("*").alias("events"), F.count_if(some).alias("geocoded"), F.avg(some.cast("double")).alias("share"))
+
+
 def size_histogram(df: DataFrame, cluster: str) -> DataFrame:
     """Clusters by size in equal bins, ten or a fifth of the clusters; the largest size is in the last bin."""
     sizes = df.where(F.col(cluster) != -1).groupBy(cluster).agg(F.count("*").alias("n"))

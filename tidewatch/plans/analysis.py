@@ -75,7 +75,7 @@ def dedup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
  m AS (SELECT c.cluster_id, e.event_id, round({_DOT.format('c.v', 'e.v')}, 9) AS similarity FROM c, e)
  SELECT cluster_id, event_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY similarity DESC, event_id) AS k FROM m WHERE similarity >= 0.3) WHERE k = 1""")
 def registry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest live event of each cluster's centroid; events of errors are closed."""
+    """The nearest live event of each cluster's centroid; events of errors are closed."""
     v = vectors(spark, sf_dir)
     status = F.when(F.col("event_type") == "error", "closed").otherwise("enriched")
     events = v.select(F.concat(F.lit("e"), F.col("article_id").cast("string")).alias("event_id"), F.col("embedding").alias("centroid"), status.alias("status"))

@@ -108,7 +108,7 @@ def upsert_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS mail, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp,
  CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS number FROM events""")
 def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates and numbers out of text; what can't be read is null."""
+    """dates and numbers out of text; what can't be read is null."""
     rows = table(spark, sf_dir, "events").select(
         "event_id", F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss").alias("mail"), F.date_format("ts", "yyyyMMdd").alias("day"), F.concat(F.date_format("ts", "yyyyMMdd'T'HHmmss"), F.lit("z")).alias("stamp"),
         F.when(F.col("event_id") % 3 == 0, " n/a").otherwise(F.concat(F.lit(" "), F.col("value").cast("string"))).alias("number"),
@@ -120,7 +120,7 @@ def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, '%22' || replace(p_name, ' ', '%20') || '%22' AS encoded, '(' || split_part(p_name, ' ', 1) || ' OR "' || p_name || '") from:x' AS q,
  'Event in ' || p_brand AS synthetic, trim(p_name || ' ' || p_type) AS article FROM part WHERE contains(p_name, ' ')""")
 def text_builders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoded keywords, queries, titles and article texts."""
+    """encoded keywords, queries, titles and article texts."""
     rows = table(spark, sf_dir, "part").where("contains(p_name, ' ')")
     quoted = F.concat(F.lit("("), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(' OR "'), F.col("p_name"), F.lit('") from:x'))
     return rows.select("p_partkey", T.encode_keyword(F.col("p_name")).alias("encoded"), quoted.alias("q"), T.synthetic_title(F.lit(" "), F.col("p_brand"), F.lit(None).cast("string")).alias("synthetic"), T.article_text(F.col("p_name"), F.col("p_type")).alias("article"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import lifecycle, lookups, registry
+from tidewatch.session import shared_folder
 from tidewatch.sources import config, sinks
 from tidewatch.streaming import cycle
 
@@ -83,7 +83,7 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey AS event_id, o_orderpriority <> '1-URGENT' AS needs_classify, o_orderkey % 2 = 0 AS needs_geocode, o_orderkey % 5 = 0 AS needs_summary FROM orders
  WHERE o_orderstatus = 'F' AND (o_orderpriority <> '1-URGENT' OR o_orderkey % 2 = 0 OR o_orderkey % 5 = 0)""")
 def incremental_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events whose enrichment is partial, and what is missing."""
+    """Events whose enrichment is partial, and what is missing."""
     events = orders_as_events(spark, sf_dir).withColumns({
         "channel": F.when(F.col("channel") == "1-URGENT", F.col("channel")), "lat": F.when(F.col("event_id") % 2 != 0, F.col("lat")),
         "summary_en": F.when(F.col("event_id") % 5 != 0, "s"),
@@ -126,7 +126,7 @@ def spread_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, CASE WHEN event_type = 'click' THEN 0.0 ELSE value END AS value FROM events UNION ALL SELECT event_id + 1000000, 0.0 FROM events WHERE event_type = 'click'")
 def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K4, K5: rows replaced and added by key."""
+    """K4: rows replaced and added by key."""
     events = table(spark, sf_dir, "events")
     rows, new = events.select("event_id", "value"), events.where("event_type = 'click'").select("event_id", F.lit(0.0).alias("value"))
     return sinks.upsert(rows, new.union(new.withColumn("event_id", F.col("event_id") + 1000000)), "event_id")
@@ -148,9 +148,8 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run(stream: DataFrame, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-    name = f"t{uuid.uuid4().hex}"
-    return cycle.run_now(stream, name, mode, f"{shared.rstrip('/')}/{name}")
+    at = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return cycle.run_to(stream, f"{at}/table", f"{at}/checkpoint", mode)
 
 
 @query("""WITH w AS (SELECT event_type, unnest(range(time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 13 DAY, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS start FROM events)

@@ -161,7 +161,7 @@ _SIDES = ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for p in _RINGS for r in
  SELECT o_orderkey, (sum(CASE WHEN (ay > lat) <> (byy > lat) AND lon < (bx - ax) * (lat - ay) / (byy - ay) + ax THEN 1 ELSE 0 END) % 2 = 1
  OR min(sqrt(pow(lon - ax - t * (bx - ax), 2) + pow(lat - ay - t * (byy - ay), 2))) < 5.0 / 111.0) AS inside FROM d GROUP BY 1""")
 def polygon_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points in a polygon with a hole, or within a buffer of its border."""
+    """Points in a polygon with a hole, or within a buffer of its border."""
     rings = F.array(*[F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in r]) for p in _RINGS for r in p])
     rows = table(spark, sf_dir, "orders").select("o_orderkey", *[c.alias(k) for k, c in coordinates("o_orderkey").items()])
     return rows.select("o_orderkey", geo.within(F.col("lat"), F.col("lon"), geo.edges(rings)).alias("inside"))
@@ -185,7 +185,7 @@ def display_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 'Invalid o_orderpriority.' END, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'Invalid o_orderstatus.' END], lambda x: x IS NOT NULL), ' ') AS errors FROM orders""")
 def validate_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Domain checks as a list of messages."""
+    """Domain checks as a list of messages."""
     rows = serve.validate(table(spark, sf_dir, "orders"), {"o_orderpriority": ["1-URGENT", "2-HIGH"], "o_orderstatus": ["F", "O"]}, {})
     return rows.select("o_orderkey", F.array_join("errors", " ").alias("errors"))
 

@@ -97,7 +97,7 @@ def _rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
  d AS (SELECT event_id, cluster_id FROM (SELECT event_id, cluster_id, row_number() OVER (PARTITION BY event_id ORDER BY count(*) DESC, min(ord)) AS k FROM a WHERE event_id IS NOT NULL GROUP BY 1, 2) WHERE k = 1)
  SELECT g.*, r.title, r.summary, c.country, d.cluster_id FROM g JOIN r USING (event_id) LEFT JOIN c USING (event_id) LEFT JOIN d USING (event_id)""")
 def event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles to events, with modes and a representative."""
+    """Articles to events, with modes and a representative."""
     return _rolled(spark, sf_dir).select(
         "event_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "article_count", F.array_join("sources", "|").alias("sources"),
         F.array_join("articles", ",").alias("articles"), "title", "summary", "country", "cluster_id",
@@ -138,7 +138,7 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT (SELECT count(*) FROM s) AS clusters, (SELECT median(n)::DOUBLE FROM s) AS median_size, (SELECT max(n) FROM s) AS max_size, avg((c = -1)::INTEGER)::DOUBLE AS noise_share,
  count(*) FILTER (WHERE value < 1) AS duplicates, count(DISTINCT event_type) AS sources FROM c""")
 def cluster_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes, noise and duplicates."""
+    """Sizes, noise and duplicates."""
     rows = table(spark, sf_dir, "events").withColumn("c", F.when(F.col("user_id") % 10 == 0, -1).otherwise(F.col("user_id") % 50))
     return stats.cluster_sizes(rows, "c", "event_type", F.col("value") < 1)
 

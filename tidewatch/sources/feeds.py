@@ -145,7 +145,7 @@ def article_lists(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: Category of a conflict record's type and sub-type, and of its type alone; all else is conflict.
-SUBTYPE_CATEGORY = {
+PAIR_CATEGORIES = {
     ("protests", "peaceful protest"): "mass_mobilization",
     ("protests", "labor dispute/strike"): "labor_economic",
     ("protests", "violent demonstration"): "conflict",
@@ -176,21 +176,31 @@ def years(since: date, until: date, delay_days: int = 365) -> list[tuple[date, d
 
 
 def paged_source(name: str, fetch: Callable[[int], list[tuple]], schema: str = RAW) -> type[DataSource]:
-    """A paged service as a source to register: one partition a page; option pages. fetch takes a page number and returns
-    its rows; a short page is simply the last with any."""
+    """A paged service as a source to register. fetch takes a page number and returns its rows.
+
+    With the option pages, each page is a partition. Without it, how many there are is not known: one partition asks for page
+    after page, until one has fewer rows than the option per_page says, or none.
+    """
 
     class Page(InputPartition):
         pass
 
     class Reader(DataSourceReader):
-        def __init__(self, pages: int):
-            self.pages = pages
+        def __init__(self, pages: int | None, per_page: int):
+            self.pages, self.per_page = pages, per_page
 
         def partitions(self) -> list[InputPartition]:
-            return [Page(i) for i in range(self.pages)]
+            return [Page(None)] if self.pages is None else [Page(i) for i in range(self.pages)]
 
         def read(self, partition: InputPartition) -> Iterator[tuple]:
-            yield from fetch(partition.value)
+            if partition.value is not None:
+                yield from fetch(partition.value)
+                return
+            page, rows = 0, None
+            while rows is None or len(rows) >= self.per_page:
+                rows = fetch(page)
+                yield from rows
+                page += 1
 
     class Paged(DataSource):
         @classmethod
@@ -201,7 +211,8 @@ def paged_source(name: str, fetch: Callable[[int], list[tuple]], schema: str = R
             return schema
 
         def reader(self, schema) -> DataSourceReader:
-            return Reader(int(self.options.get("pages", "1")))
+            pages = self.options.get("pages")
+            return Reader(None if pages is None else int(pages), int(self.options.get("per_page", "1")))
 
     return Paged
 
