@@ -33,6 +33,22 @@ def test_planted_clusters(spark):
         clustering.hdbscan(rows, most=3).collect()
 
 
+def test_density_clusters_over_blocks(spark):
+    """However points are dealt to blocks, the labels are those of all points at once."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(c, 0.4, size=(40, 5)) for c in rng.normal(0, 3, size=(6, 5))] + [rng.normal(0, 6, size=(30, 5))])
+    x[7] = x[3]
+    rows = [(g, i, v.tolist()) for g, part in (("a", x), ("b", x[:2]), ("c", x[:1]), (None, x[40:110])) for i, v in enumerate(part)]
+    df = spark.createDataFrame([*rows, ("a", 999, None)], "g string, article_id int, embedding array<double>")
+    for block in (25, 64, 8192):
+        found = {(r.grp, r.article_id): r.cluster_id for r in clustering.hdbscan(df, group="g", block=block).collect()}
+        assert len(found) == len(rows)
+        for g, part in (("a", x), ("b", x[:2]), ("c", x[:1]), (None, x[40:110])):
+            assert [found[g, i] for i in range(len(part))] == clustering.hdbscan_labels(part).tolist(), (g, block)
+    assert max(found.values()) > 2
+    assert clustering.hdbscan(df.where("false")).collect() == []
+
+
 def test_gates(spark):
     loose = [unit(np.random.default_rng(s).normal(size=64)) for s in range(6)]
     rows = [(c, v.tolist()) for c, vs in ((1, group(1, 5)), (2, loose), (3, group(3, 2)), (-1, group(4, 4))) for v in vs]
@@ -217,3 +233,23 @@ def test_cosine_guard(spark):
 def test_keyword_hits(spark):
     rows = spark.createDataFrame([(1, "ΔΙΑΔΗΛΩΣΗ και απεργία")], "id int, text string")
     assert {r.keyword for r in lookups.keyword_hits(rows, "id", "text", ["διαδήλωση", "απεργία", "μπλόκο"]).collect()} == {"διαδήλωση", "απεργία"}
+
+
+def test_blocks_change_no_result(spark):
+    """Pairs of a cluster that is dealt to many blocks, and the nearest over facing blocks, against plain loops."""
+    rng = np.random.default_rng(5)
+    vs = [unit(v) for v in rng.normal(size=(90, 4))]
+    at = [None if i % 9 == 0 else NOW + timedelta(hours=int(rng.integers(0, 200))) for i in range(90)]
+    c = [None if i % 10 == 0 else 1 if i % 4 else 2 for i in range(90)]
+    df = articles(spark, [(c[i], f"{i:02}", vs[i], at[i]) for i in range(90)])
+    close = lambda i, j: at[i] is None or at[j] is None or abs(at[i] - at[j]) <= timedelta(hours=48)
+    want = {(c[i], f"{i:02}", f"{j:02}") for i in range(90) for j in range(i + 1, 90) if c[i] == c[j] and close(i, j) and round(float(vs[i] @ vs[j]), 9) >= 0.5}
+    for block in (8, 4096):
+        found = [(r.cluster, r.a, r.b) for r in dedup.similar_pairs(df, 0.5, 48, block=block).collect()]
+        assert len(found) == len(want) and set(found) == want
+    events = spark.createDataFrame([(f"e{i:02}", v.tolist(), "enriched") for i, v in enumerate(vs[10:])] + [("short", [1.0], "enriched"), ("none", None, "enriched")], "event_id string, centroid array<double>, status string")
+    clusters = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vs[:10])] + [(50, [0.0, 0.0]), (51, None)], "cluster_id int, centroid array<double>")
+    best = {i: min((-round(float(v @ w), 9), f"e{j:02}") for j, w in enumerate(vs[10:])) for i, v in enumerate(vs[:10])}
+    for few in (0, registry.FEW):
+        assert {r.cluster_id: r.event_id for r in registry.best_match(clusters, events, -1, few=few).collect() if r.cluster_id < 50} == {i: e for i, (_, e) in best.items()}
+        assert registry.best_match(clusters.where("false"), events, -1, few=few).collect() == [] and registry.best_match(clusters, events.where("false"), -1, few=few).collect() == []

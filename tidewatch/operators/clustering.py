@@ -4,36 +4,51 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.vector import centroids, dot, norm, scaled, vector_sums
+from tidewatch.functions.vector import centroids, norm, scaled, vector_sums
+
+from .blocks import dealt, facing, matrix, meeting
 
 #: Smallest cluster and neighbours for core distances, of the two presets; gates on members and cohesion.
 MIN_CLUSTER_SIZE, MIN_SAMPLES = 3, 2
 LEGACY = (2, 1)
 MIN_ARTICLES, MIN_COHESION = 3, 0.78
-#: Points of one group at most: every pair's distance is looked at, a row of distances at a time.
-MOST_POINTS = 100_000
+#: Points of a block, of which two meet in a task; ranges of blocks whose trees are merged at a time.
+BLOCK, FAN = 8_192, 8
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (x @ y.T), 0))
+
 
+def nearest(x: np.ndarray, y: np.ndarray | None, k: int) -> np.ndarray:
+    """The k smallest distances of each row of x to rows of y, or to the other rows of x; infinite where there are fewer."""
+    other = x if y is None else y
+    out = np.full((len(x), k), np.inf)
+    for i in range(0, len(x), 1024):
+        d = _distances(x[i : i + 1024], other)
+        if y is None:
+            d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
+        d = np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d
+        out[i : i + 1024, : d.shape[1]] = d
+    return out
 
-def spanning_tree(x: np.ndarray, min_samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def spanning_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(from, to, weight) of a minimum spanning tree under mutual reachability: the largest of a pair's distance and both core
     distances, which are those to the min_samples-th neighbour. Prim's algorithm, with one row of distances in memory."""
     n = len(x)
     squares = (x * x).sum(axis=1)
-
-    def row(i: int) -> np.ndarray:
-        return np.sqrt(np.maximum(squares + squares[i] - 2 * (x @ x[i]), 0))
-
-    k = min(min_samples, n - 1)
-    core = np.array([np.partition(row(i), k)[k] for i in range(n)])
     best, parent = np.full(n, np.inf), np.zeros(n, np.int64)
     left = np.ones(n, bool)
     at, out = 0, []
     left[0] = False
     for _ in range(n - 1):
-        reach = np.maximum(np.maximum(row(at), core), core[at])
+        row = np.sqrt(np.maximum(squares + squares[at] - 2 * (x @ x[at]), 0))
+        reach = np.maximum(np.maximum(row, core), core[at])
         closer = left & (reach < best)
         best[closer], parent[closer] = reach[closer], at
         at = int(np.where(left, best, np.inf).argmin())
@@ -43,16 +58,41 @@ def spanning_tree(x: np.ndarray, min_samples: int) -> tuple[np.ndarray, np.ndarr
     return np.array(a, np.int64), np.array(b, np.int64), np.array(w, float)
 
 
+def lightest_forest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Which edges a minimum spanning forest keeps: lightest first, in the given order on ties, those that join two trees."""
+    top = list(range(n))
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        return i
+
+    kept = []
+    for e in np.argsort(w, kind="stable").tolist():
+        u, v = find(int(a[e])), find(int(b[e]))
+        if u != v:
+            top[u] = v
+            kept.append(e)
+    return np.array(kept, np.int64)
+
+
 def hdbscan_labels(x: np.ndarray, min_cluster_size: int = MIN_CLUSTER_SIZE, min_samples: int = MIN_SAMPLES, single: bool = False) -> np.ndarray:
-    """Labels by hierarchical density clustering; -1 is noise. Clusters are chosen by excess of mass, and numbered by first member.
+    """Labels of a few points by hierarchical density clustering, as tree_labels gives them."""
+    x = np.asarray(x, np.float64)
+    if len(x) < 2:
+        return np.full(len(x), -1, np.int64)
+    core = nearest(x, None, min(min_samples, len(x) - 1)).max(axis=1)
+    return tree_labels(len(x), *spanning_tree(x, core), min_cluster_size, single)
+
+
+def tree_labels(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, min_cluster_size: int = MIN_CLUSTER_SIZE, single: bool = False) -> np.ndarray:
+    """Labels of n points from their minimum spanning tree; -1 is noise. Clusters are chosen by excess of mass, and numbered by first member.
 
     single: whether the whole set may be one cluster.
     """
-    n = len(x)
     labels = np.full(n, -1, np.int64)
     if n < max(2, min_cluster_size):
         return labels
-    a, b, w = spanning_tree(np.asarray(x, np.float64), min_samples)
     order = np.argsort(w, kind="stable")
     # The dendrogram: nodes n.. are merges, in order of weight.
     top, kids, size, height = list(range(2 * n - 1)), {}, [1] * n + [0] * (n - 1), {}
@@ -125,20 +165,75 @@ def hdbscan_labels(x: np.ndarray, min_cluster_size: int = MIN_CLUSTER_SIZE, min_
 
 
 def hdbscan(df: DataFrame, key: str = "article_id", vector: str = "embedding", group: str | None = None, min_cluster_size: int = MIN_CLUSTER_SIZE,
-            min_samples: int = MIN_SAMPLES, most: int = MOST_POINTS) -> DataFrame:
-    """(group, key, cluster_id) of the rows with a vector, by group (one for all by default). A group beyond `most` points is an error."""
+            min_samples: int = MIN_SAMPLES, most: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(group, key, cluster_id) of the rows with a vector, by group (one for all by default). most: points of a group beyond which
+    the work is refused, where a caller sets it.
+
+    Exact, and quadratic as the method is, but in tasks of two blocks each: blocks meet for the core distances, then for spanning
+    trees under mutual reachability. The trees of all pairs hold the tree of the whole; they are merged by ever larger ranges of
+    blocks, so that vectors of at most two blocks and edges in proportion to a range's points are in a task. Only the last steps,
+    a group's tree and its labels, are one task a group, over one edge a point.
+    """
     rows = df.where(F.col(vector).isNotNull()).select((F.col(group) if group else F.lit(0)).alias("grp"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     kinds = dict(rows.dtypes)
-
-    def run(t: pa.Table) -> pa.Table:
-        if len(t) > most:
-            raise ValueError(f"{len(t)} points in a group; at most {most}")
+    point, edge = f"grp {kinds['grp']}, id {kinds['id']}", f"grp {kinds['grp']}, i int, j int, a {kinds['id']}, b {kinds['id']}, w double"
+    if most is not None:
+        largest = rows.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+        if largest > most:
+            raise ValueError(f"{largest} points in a group; at most {most}")
+    placed, blocks, pairs = dealt(rows, "grp", "id", block)
+
+    def whole(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
-        x = np.array(t["v"].to_pylist(), np.float64)
-        return pa.table({"grp": t["grp"], "id": t["id"], "cluster_id": pa.array(hdbscan_labels(x, min_cluster_size, min_samples), pa.int32())})
+        return pa.table({"grp": t["grp"], "id": t["id"], "cluster_id": pa.array(hdbscan_labels(matrix(t["v"]), min_cluster_size, min_samples), pa.int32())})
+
+    if blocks <= 1:  # no group has more than a block: the same steps without meetings
+        return rows.groupBy("grp").applyInArrow(whole, f"{point}, cluster_id int").withColumnRenamed("id", key)
 
-    out = rows.groupBy("grp").applyInArrow(run, f"grp {kinds['grp']}, id {kinds['id']}, cluster_id int")
-    return out.withColumnRenamed("id", key)
+    def near(t: pa.Table) -> pa.Table:
+        x, own = matrix(t["v"]), t["__b"].to_numpy() == t["__i"][0].as_py()
+        if own.all():
+            d, at = (nearest(x, None, min_samples) if t["__i"][0] == t["__j"][0] else np.full((len(x), min_samples), np.inf)), np.arange(len(x))
+        else:
+            d, at = np.concatenate([nearest(x[own], x[~own], min_samples), nearest(x[~own], x[own], min_samples)]), np.concatenate([np.flatnonzero(own), np.flatnonzero(~own)])
+        some = np.isfinite(d)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], some.sum(axis=1).cumsum()]), pa.int32()), pa.array(d[some]))
+        return pa.table({"grp": t["grp"].take(pa.array(at)), "id": t["id"].take(pa.array(at)), "near": lists})
+
+    def tree(t: pa.Table) -> pa.Table:
+        a, b, w = spanning_tree(matrix(t["v"]), t["core"].to_numpy())
+        n = len(a)
+        return pa.table({"grp": t["grp"].slice(0, n), "i": t["__i"].slice(0, n), "j": t["__j"].slice(0, n), "a": t["id"].take(pa.array(a)), "b": t["id"].take(pa.array(b)), "w": w})
+
+    def merged(t: pa.Table) -> pa.Table:
+        nodes, a, b = _numbered(t)
+        return t.take(pa.array(lightest_forest(len(nodes), a, b, t["w"].to_numpy())))
+
+    def labelled(t: pa.Table) -> pa.Table:
+        nodes, a, b = _numbered(t)
+        labels = tree_labels(len(nodes), a, b, t["w"].to_numpy(), min_cluster_size)
+        return pa.table({"grp": pa.repeat(t["grp"][0], len(nodes)), "id": nodes, "cluster_id": pa.array(labels, pa.int32())})
+
+    close = meeting(placed, "grp", pairs).groupBy("grp", "__i", "__j").applyInArrow(near, f"{point}, near array<double>")
+    close = close.groupBy("grp", "id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("d"))
+    cores = close.select(F.col("grp").alias("__g"), F.col("id").alias("__k"), F.get("d", F.least(F.lit(min_samples), F.size("d")) - 1).alias("core"))
+    known = placed.join(cores, F.col("grp").eqNullSafe(F.col("__g")) & (F.col("id") == F.col("__k"))).where("core is not null").drop("__g", "__k")
+    edges = meeting(known, "grp", pairs, apart=True).groupBy("grp", "__i", "__j").applyInArrow(tree, edge)
+    while blocks > 1:
+        blocks = -(-blocks // FAN)
+        wider = edges.select("grp", F.floor(F.col("i") / FAN).cast("int").alias("i"), F.floor(F.col("j") / FAN).cast("int").alias("j"), "a", "b", "w")
+        edges = wider.groupBy("grp", "i", "j").applyInArrow(merged, edge)
+    labels = edges.groupBy("grp").applyInArrow(labelled, f"{point}, cluster_id int")
+    labels = labels.select(F.col("grp").alias("__g"), F.col("id").alias("__k"), F.col("cluster_id").alias("__l"))
+    out = rows.select("grp", "id").join(labels, F.col("grp").eqNullSafe(F.col("__g")) & (F.col("id") == F.col("__k")), "left")
+    return out.select("grp", F.col("id").alias(key), F.coalesce("__l", F.lit(-1)).alias("cluster_id"))
+
+
+def _numbered(t: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The sorted ends of edges, and both ends as places among them."""
+    nodes = pc.unique(pa.chunked_array([*t["a"].chunks, *t["b"].chunks]))
+    nodes = nodes.take(pc.sort_indices(nodes))
+    return nodes, *[pc.index_in(t[c], nodes).to_numpy().astype(np.int64) for c in ("a", "b")]
 
 
 def candidates(articles: DataFrame, as_of, days: int = 14) -> DataFrame:
@@ -160,16 +255,34 @@ def gated(df: DataFrame, cluster: str, vector: str, least: int = MIN_ARTICLES, c
 
 def silhouette(df: DataFrame, cluster: str, vector: str, key: str) -> DataFrame:
     """(key, cluster, silhouette) by cosine distance for unit vectors: a member's mean distance to a cluster is one less its dot
-    with the cluster's mean, so each is compared with the clusters' sums and not with all members. A singleton has 0."""
-    sums = vector_sums(df, cluster, vector).select(F.col(cluster).alias("__c"), F.col("n").alias("__n"), F.col("sum").alias("__sum"))
-    rows = df.select(key, cluster, vector).join(F.broadcast(sums))  # rows by clusters; clusters are few
-    own, n = F.col("__c") == F.col(cluster), F.col("__n")
-    similarity = dot(F.col(vector), F.col("__sum"))
-    self_dot = dot(F.col(vector), F.col(vector))
-    away = F.when(own, F.when(n > 1, 1 - (similarity - self_dot) / (n - 1))).otherwise(1 - similarity / n)
-    rows = rows.select(key, cluster, own.alias("own"), away.alias("away"))
-    both = rows.groupBy(key, cluster).agg(F.max(F.when(F.col("own"), F.col("away"))).alias("a"), F.min(F.when(~F.col("own"), F.col("away"))).alias("b"))
-    return both.select(key, cluster, F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
+    with the cluster's mean, so each is compared with the clusters' sums and not with all members. A singleton has 0, and so has a
+    row without a cluster or vector. Blocks of rows meet blocks of clusters; a row leaves each with one result."""
+    sums = vector_sums(df, cluster, vector).select(F.col(cluster).alias("c"), "n", F.col("sum").alias("v"))
+    rows = df.select(F.col(key).alias("k"), F.col(cluster).alias("own"), F.col(vector).alias("v"))
+    kinds = dict(rows.dtypes)
+
+    def away(t: pa.Table, s: pa.Table) -> pa.Table:
+        if not len(t) or not len(s):
+            return t.select(["k", "own"]).append_column("a", pa.nulls(len(t), pa.float64())).append_column("b", pa.nulls(len(t), pa.float64()))
+        x, y, n = matrix(t["v"]), matrix(s["v"]), s["n"].to_numpy().astype(float)
+        own = pc.fill_null(pc.index_in(t["own"], s["c"].combine_chunks(), skip_nulls=True), -1).to_numpy().astype(np.int64)
+        a, b = np.full(len(x), np.nan), np.full(len(x), np.nan)
+        for i in range(0, len(x), 1024):
+            part, at = x[i : i + 1024], own[i : i + 1024]
+            dots, mine = part @ y.T, np.flatnonzero(at >= 0)
+            inside = mine[n[at[mine]] > 1]
+            a[i + inside] = 1 - (dots[inside, at[inside]] - (part[inside] ** 2).sum(axis=1)) / (n[at[inside]] - 1)
+            others = 1 - dots / n
+            others[mine, at[mine]] = np.inf
+            b[i : i + len(part)] = others.min(axis=1)
+        b[np.isinf(b)] = np.nan
+        return t.select(["k", "own"]).append_column("a", pa.array(a, from_pandas=True)).append_column("b", pa.array(b, from_pandas=True))
+
+    some = facing(rows.where("v is not null"), sums, "k", "c", away, f"k {kinds['k']}, own {kinds['own']}, a double, b double")
+    bare = rows.where("v is null").select("k", "own", F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
+    both = some.union(bare).groupBy("k", "own").agg(F.max("a").alias("a"), F.min("b").alias("b"))
+    value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return both.select(F.col("k").alias(key), F.col("own").alias(cluster), value.alias("silhouette"))
 
 
 def _means(df: DataFrame, cluster: str, vector: str) -> DataFrame:
@@ -181,14 +294,29 @@ def _apart(a, b):
 
 
 def davies_bouldin(df: DataFrame, cluster: str, vector: str) -> DataFrame:
-    """One row: the mean over clusters of the worst ratio of two clusters' spreads to their distance (euclidean)."""
-    means = _means(df, cluster, vector)
-    rows = df.select(F.col(cluster).alias("c"), vector).join(F.broadcast(means.select("c", "mean")), "c")
-    spread = rows.groupBy("c").agg(F.avg(_apart(F.col(vector), F.col("mean"))).alias("s"))
-    one = means.select("c", "mean").join(spread, "c")
-    other = one.select(F.col("c").alias("d"), F.col("mean").alias("mean2"), F.col("s").alias("s2"))
-    ratio = (F.col("s") + F.col("s2")) / _apart(F.col("mean"), F.col("mean2"))
-    return one.join(F.broadcast(other), F.col("c") != F.col("d")).groupBy("c").agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+    """One row: the mean over clusters of the worst ratio of two clusters' spreads to their distance (euclidean). Blocks of
+    clusters meet; a cluster leaves each meeting with its worst ratio."""
+    means = _means(df, cluster, vector).select("c", "mean")
+    spread = df.select(F.col(cluster).alias("c"), vector).join(means, "c").groupBy("c").agg(F.avg(_apart(F.col(vector), F.col("mean"))).alias("s"))
+    one = means.join(spread, "c")
+    kind = dict(one.dtypes)["c"]
+
+    def worst(t: pa.Table, u: pa.Table) -> pa.Table:
+        if not len(t) or not len(u):
+            return pa.table({"c": t["c"].slice(0, 0), "r": pa.array([], pa.float64())})
+        x, y, s, z = matrix(t["mean"]), matrix(u["mean"]), t["s"].to_numpy(), u["s"].to_numpy()
+        same = pc.fill_null(pc.index_in(t["c"], u["c"].combine_chunks()), -1).to_numpy().astype(np.int64)
+        r = np.empty(len(x))
+        for i in range(len(x)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = (s[i] + z) / np.sqrt(((y - x[i]) ** 2).sum(axis=1))
+            if same[i] >= 0:
+                ratio[same[i]] = np.nan
+            r[i] = np.fmax.reduce(ratio)
+        return pa.table({"c": t["c"], "r": pa.array(r, from_pandas=True)})
+
+    met = facing(one, one, "c", "c", worst, f"c {kind}, r double", (BLOCK, BLOCK))
+    return met.groupBy("c").agg(F.max("r").alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 
 def calinski_harabasz(df: DataFrame, cluster: str, vector: str) -> DataFrame:

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import shared_folder
 
+from .blocks import dealt, matrix, meeting
+
 #: Presets: similarity and hours of the greedy and of the transitive variant.
 GREEDY, TRANSITIVE = (0.95, 72), (0.85, 96)
 _HOUR = 3_600_000_000
 #: Edges that one task joins, at most, and nodes of a partition's forest at a time.
 SMALL, BATCH = 16_384, 1 << 20
+#: Rows of a block, of which two meet in a task.
+BLOCK = 4_096
 
 
 def _columns(articles: DataFrame, cluster: str) -> DataFrame:
@@ -21,30 +25,44 @@ def _columns(articles: DataFrame, cluster: str) -> DataFrame:
     return articles.select(F.col(cluster).alias("cluster"), F.col("article_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("v"), at.alias("at"))
 
 
-def similar_pairs(articles: DataFrame, theta: float, hours: float, cluster: str = "cluster_id") -> DataFrame:
-    """(a, b, similarity) of pairs of one cluster within some hours (an unknown time passes) whose dot reaches theta, rounded to 9 places.
+def similar_pairs(articles: DataFrame, theta: float, hours: float, cluster: str = "cluster_id", block: int = BLOCK) -> DataFrame:
+    """(cluster, a, b, similarity) of pairs of one cluster within some hours (an unknown time passes) whose dot reaches theta, rounded to 9 places.
 
-    A cluster's vectors meet in blocks of rows in numpy; the time band is applied to the blocks before vectors are compared.
+    A cluster's rows are dealt to blocks that meet in pairs, so a large cluster is many tasks. There, rows of a stretch of time are
+    compared with those that the hours let them reach.
     """
     rows = _columns(articles, cluster)
+    placed, _, tasks = dealt(rows, "cluster", "id", block)
 
     def pairs(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")
-        ids, v = t["id"].to_numpy(zero_copy_only=False), np.array(t["v"].to_pylist(), np.float64).reshape(len(t), -1)
-        at = np.array([np.nan if x is None else x for x in t["at"].to_pylist()], float)
+        t = t.sort_by("at")
+        ids, v, same = t["id"].to_numpy(zero_copy_only=False), matrix(t["v"]), t["__i"][0] == t["__j"][0]
+        at = t["at"].cast(pa.float64()).to_numpy(zero_copy_only=False)
+        own = t["__b"].to_numpy() == t["__i"][0].as_py()
+        left, right = np.flatnonzero(own), np.flatnonzero(own if same else ~own)
         a, b, s = [], [], []
-        for i in range(0, len(ids), 1024):
-            with np.errstate(invalid="ignore"):
-                near = ~(np.abs(at[i : i + 1024, None] - at[None, :]) > hours * _HOUR)
-            sims = np.round(v[i : i + 1024] @ v.T, 9)
+        for i in range(0, len(left), 1024):
+            part = left[i : i + 1024]
+            times, reach = at[part], hours * _HOUR
+            there = right
+            if not np.isnan(times).any():
+                there = right[~((at[right] < times.min() - reach) | (at[right] > times.max() + reach))]
+            sims = np.round(v[part] @ v[there].T, 9)
+            near = ~(np.abs(times[:, None] - at[there]) > reach)
             x, y = np.nonzero(near & (sims >= theta))
-            later = y > x + i
-            a.append(ids[x[later] + i]), b.append(ids[y[later]]), s.append(sims[x[later], y[later]])
+            p, q, sim = part[x], there[y], sims[x, y]
+            if same:
+                once = (ids[p] < ids[q]) | ((ids[p] == ids[q]) & (p < q))
+                p, q, sim = p[once], q[once], sim[once]
+            first = ids[p] <= ids[q]
+            a.append(np.where(first, ids[p], ids[q])), b.append(np.where(first, ids[q], ids[p])), s.append(sim)
         cat = lambda parts: np.concatenate(parts) if parts else []
-        return pa.table({"cluster": pa.array([t["cluster"][0].as_py()] * sum(map(len, a)), t["cluster"].type), "a": pa.array(cat(a), pa.string()), "b": pa.array(cat(b), pa.string()), "similarity": pa.array(cat(s), pa.float64())})
+        n = sum(map(len, a))
+        return pa.table({"cluster": pa.repeat(t["cluster"][0], n), "a": pa.array(cat(a), pa.string()), "b": pa.array(cat(b), pa.string()), "similarity": pa.array(cat(s), pa.float64())})
 
     kind = dict(rows.dtypes)["cluster"]
-    return rows.groupBy("cluster").applyInArrow(pairs, f"cluster {kind}, a string, b string, similarity double")
+    met = meeting(placed, "cluster", tasks)
+    return met.groupBy("cluster", "__i", "__j").applyInArrow(pairs, f"cluster {kind}, a string, b string, similarity double")
 
 
 def greedy_duplicates(articles: DataFrame, theta: float = GREEDY[0], hours: float = GREEDY[1], cluster: str = "cluster_id") -> DataFrame:

@@ -5,31 +5,66 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.vector import dot
 
+from .blocks import facing, matrix
+
 THETA = 0.85
 SETTLED = ("closed", "rejected")
 #: Clusters of one run whose order matters, at most.
 MOST_CLUSTERS = 100_000
 #: Live events that are kept for each cluster of a run, the nearest ones.
 OPTIONS = 16
+#: Clusters that are broadcast, at most.
+FEW = 1_000
 
 
 def matchable(events: DataFrame) -> DataFrame:
     return events.where(F.col("centroid").isNotNull() & ~F.coalesce(F.col("status"), F.lit("")).isin(*SETTLED))
 
 
-def best_match(clusters: DataFrame, events: DataFrame, theta: float = THETA, digits: int = 9) -> DataFrame:
+def _nearest(clusters: DataFrame, events: DataFrame, theta: float, most: int, digits: int = 9, few: int = FEW) -> DataFrame:
+    """(cluster_id, event_id, similarity): live events of each cluster at theta or more. Up to `few` clusters are counted and sent to
+    every part of the events; of more, blocks of both sides meet, and each pair of blocks gives the nearest `most`, the smaller
+    event_id first on ties. Centroids of different dimensions match nothing."""
+    known = matchable(events).select("event_id", "centroid")
+    new = clusters.where(F.col("centroid").isNotNull()).select("cluster_id", "centroid")
+    if new.limit(few + 1).count() <= few:
+        sim = F.round(dot(F.col("centroid"), F.col("__c")), digits)
+        rows = known.join(F.broadcast(new.select("cluster_id", F.col("centroid").alias("__c"))))
+        return rows.select("cluster_id", "event_id", sim.alias("similarity")).where(F.col("similarity") >= theta)
+    kinds = dict(known.dtypes)["event_id"], dict(new.dtypes)["cluster_id"]
+
+    def near(e: pa.Table, c: pa.Table) -> pa.Table:
+        e, ids, found, sims = e.sort_by("event_id"), [], [], []
+        sizes = [pc.list_value_length(t["centroid"]).to_numpy() for t in (e, c)]
+        for size in np.unique(sizes[1]).tolist():
+            here, own = (np.flatnonzero(s == size) for s in sizes)
+            if not len(here):
+                continue
+            x, y = (matrix(t["centroid"].take(pa.array(at))) for t, at in ((e, here), (c, own)))
+            for i in range(0, len(own), 128):
+                s = np.round(y[i : i + 128] @ x.T, digits)
+                for k, row in zip(own[i : i + 128].tolist(), s, strict=True):
+                    at = np.flatnonzero(row >= theta)
+                    at = at[np.argsort(-row[at], kind="stable")[:most]]
+                    ids.append(np.full(len(at), k)), found.append(here[at]), sims.append(row[at])
+        cat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+        return pa.table({"cluster_id": c["cluster_id"].take(pa.array(cat(ids, np.int64))), "event_id": e["event_id"].take(pa.array(cat(found, np.int64))), "similarity": cat(sims, float)})
+
+    return facing(known, new, "event_id", "cluster_id", near, f"cluster_id {kinds[1]}, event_id {kinds[0]}, similarity double")
+
+
+def best_match(clusters: DataFrame, events: DataFrame, theta: float = THETA, digits: int = 9, few: int = FEW) -> DataFrame:
     """(cluster_id, event_id, similarity): for each cluster the live event of the largest dot of centroids if it reaches theta;
-    smaller event_id on ties. clusters is the small side and goes to every worker's part of the events."""
-    sim = F.round(dot(F.col("centroid"), F.col("__c")), digits)
-    rows = matchable(events).select("event_id", "centroid").join(F.broadcast(clusters.select("cluster_id", F.col("centroid").alias("__c"))))
-    rows = rows.select("cluster_id", "event_id", sim.alias("similarity")).where(F.col("similarity") >= theta)
+    smaller event_id on ties."""
     best = F.min_by(F.struct("event_id", "similarity"), F.struct((-F.col("similarity")).alias("s"), "event_id"))
-    return rows.groupBy("cluster_id").agg(best.alias("b")).select("cluster_id", "b.event_id", "b.similarity")
+    return _nearest(clusters, events, theta, 1, digits, few).groupBy("cluster_id").agg(best.alias("b")).select("cluster_id", "b.event_id", "b.similarity")
 
 
 def assign(clusters: DataFrame, events: DataFrame, theta: float = THETA) -> list[dict]:
@@ -41,10 +76,8 @@ def assign(clusters: DataFrame, events: DataFrame, theta: float = THETA) -> list
     rows = clusters.select("cluster_id", "centroid", F.col("n").alias("n"), F.col("first_id").cast("string").alias("first_id")).orderBy("cluster_id").limit(MOST_CLUSTERS + 1).collect()
     if len(rows) > MOST_CLUSTERS:
         raise ValueError(f"more than {MOST_CLUSTERS} clusters in a run")
-    sim = F.round(dot(F.col("centroid"), F.col("__c")), 9)
-    near = matchable(events).select("event_id", "centroid").join(F.broadcast(clusters.select("cluster_id", F.col("centroid").alias("__c"))))
-    near = near.select("cluster_id", "event_id", sim.alias("s")).where(F.col("s") >= theta)
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "event_id"))), 1, OPTIONS)
+    near = _nearest(clusters, events, theta, OPTIONS).withColumnRenamed("similarity", "s")
+    top = F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "event_id")))
     ranked = near.withColumn("__n", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("s"), "event_id"))).where(F.col("__n") <= OPTIONS)
     options = {r.cluster_id: [(x.event_id, -x.s) for x in r.own] for r in ranked.groupBy("cluster_id").agg(top.alias("own")).collect()}
     moved: dict[str, int] = {}  # events whose centroid this run has set, and the row of it
