@@ -253,3 +253,35 @@ def test_blocks_change_no_result(spark):
     for few in (0, registry.FEW):
         assert {r.cluster_id: r.event_id for r in registry.best_match(clusters, events, -1, few=few).collect() if r.cluster_id < 50} == {i: e for i, (_, e) in best.items()}
         assert registry.best_match(clusters.where("false"), events, -1, few=few).collect() == [] and registry.best_match(clusters, events.where("false"), -1, few=few).collect() == []
+
+
+def test_names_in_plan_or_broadcast(spark):
+    """Names beyond the plan's literals, and none at all, give what few names give."""
+    few = [(0, "patras", 38.2, 21.7), (1, "pat", 1.0, 2.0), (2, "athens", 37.9, 23.7)]
+    names = spark.createDataFrame(few, "ord int, name string, lat double, lon double")
+    more = names.union(spark.range(lookups.LITERALS).selectExpr("cast(id + 3 as int)", "concat('nowhere', id)", "0D", "0D"))
+    df = spark.createDataFrame([(1, "In ATHENS and Patras"), (2, "a pat"), (3, "none"), (4, None)], "id int, text string")
+    want = {1: "Patras", 2: "Pat", 3: None, 4: None}
+    for table in (names, more):
+        assert {r.id: r.place for r in lookups.first_in_text(df, "text", table).collect()} == want
+    assert {r.id: r.place for r in lookups.first_in_text(df, "text", names.where("false")).collect()} == dict.fromkeys(want)
+    with pytest.raises(ValueError, match="names"):
+        lookups.first_in_text(df, "text", more, lookups.LITERALS)
+
+
+def test_measures_of_clusters_against_loops(spark):
+    rng = np.random.default_rng(8)
+    vs = [unit(v) for v in rng.normal(size=(40, 3))]
+    own = [i % 4 for i in range(39)] + [9]
+    df = spark.createDataFrame([(i, c, v.tolist()) for i, (c, v) in enumerate(zip(own, vs, strict=True))] + [(77, None, vs[0].tolist()), (78, 1, None)], "id int, c int, v array<double>")
+    got = {r.id: r.silhouette for r in clustering.silhouette(df, "c", "v", "id").collect()}
+    groups = {c: [v for v, o in zip(vs, own, strict=True) if o == c] for c in set(own)}
+    for i, (c, v) in enumerate(zip(own, vs, strict=True)):
+        b = min(np.mean([1 - v @ w for w in g]) for o, g in groups.items() if o != c)
+        a = sum(1 - v @ w for w in groups[c] if w is not v) / max(len(groups[c]) - 1, 1)
+        assert math.isclose(got[i], (b - a) / max(a, b) if len(groups[c]) > 1 else 0, abs_tol=1e-9)
+    assert got[77] == 0 and got[78] == 0
+    mean = {c: np.mean(g, axis=0) for c, g in groups.items()}
+    far = {c: np.mean([np.linalg.norm(v - mean[c]) for v in g]) for c, g in groups.items()}
+    want = np.mean([max((far[c] + far[d]) / np.linalg.norm(mean[c] - mean[d]) for d in groups if d != c) for c in groups])
+    assert math.isclose(clustering.davies_bouldin(df.where("c is not null and v is not null"), "c", "v").first()[0], want, rel_tol=1e-9)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,17 +109,14 @@ class HashingModel:
         self.size = size
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
-        import zlib
-
-        out = []
-        for text in texts:
-            v = [0.0] * self.size
-            for word in text.lower().split():
-                h = zlib.crc32(word.encode())
-                v[h % self.size] += 1.0 if h >> 16 & 1 else -1.0
-            length = sum(x * x for x in v) ** 0.5 or 1.0
-            out.append([x / length for x in v])
-        return out
+        words = [text.lower().split() for text in texts]
+        codes, known = pd.factorize(np.array([w for own in words for w in own], object))
+        hashes = np.fromiter((zlib.crc32(w.encode()) for w in known), np.int64, len(known))
+        cells = np.repeat(np.arange(len(texts)), [len(own) for own in words]) * self.size + (hashes % self.size)[codes]
+        signs = np.where(hashes >> 16 & 1, 1.0, -1.0)[codes]
+        out = np.bincount(cells, signs, len(texts) * self.size).reshape(len(texts), self.size)
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return (out / np.where(length > 0, length, 1)).tolist()
 
 
 def prompt(titles: Column, bodies: Column, most_titles: int = 8, most_bodies: int = 3, chars: int = 400) -> Column:

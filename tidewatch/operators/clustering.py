@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.vector import centroids, norm, scaled, vector_sums
 
 from .blocks import dealt, facing, matrix, meeting
+from .dedup import checkpointed
 
 #: Smallest cluster and neighbours for core distances, of the two presets; gates on members and cohesion.
 MIN_CLUSTER_SIZE, MIN_SAMPLES = 3, 2
@@ -257,7 +258,7 @@ def silhouette(df: DataFrame, cluster: str, vector: str, key: str) -> DataFrame:
     """(key, cluster, silhouette) by cosine distance for unit vectors: a member's mean distance to a cluster is one less its dot
     with the cluster's mean, so each is compared with the clusters' sums and not with all members. A singleton has 0, and so has a
     row without a cluster or vector. Blocks of rows meet blocks of clusters; a row leaves each with one result."""
-    sums = vector_sums(df, cluster, vector).select(F.col(cluster).alias("c"), "n", F.col("sum").alias("v"))
+    sums = checkpointed(vector_sums(df.where(F.col(cluster).isNotNull()), cluster, vector).select(F.col(cluster).alias("c"), "n", F.col("sum").alias("v")))
     rows = df.select(F.col(key).alias("k"), F.col(cluster).alias("own"), F.col(vector).alias("v"))
     kinds = dict(rows.dtypes)
 
@@ -298,7 +299,7 @@ def davies_bouldin(df: DataFrame, cluster: str, vector: str) -> DataFrame:
     clusters meet; a cluster leaves each meeting with its worst ratio."""
     means = _means(df, cluster, vector).select("c", "mean")
     spread = df.select(F.col(cluster).alias("c"), vector).join(means, "c").groupBy("c").agg(F.avg(_apart(F.col(vector), F.col("mean"))).alias("s"))
-    one = means.join(spread, "c")
+    one = checkpointed(means.join(spread, "c"))  # a row a cluster, read three times
     kind = dict(one.dtypes)["c"]
 
     def worst(t: pa.Table, u: pa.Table) -> pa.Table:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.text import fold
 
+#: Names that a plan holds as literals, at most; more are one broadcast row.
+LITERALS = 500
 
 def _map(table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
@@ -35,13 +37,18 @@ def first_in_text(df: DataFrame, text: str, names: DataFrame, limit: int = 100_0
 
     names: ord, name, lat, lon, of a size that is checked, as every worker holds them; rows without a match get nulls.
     """
-    rows = names.select("ord", "name", "lat", "lon").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} names")
-    entries = F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.lat).alias("lat"), F.lit(r.lon).alias("lon")) for r in sorted(rows)])
+    rows = names.select("ord", "name", "lat", "lon")
+    few = rows.limit(LITERALS + 1).collect()
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    hit = F.get(F.filter(entries, lambda e: F.contains(low, e["name"])), F.lit(0))
-    return df.withColumn("__hit", hit).select(*df.columns, F.initcap("__hit.name").alias("place"), F.col("__hit.lat").alias("lat"), F.col("__hit.lon").alias("lon"))
+    hit = lambda entries: F.get(F.filter(entries, lambda e: F.contains(low, e["name"])), F.lit(0))
+    if 0 < len(few) <= LITERALS:
+        found = df.withColumn("__hit", hit(F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.lat).alias("lat"), F.lit(r.lon).alias("lon")) for r in sorted(few)])))
+    elif rows.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} names")
+    else:
+        entries = rows.agg(F.array_sort(F.collect_list(F.struct("ord", "name", "lat", "lon"))).alias("__names"))
+        found = df.join(F.broadcast(entries)).withColumn("__hit", hit("__names"))  # one row
+    return found.select(*df.columns, F.initcap("__hit.name").alias("place"), F.col("__hit.lat").alias("lat"), F.col("__hit.lon").alias("lon"))
 
 
 def keyword_hits(df: DataFrame, key: str, text: str, keywords: list[str]) -> DataFrame:
