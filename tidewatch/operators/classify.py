@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import confidence_bucket
 from tidewatch.functions.vector import cosine
 
 #: The labels of the four axes, in order.
@@ -126,12 +127,17 @@ def prompt(titles: Column, bodies: Column, most_titles: int = 8, most_bodies: in
     return F.concat_ws("\n\n", heads, texts)
 
 
+def category_of_titles(groups: DataFrame, key: str, titles: str, labels: DataFrame, model: Callable[[list[str]], list[list[float]]], most: int = 20) -> DataFrame:
+    """(key, label, confidence, bucket) of a group by the embedding of its first titles in one text; a group without titles is left out."""
+    texts = groups.where(F.size(titles) > 0).select(key, F.array_join(F.slice(titles, 1, most), " ").alias("__text"))
+    return best_label(embed(texts, key, "__text", model), labels, key, "embedding")
+
+
 def best_label(vectors: DataFrame, labels: DataFrame, key: str, vector: str, least: float | None = None) -> DataFrame:
     """(key, label, confidence, bucket) of the nearest label over all axes, the first in order on ties; below `least` the key is left out."""
     rows = scores(vectors, labels, key, vector).groupBy(key).agg(F.min_by(F.struct("label", "sim"), F.struct((-F.col("sim")).alias("s"), "axis", "ord")).alias("b"))
     rows = rows.select(key, "b.label", F.col("b.sim").alias("confidence"))
-    bucket = F.when(F.col("confidence") > 0.55, "high").when(F.col("confidence") > 0.40, "medium").otherwise("low")
-    return (rows if least is None else rows.where(F.col("confidence") >= least)).withColumn("bucket", bucket)
+    return (rows if least is None else rows.where(F.col("confidence") >= least)).withColumn("bucket", confidence_bucket(F.col("confidence")))
 
 
 def first_accepted(candidates: DataFrame, key: str, kinds: list[str], inside: Column) -> DataFrame:

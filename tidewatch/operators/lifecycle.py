@@ -69,10 +69,11 @@ def add_counts(events: DataFrame, deltas: DataFrame) -> DataFrame:
 
 
 def needs(events: DataFrame) -> DataFrame:
-    """Events whose enrichment is partial, with the three flags of what is missing."""
-    flags = {"needs_classify": F.col("channel").isNull(), "needs_geocode": F.col("lat").isNull(), "needs_summary": F.col("summary_en").isNull()}
-    open_ = F.col("status").isin("detected", "enriched")
-    return events.withColumns(flags).where(open_ & (F.col("needs_classify") | F.col("needs_geocode") | F.col("needs_summary")))
+    """Events to be enriched, with the three flags of what is missing: all that are detected, and of those that wait for review or
+    are enriched the ones that lack something."""
+    flags = {"needs_classify": F.col("channel").isNull(), "needs_geocode": F.col("lat").isNull(), "needs_summary": F.col("summary_el").isNull()}
+    partial = F.col("status").isin("pending_review", "enriched") & (F.col("needs_classify") | F.col("needs_geocode") | F.col("needs_summary"))
+    return events.withColumns(flags).where((F.col("status") == "detected") | partial)
 
 
 def fill(events: DataFrame, results: DataFrame, groups: dict[str, list[str]]) -> DataFrame:

@@ -80,22 +80,29 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query("""SELECT o_orderkey AS event_id, o_orderpriority <> '1-URGENT' AS needs_classify, o_orderkey % 2 = 0 AS needs_geocode, o_orderkey % 5 = 0 AS needs_summary FROM orders
- WHERE o_orderstatus = 'F' AND (o_orderpriority <> '1-URGENT' OR o_orderkey % 2 = 0 OR o_orderkey % 5 = 0)""")
-def incremental_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events whose enrichment is partial, and what is missing."""
-    events = orders_as_events(spark, sf_dir).withColumns({
-        "channel": F.when(F.col("channel") == "1-URGENT", F.col("channel")), "lat": F.when(F.col("event_id") % 2 != 0, F.col("lat")),
-        "summary_en": F.when(F.col("event_id") % 5 != 0, "s"),
+_OPEN = """SELECT o_orderkey AS event_id, CASE WHEN o_orderkey % 11 = 0 THEN 'detected' WHEN o_orderkey % 13 = 0 THEN 'rejected' WHEN o_orderstatus = 'F' THEN 'enriched' ELSE 'pending_review' END AS status,
+ o_orderpriority <> '1-URGENT' AS needs_classify, o_orderkey % 2 = 0 AS needs_geocode, o_orderkey % 5 = 0 AS needs_summary FROM orders"""
+
+
+def _open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("event_id")
+    return orders_as_events(spark, sf_dir).withColumns({
+        "status": F.when(key % 11 == 0, "detected").when(key % 13 == 0, "rejected").otherwise(F.col("status")), "channel": F.when(F.col("channel") == "1-URGENT", F.col("channel")),
+        "lat": F.when(key % 2 != 0, 2.0), "summary_el": F.when(key % 5 != 0, "s"),
     })
-    return lifecycle.needs(events).select("event_id", "needs_classify", "needs_geocode", "needs_summary")
 
 
-@query("""SELECT o_orderkey AS event_id, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 AND o_orderstatus = 'F' THEN 'pending_review' WHEN o_orderstatus = 'F' THEN 'enriched' ELSE 'pending_review' END AS status,
- CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 AND o_orderstatus = 'F' THEN 1.0::DOUBLE WHEN o_orderkey % 2 <> 0 THEN 2.0::DOUBLE END AS lat FROM orders""")
+@query(f"SELECT event_id, needs_classify, needs_geocode, needs_summary FROM ({_OPEN}) WHERE status = 'detected' OR (status <> 'rejected' AND (needs_classify OR needs_geocode OR needs_summary))")
+def incremental_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that are new or lack a part of their enrichment, and what is missing."""
+    return lifecycle.needs(_open(spark, sf_dir)).select("event_id", "needs_classify", "needs_geocode", "needs_summary")
+
+
+@query(f"""WITH o AS ({_OPEN}), t AS (SELECT *, event_id % 3 <> 0 AND (status = 'detected' OR (status <> 'rejected' AND (needs_classify OR needs_geocode OR needs_summary))) AS done FROM o)
+ SELECT event_id, CASE WHEN done THEN 'pending_review' ELSE status END AS status, CASE WHEN NOT needs_geocode THEN 2.0::DOUBLE WHEN done THEN 1.0::DOUBLE END AS lat FROM t""")
 def partial_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results fill what is missing; a failed one leaves its event as it was."""
-    events = orders_as_events(spark, sf_dir).withColumns({"lat": F.when(F.col("event_id") % 2 != 0, 2.0), "summary_en": F.lit("s")})
+    events = _open(spark, sf_dir)
     results = events.select("event_id", F.lit(1.0).alias("lat"), F.when(F.col("event_id") % 3 == 0, "down").alias("error"))
     return lifecycle.fill(events, results, {"needs_geocode": ["lat"]}).select("event_id", "status", "lat")
 

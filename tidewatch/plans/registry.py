@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ["serving", "statistics", "ingestion", "analysis", "lifecycles", "runs", "feeds"]
+_MODULES = ["serving", "statistics", "ingestion", "analysis", "lifecycles", "runs", "feeds", "enrichments"]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
