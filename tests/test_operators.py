@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import geo, moments
 from tidewatch.functions.vector import centroids, cosine
-from tidewatch.operators import classify, clustering, dedup, lifecycle, lookups, registry, serve
+from tidewatch.operators import classify, clustering, dedup, enrichment, lifecycle, lookups, nearest, registry, serve
 
 NOW = datetime(2024, 6, 1)
 
@@ -285,3 +285,60 @@ def test_measures_of_clusters_against_loops(spark):
     far = {c: np.mean([np.linalg.norm(v - mean[c]) for v in g]) for c, g in groups.items()}
     want = np.mean([max((far[c] + far[d]) / np.linalg.norm(mean[c] - mean[d]) for d in groups if d != c) for c in groups])
     assert math.isclose(clustering.davies_bouldin(df.where("c is not null and v is not null"), "c", "v").first()[0], want, rel_tol=1e-9)
+
+
+def test_nearest_over_blocks_with_ties_and_nulls(spark):
+    vectors = [v.tolist() for g in range(12) for v in group(g, 40, 0.05)]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(1000, None), (1001, [0.0] * 64), (1002, vectors[0]), (1003, vectors[0])]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    index = nearest.build(df, "id", "v", k=5)
+    asked = df.where("id % 50 = 0")
+    x = np.array([v for _, v in rows if v is not None])
+    ids = [i for i, v in rows if v is not None]
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    want = set()
+    for i, v in rows:
+        if i % 50 == 0 and v is not None:
+            s = np.round(x @ x[ids.index(i)], 9)
+            want |= {(i, j) for _, j in sorted(zip(-s, ids, strict=True))[:5]}
+    found = {(r["query"], r["id"]) for r in nearest.search(index, asked, "id", "v", 5, len(index.centres), (64, 2)).collect()}
+    assert found == want
+    some = nearest.search(index, asked, "id", "v", 5)
+    assert index.probes < len(index.centres) / 2 and nearest.recall(some, nearest.search(index, asked, "id", "v", 5, len(index.centres)), "id").first().recall >= 0.9
+    none = df.where("false")
+    assert nearest.search(nearest.build(none, "id", "v"), none, "id", "v").count() == 0
+    assert nearest.search(nearest.build(none, "id", "v"), asked, "id", "v").count() == 0
+
+
+def test_latest_and_empty_titles(spark):
+    day = lambda n: NOW - timedelta(days=n)
+    rows = [("e", "a", "old", "b", day(3), False), ("e", "b", None, None, None, False), ("e", "c", "new", "b", day(1), False), ("e", "d", "copy", "b", day(0), True), (None, "f", "free", "b", day(0), False)]
+    rows += [("hot", f"h{i:03}", str(i), "", day(i), False) for i in range(50)]
+    df = spark.createDataFrame(rows, "event_id string, article_id string, title string, body_text string, published_at timestamp, is_duplicate boolean")
+    got = {r.event_id: (r.titles, r.n) for r in enrichment.latest(df).collect()}
+    assert got == {"e": (["", "new", "old"], 3), "hot": ([str(i) for i in range(10)], 10)}
+    names = spark.createDataFrame([], "ord int, name string, lat double, lon double")
+
+    def down(*said):
+        raise OSError
+
+    down_services = enrichment.Services(down, down, down, down, down)
+    for services in (enrichment.Services(), down_services):
+        assert [(r.locations, r.tier) for r in enrichment.located(enrichment.latest(df), "event_id", "titles", names, services).collect()] == [([], None)] * 2
+        assert [(r.summary_el, r.summary_en) for r in enrichment.summarised(enrichment.latest(df), "event_id", "titles", "bodies", services).collect()] == [(None, None)] * 2
+
+
+def test_a_failing_phase_leaves_the_tables(spark):
+    from tidewatch.plans import enrichments
+
+    def down(texts):
+        raise OSError("down")
+
+    whole, one_hot = [], enrichments._one_hot
+    enrichments._one_hot = down
+    try:
+        tables, whole = enrichments._cycles(spark, "/root/testdata/sf0.001")
+    finally:
+        enrichments._one_hot = one_hot
+    assert "error" in whole[0]["analyse"] and whole[0]["ingest"]["inserted"] > 0 and whole[0]["archive"] == {"archived": 1, "closed": 1}
+    assert tables.articles.count() == whole[0]["ingest"]["inserted"] + whole[1]["ingest"]["inserted"] and tables.events.count() == 2

@@ -338,17 +338,20 @@ def worst_clusters(df: DataFrame, cluster: str, vector: str, key: str, n: int =
 
 
 def baseline(df: DataFrame, cluster: str, vector: str, key: str) -> DataFrame:
-    """(metric, value): the measures that runs are compared by."""
+    """(metric, value): the measures that runs are compared by; noise is in cluster -1. Shares are of 1."""
     clustered = df.where(F.col(cluster) != -1)
+    fit = silhouette(clustered, cluster, vector, key).groupBy(cluster).agg(F.sum("silhouette").alias("s"), F.count("*").alias("n"))
+    number = lambda x, name: x.cast("double").alias(name)
     parts = [
         df.agg(
-            F.count("*").cast("double").alias("records"), F.count_if(F.col(cluster) != -1).cast("double").alias("clustered"), F.count_if(F.col(cluster) == -1).cast("double").alias("noise"),
-            F.avg((F.col(cluster) == -1).cast("double")).alias("noise_share"), F.max(F.size(vector)).cast("double").alias("dimensions"),
+            number(F.count("*"), "records"), number(F.count_if(F.col(cluster) != -1), "clustered"), number(F.count_if(F.col(cluster) == -1), "noise"),
+            F.avg((F.col(cluster) == -1).cast("double")).alias("noise_share"), number(F.max(F.size(vector)), "dimensions"),
+        ),
+        fit.agg(number(F.count_if(F.col("s") < 0), "negative_clusters"), (F.sum("s") / F.sum("n")).alias("silhouette")),
+        centroids(clustered, cluster, vector).agg(
+            number(F.count("*"), "clusters"), number(F.median("n"), "median_size"), number(F.max("n"), "largest_size"),
+            F.avg("cohesion").alias("mean_cohesion"), F.median("cohesion").alias("median_cohesion"), F.min("cohesion").alias("min_cohesion"),
         ),
-        clustered.groupBy(cluster).agg(F.count("*").alias("n")).agg(F.median("n").cast("double").alias("median_size"), F.max("n").cast("double").alias("largest_size")),
-        silhouette(clustered, cluster, vector, key).groupBy(cluster).agg(F.avg("silhouette").alias("s")).agg(F.count_if(F.col("s") < 0).cast("double").alias("negative_clusters")),
-        centroids(clustered, cluster, vector).agg(F.count("*").cast("double").alias("clusters"), F.avg("cohesion").alias("mean_cohesion"), F.median("cohesion").alias("median_cohesion"), F.min("cohesion").alias("min_cohesion")),
-        silhouette(clustered, cluster, vector, key).agg(F.avg("silhouette").alias("silhouette")),
         davies_bouldin(clustered, cluster, vector), calinski_harabasz(clustered, cluster, vector),
     ]
     row = parts[0]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.vector import centroids
-from tidewatch.operators import classify, clustering, dedup, registry
+from tidewatch.operators import classify, clustering, dedup, nearest, registry
 
 from .bindings import VECTORS_SQL, table, vectors
 from .registry import query
@@ -149,6 +149,48 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("metric").isin(wanted)).select("metric", F.round("value", 6).alias("value"))
 
 
+@query(f"""WITH {VECTORS_SQL.replace('vectors_ AS', 'raw_ AS')}, vectors_ AS (SELECT * FROM raw_ WHERE article_id % 9 <> 0), {_sums()}, c AS (SELECT n, (t - q) / (n * (n - 1)) AS c FROM sums),
+ d AS (SELECT v.article_id, v.cluster_id, s.cluster_id AS other, s.n, {_DOT.format('v.embedding', 's.s')} AS dot, {_DOT.format('v.embedding', 'v.embedding')} AS own FROM vectors_ v, sums s),
+ w AS (SELECT article_id, cluster_id, max(CASE WHEN other = cluster_id THEN 1 - (dot - own) / (n - 1) END) AS a, min(CASE WHEN other <> cluster_id THEN 1 - dot / n END) AS b FROM d GROUP BY 1, 2),
+ f AS (SELECT cluster_id, (b - a) / greatest(a, b) AS s FROM w), m AS (SELECT cluster_id, list_transform(s, lambda x: x / n) AS mean FROM sums),
+ e AS (SELECT m.cluster_id, any_value(mean) AS mean, avg(list_distance(v.embedding, m.mean)) AS s FROM vectors_ v JOIN m USING (cluster_id) GROUP BY 1),
+ r AS (SELECT a.cluster_id, max((a.s + b.s) / list_distance(a.mean, b.mean)) AS r FROM e a JOIN e b ON a.cluster_id <> b.cluster_id GROUP BY 1),
+ g AS (SELECT list(s ORDER BY pos) AS grand, max(n) AS total FROM (SELECT pos, sum(s) / sum(n) AS s, sum(n) AS n FROM pos GROUP BY 1)),
+ h AS (SELECT n, total, q - t / n AS within, n * pow(list_distance(list_transform(s, lambda x: x / n), grand), 2) AS between_ FROM sums, g)
+ SELECT metric, round("value"::DOUBLE, 6) AS "value" FROM (VALUES ('records', (SELECT count(*)::DOUBLE FROM raw_)), ('clustered', (SELECT count(*) FROM vectors_)), ('noise', (SELECT count(*) FROM raw_ WHERE article_id % 9 = 0)),
+  ('noise_share', (SELECT avg(CASE WHEN article_id % 9 = 0 THEN 1.0::DOUBLE ELSE 0 END) FROM raw_)), ('dimensions', (SELECT max(len(embedding)) FROM raw_)),
+  ('negative_clusters', (SELECT count(*) FROM (SELECT cluster_id FROM f GROUP BY 1 HAVING avg(s) < 0))), ('silhouette', (SELECT avg(s) FROM f)), ('clusters', (SELECT count(*) FROM c)),
+  ('median_size', (SELECT median(n) FROM c)), ('largest_size', (SELECT max(n) FROM c)), ('mean_cohesion', (SELECT avg(c) FROM c)), ('median_cohesion', (SELECT median(c) FROM c)), ('min_cohesion', (SELECT min(c) FROM c)),
+  ('davies_bouldin', (SELECT avg(r) FROM r)), ('calinski_harabasz', (SELECT (sum(between_) / (count(*) - 1)) / (sum(within) / (max(total) - count(*))) FROM h))) t(metric, "value")""")
+def quality_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measures of the comparison table, with a ninth of the rows as noise."""
+    rows = vectors(spark, sf_dir).withColumn("cluster_id", F.when(F.col("article_id") % 9 == 0, -1).otherwise(F.col("cluster_id")))
+    return clustering.baseline(rows, "cluster_id", "embedding", "article_id").select("metric", F.round("value", 6).alias("value"))
+
+
+_NEAR = """v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
+ n AS (SELECT q.vec_id AS query, v.vec_id, list_dot_product(q.v, v.v) AS s FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)"""
+
+
+def _near(spark: SparkSession, sf_dir: str, exact: bool) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    index = nearest.build(rows, "vec_id", "embedding")
+    found = nearest.search(index, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", 11, len(index.centres) if exact else None)
+    return found.where("query <> vec_id")
+
+
+@query(f"WITH {_NEAR} SELECT query, vec_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS k FROM n) WHERE k <= 10")
+def nearest_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of every fiftieth, with all cells looked at."""
+    return _near(spark, sf_dir, True).select("query", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT true AS enough")
+def nearest_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index finds at least 0.9 of the ten nearest rows of every fiftieth, with as many cells as it has fitted."""
+    return nearest.recall(_near(spark, sf_dir, False), _near(spark, sf_dir, True), "vec_id").select((F.col("recall") >= 0.9).alias("enough"))
+
+
 @query(f"""WITH {VECTORS_SQL}, {_sums()}, d AS (SELECT v.article_id, v.cluster_id, s.cluster_id AS other, s.n, {_DOT.format('v.embedding', 's.s')} AS dot, {_DOT.format('v.embedding', 'v.embedding')} AS own FROM vectors_ v, sums s),
  w AS (SELECT article_id, cluster_id, max(CASE WHEN other = cluster_id THEN 1 - (dot - own) / (n - 1) END) AS a, min(CASE WHEN other <> cluster_id THEN 1 - dot / n END) AS b FROM d GROUP BY 1, 2),
  x AS (SELECT cluster_id, avg((b - a) / greatest(a, b)) AS s FROM w GROUP BY 1)
