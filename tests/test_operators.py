@@ -342,3 +342,18 @@ def test_a_failing_phase_leaves_the_tables(spark):
         enrichments._one_hot = one_hot
     assert "error" in whole[0]["analyse"] and whole[0]["ingest"]["inserted"] > 0 and whole[0]["archive"] == {"archived": 1, "closed": 1}
     assert tables.articles.count() == whole[0]["ingest"]["inserted"] + whole[1]["ingest"]["inserted"] and tables.events.count() == 2
+
+
+def test_labels_need_no_shuffle_and_ties_go_to_the_first(spark):
+    labels = spark.createDataFrame([("action_forms", 1, "b", [1.0, 0.0]), ("action_forms", 0, "a", [1.0, 0.0]), ("channel", 0, "c", [0.0, 1.0]), ("channel", 1, "d", [-1.0, 0.0])], "axis string, ord int, label string, label_vector array<float>")
+    rows = spark.createDataFrame([(1, [2.0, 0.0]), (2, None), (3, [1.0, 2.0, 3.0]), (4, [0.0, 0.0]), (5, [-1.0, 3.0])], "id int, v array<float>")
+    found = classify.zero_shot(rows, labels, "id", "v")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id, r.axis): (r.labels, round(r.confidence, 6)) for r in found.collect()}
+    assert got[1, "action_forms"] == (["a", "b"], 1.0) and got[1, "channel"] == (["c"], 0.0)
+    for i in (2, 3, 4):
+        assert got[i, "action_forms"] == (["a"], 0.0) and got[i, "channel"] == (["c"], 0.0)
+    assert got[5, "action_forms"] == (["a"], round(-1 / math.sqrt(10), 6)) and got[5, "channel"][0] == ["c"]
+    best = {r.id: (r.label, r.bucket) for r in classify.best_label(rows, labels, "id", "v").collect()}
+    assert best == {1: ("a", "high"), 2: ("a", "low"), 3: ("a", "low"), 4: ("a", "low"), 5: ("c", "high")}
+    assert classify.zero_shot(rows, labels.where("false"), "id", "v").count() == 0 and classify.best_label(rows, labels.where("false"), "id", "v").count() == 0

@@ -8,11 +8,12 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import confidence_bucket
-from tidewatch.functions.vector import cosine
+from tidewatch.functions.vector import GUARD
 
 #: The labels of the four axes, in order.
 ACTION_FORMS = ["Διαδήλωση/Πορεία/Συγκέντρωση", "Απεργία/Στάση εργασίας", "Κατάληψη", "Αποκλεισμός/Μπλόκο", "Μποϊκοτάζ", "Διαδικτυακή εκστρατεία", "Whistleblowing", "Αποχή"]
@@ -31,6 +32,8 @@ ENGLISH = {
 }
 MULTI = ("action_forms", "thematic_fields")
 MULTI_LEAST, MULTI_MOST, LOW_CONFIDENCE = 0.35, 3, 0.45
+#: Labels of all axes, at most.
+MOST_LABELS = 1_000
 
 
 def level(intensity: Column) -> Column:
@@ -39,20 +42,58 @@ def level(intensity: Column) -> Column:
     return F.when(place > 0, place.cast("int"))
 
 
-def scores(vectors: DataFrame, labels: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, axis, ord, label, sim) of every vector with every label (a few dozen); a null vector scores 0."""
-    sim = F.coalesce(cosine(F.col(vector), F.col("label_vector")), F.lit(0.0))
-    return vectors.select(key, vector).join(F.broadcast(labels)).select(key, "axis", "ord", "label", sim.alias("sim"))
+def _scored(vectors: DataFrame, labels: DataFrame, key: str, vector: str, schema: str, pick) -> DataFrame:
+    """What pick(similarities, axes, names) makes of each batch of vectors and all labels in order of axis and ord: row numbers and
+    further columns. The labels, a fixed list of a checked size, go with the task, so no vector is repeated or shuffled. A null
+    vector, or one of another length, has similarity 0; equal labels have equal similarities."""
+    known = labels.select("axis", "ord", "label", F.col("label_vector").cast("array<double>").alias("v")).limit(MOST_LABELS + 1).collect()
+    if len(known) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    if not known:
+        return vectors.sparkSession.createDataFrame([], schema)
+    known = sorted(known, key=lambda r: (r.axis, r.ord))
+    sizes = {len(r.v) for r in known if r.v is not None}
+    if len(sizes) > 1:
+        raise ValueError("label vectors of different lengths")
+    size = max(sizes, default=0)
+    table, of = np.unique(np.array([r.v if r.v is not None else [0.0] * size for r in known], float), axis=0, return_inverse=True)
+    axes, names = np.array([r.axis for r in known], object), np.array([r.label for r in known], object)
+    lengths = np.sqrt((table * table).sum(axis=1))
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(1)
+            sims = np.zeros((len(batch), len(table)))
+            some = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), size), False).to_numpy(zero_copy_only=False))
+            if len(some) and size:
+                x = pc.list_flatten(column.take(pa.array(some))).to_numpy(zero_copy_only=False).astype(float).reshape(len(some), size)
+                sims[some] = x @ table.T / (np.sqrt((x * x).sum(axis=1))[:, None] * lengths + GUARD)
+            at, *columns = pick(sims[:, of.ravel()], axes, names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=[c.split()[0] for c in schema.split(", ")])
+
+    return vectors.select(key, vector).mapInArrow(run, schema)
 
 
 def zero_shot(vectors: DataFrame, labels: DataFrame, key: str, vector: str, multi: tuple[str, ...] = MULTI, least: float = MULTI_LEAST, most: int = MULTI_MOST) -> DataFrame:
     """(key, axis, labels, confidence): on a multi-label axis the best labels of at least a similarity, three at most, else the
     best one; on others the best one. The first label of an axis wins ties; confidence is the best similarity."""
-    rows = scores(vectors, labels, key, vector)
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key, "axis").orderBy(F.desc("sim"), "ord")))
-    fits = (F.col("rank") == 1) | (F.col("axis").isin(list(multi)) & (F.col("rank") <= most) & (F.col("sim") >= least))
-    rows = rows.where(fits).groupBy(key, "axis").agg(F.array_sort(F.collect_list(F.struct("rank", "label", "sim"))).alias("best"))
-    return rows.select(key, "axis", F.transform("best", lambda x: x["label"]).alias("labels"), F.col("best")[0]["sim"].alias("confidence"))
+
+    def pick(sims: np.ndarray, axes: np.ndarray, names: np.ndarray):
+        at, said, lists, sure = [], [], [], []
+        for axis in dict.fromkeys(axes):
+            own = np.flatnonzero(axes == axis)
+            s = sims[:, own]
+            order = np.argsort(-s, axis=1, kind="stable")[:, : most if axis in multi else 1]
+            best = np.take_along_axis(s, order, axis=1)
+            keep = best >= least
+            keep[:, :1] = True
+            ends = np.concatenate([[0], keep.sum(axis=1).cumsum()])
+            lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names[own][order[keep]].tolist(), pa.string())))
+            at.append(np.arange(len(s))), sure.append(best[:, 0]), said.extend([axis] * len(s))
+        cat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+        return cat(at, np.int64), pa.array(said, pa.string()), pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.string())), pa.array(cat(sure, float))
+
+    return _scored(vectors, labels, key, vector, f"{key} {dict(vectors.dtypes)[key]}, axis string, labels array<string>, confidence double", pick)
 
 
 def confidence(found: DataFrame, key: str, low: float = LOW_CONFIDENCE) -> DataFrame:
@@ -135,8 +176,12 @@ def category_of_titles(groups: DataFrame, key: str, titles: str, labels: DataFra
 
 def best_label(vectors: DataFrame, labels: DataFrame, key: str, vector: str, least: float | None = None) -> DataFrame:
     """(key, label, confidence, bucket) of the nearest label over all axes, the first in order on ties; below `least` the key is left out."""
-    rows = scores(vectors, labels, key, vector).groupBy(key).agg(F.min_by(F.struct("label", "sim"), F.struct((-F.col("sim")).alias("s"), "axis", "ord")).alias("b"))
-    rows = rows.select(key, "b.label", F.col("b.sim").alias("confidence"))
+
+    def pick(sims: np.ndarray, axes: np.ndarray, names: np.ndarray):
+        best = sims.argmax(axis=1) if len(names) else np.empty(0, np.int64)
+        return np.arange(len(best)), pa.array(names[best].tolist(), pa.string()), pa.array(sims[np.arange(len(best)), best])
+
+    rows = _scored(vectors, labels, key, vector, f"{key} {dict(vectors.dtypes)[key]}, label string, confidence double", pick)
     return (rows if least is None else rows.where(F.col("confidence") >= least)).withColumn("bucket", confidence_bucket(F.col("confidence")))
 
 
