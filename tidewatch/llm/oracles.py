@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import LEAST, MASKS, PENALTY, SIMILAR
 from .licenses import CONTAINED, PHRASES, TEMPLATES
+from .periodic_runs import LEAST as RUN
 from .quality_rules import GRAM_LIMITS, LINE_LIMIT, MIN_WORDS, MOST_REPEATED, WINDOW
 from .substring_dedup import WINDOW as LENGTH
 
@@ -90,5 +91,44 @@ _OP10 = f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_
  SELECT doc_id, len(w)::BIGINT AS n_words, n::BIGINT AS n_removed, sha256(array_to_string(v, ' ')) AS kept_sha256 FROM kept"""
 
 
+def _op11() -> str:
+    crc = "(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: unicode(substr(k, i, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, e: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))))"
+    # Every run holds two equal stretches of 6 words, q apart: 12 words at least, and twice q.
+    return f"""WITH t AS (SELECT doc_id, doc_id::VARCHAR AS k, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+ h AS (SELECT doc_id, w, len(w)::BIGINT AS n, xor({crc}, 4294967295) AS h FROM t), g AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM h),
+ p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+ d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(w, lambda x, i: CASE WHEN i - 1 < a THEN x ELSE w[1 + a + (i - 1 - a) % p] END) ELSE w END AS w FROM p),
+ s AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 6], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, n - 5)) AS i FROM d WHERE n >= {RUN})),
+ m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i),
+ v AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM m) GROUP BY doc_id, q, isle),
+ c AS (SELECT * FROM v WHERE length >= greatest({RUN}, 2 * q)),
+ r AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.doc_id = c.doc_id AND o.q < c.q AND o.start <= c.start AND o.start + o.length >= c.start + c.length)),
+ b AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(s := start, l := length, q := q), struct_pack(l := -length, s := start, q := q)) AS best,
+  string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM r GROUP BY 1),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+ words AS (SELECT doc_id, unnest(w) AS x, unnest(range(0, n)) AS i FROM d WHERE n > 0),
+ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS line FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+ SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.q::BIGINT AS period, (1000 * best.l // best.q)::BIGINT AS exponent_milli,
+ sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(line, '')) AS collapsed_sha256 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+def _op13() -> str:
+    return f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+ l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+ f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, map {{'A': (len(w) < 50)::INT, 'B': (100 * len(list_distinct(w)) < 65 * len(w))::INT, 'C': (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT,
+  'D': regexp_matches(text, '[#$%&*|]')::INT, 'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT}} AS fails FROM d LEFT JOIN l USING (doc_id)),
+ m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+ x(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+ o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+ s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+ r AS (SELECT part, filter_order, step, n, good, toxic, fails[substr(filter_order, step, 1)] AS own, list_sum(list_transform(range(1, step), lambda i: fails[substr(filter_order, i, 1)])) AS before,
+  list_sum(map_values(fails)) AS fails FROM m, s),
+ g AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, sum(CASE WHEN own = 0 AND coalesce(before, 0) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN own = 1 AND coalesce(before, 0) = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN own = 1 AND before > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN own = 1 AND fails = 1 THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN own = 1 AND coalesce(before, 0) = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN own = 1 AND coalesce(before, 0) = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM r GROUP BY 1, 2, 3)
+ SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+ (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _op1(), "op3_quality_rules": _op3(), "op6_licenses": _op6(), "op9_warc": _OP9, "op10_substring_dedup": _OP10}
+    return {"op11_periodic_runs": _op11(), "op13_filter_audit": _op13(), "op1_decontamination": _op1(), "op3_quality_rules": _op3(), "op6_licenses": _op6(), "op9_warc": _OP9, "op10_substring_dedup": _OP10}

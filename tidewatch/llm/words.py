@@ -113,6 +113,12 @@ class Words:
         return np.flatnonzero(self.doc[: len(self) - k + 1] == self.doc[k - 1 :])
 
 
+def gathered(data: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of data from each start on, one behind another."""
+    ends = np.cumsum(lengths)
+    return data[np.repeat(start - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 def window_hash(h: np.ndarray, starts: np.ndarray, k: int, which: int = 2) -> np.ndarray:
     return spans_hash(prefix(h, which), starts, starts + k, which)
 
