@@ -340,7 +340,7 @@ def test_a_failing_phase_leaves_the_tables(spark):
         tables, whole = enrichments._cycles(spark, "/root/testdata/sf0.001")
     finally:
         enrichments._one_hot = one_hot
-    assert "error" in whole[0]["analyse"] and whole[0]["ingest"]["inserted"] > 0 and whole[0]["archive"] == {"archived": 1, "closed": 1}
+    assert "error" in whole[0]["analyse"] and whole[0]["ingest"]["inserted"] > 0 and whole[0]["archive"] == {"archived": 1, "pruned": 0, "closed": 1}
     assert tables.articles.count() == whole[0]["ingest"]["inserted"] + whole[1]["ingest"]["inserted"] and tables.events.count() == 2
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.session import shared_folder
@@ -65,32 +66,83 @@ def similar_pairs(articles: DataFrame, theta: float, hours: float, cluster: str
     return met.groupBy("cluster", "__i", "__j").applyInArrow(pairs, f"cluster {kind}, a string, b string, similarity double")
 
 
-def greedy_duplicates(articles: DataFrame, theta: float = GREEDY[0], hours: float = GREEDY[1], cluster: str = "cluster_id") -> DataFrame:
+def _fold(t: pa.Table, theta: float, hours: float) -> list[str | None]:
+    """For each row, in time order, the first row kept before it that is near in both ways; null for those that are kept."""
+    ids, v, at = t["id"].to_pylist(), matrix(t["v"]) if len(t) else np.zeros((0, 0)), t["at"].to_pylist()
+    kept: list[int] = []
+    kept_v = np.empty_like(v)
+    of: list[str | None] = [None] * len(ids)
+    for i in sorted(range(len(ids)), key=lambda i: (at[i] is not None, at[i] or 0, ids[i])):
+        sims = np.round(kept_v[: len(kept)] @ v[i], 9)
+        for k in np.flatnonzero(sims >= theta).tolist():
+            j = kept[k]
+            if at[i] is None or at[j] is None or abs(at[i] - at[j]) <= hours * _HOUR:
+                of[i] = ids[j]
+                break
+        else:
+            kept_v[len(kept)] = v[i]
+            kept.append(i)
+    return of
+
+
+def greedy_duplicates(articles: DataFrame, theta: float = GREEDY[0], hours: float = GREEDY[1], cluster: str = "cluster_id", block: int = BLOCK) -> DataFrame:
     """(cluster, id, duplicate_of): in time order, undated first, an article is a duplicate iff an earlier canonical one is within
-    the hours (an unknown time passes) and its dot reaches theta; duplicate_of is the first such, null for canonical ones."""
+    the hours (an unknown time passes) and its dot reaches theta; duplicate_of is the first such, null for canonical ones.
+
+    Clusters of at most `block` rows are folded in one task each. A larger one goes in waves: its first rows are folded, and those of them that are
+    canonical are sent to blocks of the others, which lose what is near to them; so each row meets the canonical ones before it only,
+    copies go with the first wave, and no task holds more than a block and a wave's canonical rows.
+    """
     rows = _columns(articles, cluster)
+    kind = dict(rows.dtypes)["cluster"]
+    schema = f"cluster {kind}, id string, duplicate_of string"
 
     def fold(t: pa.Table) -> pa.Table:
-        ids, v = t["id"].to_pylist(), np.array(t["v"].to_pylist(), np.float64).reshape(len(t), -1)
-        at = t["at"].to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (at[i] is not None, at[i] or 0, ids[i]))
-        kept: list[int] = []
-        kept_v = np.empty_like(v)
-        of: list[str | None] = [None] * len(ids)
-        for i in order:
-            sims = np.round(kept_v[: len(kept)] @ v[i], 9)
-            for k in np.flatnonzero(sims >= theta).tolist():
-                j = kept[k]
-                if at[i] is None or at[j] is None or abs(at[i] - at[j]) <= hours * _HOUR:
-                    of[i] = ids[j]
-                    break
-            else:
-                kept_v[len(kept)] = v[i]
-                kept.append(i)
-        return pa.table({"cluster": t["cluster"], "id": t["id"], "duplicate_of": pa.array(of, pa.string())})
-
-    kind = dict(rows.dtypes)["cluster"]
-    return rows.groupBy("cluster").applyInArrow(fold, f"cluster {kind}, id string, duplicate_of string")
+        return pa.table({"cluster": t["cluster"], "id": t["id"], "duplicate_of": pa.array(_fold(t, theta, hours), pa.string())})
+
+    large = rows.groupBy(F.col("cluster").alias("__c")).agg(F.count("*").alias("n")).where(F.col("n") > block)
+    large = checkpointed(large)
+    if large.isEmpty():
+        return rows.groupBy("cluster").applyInArrow(fold, schema)
+    same = F.col("cluster").eqNullSafe(F.col("__c"))
+    done = rows.join(large, same, "left_anti").groupBy("cluster").applyInArrow(fold, schema)
+    rest = checkpointed(rows.join(large.select("__c"), same, "left_semi"))
+
+    def near(kept: pa.Table, own: pa.Table) -> pa.Table:
+        """The first of the kept rows that each own row is a duplicate of."""
+        of: list[str | None] = [None] * len(own)
+        if len(kept) and len(own):
+            kept = kept.append_column("dated", pc.is_valid(kept["at"])).sort_by([("dated", "ascending"), ("at", "ascending"), ("id", "ascending")])
+            x, y, names = matrix(kept["v"]), matrix(own["v"]), kept["id"].to_pylist()
+            a, b = (t["at"].cast(pa.float64()).to_numpy(zero_copy_only=False) for t in (kept, own))
+            for i in range(0, len(own), 1024):
+                hit = (np.round(y[i : i + 1024] @ x.T, 9) >= theta) & ~(np.abs(b[i : i + 1024, None] - a) > hours * _HOUR)
+                for k in np.flatnonzero(hit.any(axis=1)).tolist():
+                    of[i + k] = names[int(hit[k].argmax())]
+        return pa.table({"cluster": own["cluster"], "id": own["id"], "v": own["v"], "at": own["at"], "duplicate_of": pa.array(of, pa.string())})
+
+    order = Window.partitionBy("cluster").orderBy(F.asc_nulls_first("at"), "id")
+    while not rest.isEmpty():
+        first = rest.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= block).drop("__k")  # cut before the shuffle
+        head = checkpointed(first.groupBy("cluster").applyInArrow(fold, schema))
+        done = done.unionByName(head)
+        met = head.select(F.col("cluster").alias("__c"), F.col("id").alias("__i"), F.col("duplicate_of").isNull().alias("__kept"))
+        mine = F.col("cluster").eqNullSafe(F.col("__c")) & (F.col("id") == F.col("__i"))
+        kept, others = rest.join(met.where("__kept"), mine, "left_semi"), rest.join(met, mine, "left_anti")
+        parts = others.groupBy(F.col("cluster").alias("__c")).agg(F.ceil(F.count("*") / block).cast("int").alias("__n"))
+        parts = checkpointed(parts)
+        total = parts.agg(F.sum("__n")).first()[0]
+        if not total:
+            break
+        joined = lambda df: df.join(parts, F.col("cluster").eqNullSafe(F.col("__c"))).drop("__c")
+        own = joined(others).withColumn("__b", F.pmod(F.xxhash64("id"), "__n").cast("int")).drop("__n")
+        sent = joined(kept).withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+        own, sent = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (own, sent))  # they come of one table
+        both = [df.repartition(min(total, 20_000), "cluster", "__b").groupBy("cluster", "__b") for df in (sent, own)]
+        met = checkpointed(both[0].cogroup(both[1]).applyInArrow(near, f"cluster {kind}, id string, v array<double>, at long, duplicate_of string"))
+        done = done.unionByName(met.where("duplicate_of is not null").select("cluster", "id", "duplicate_of"))
+        rest = met.where("duplicate_of is null").drop("duplicate_of")
+    return done
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", checkpoint=None, small: int = SMALL) -> DataFrame:

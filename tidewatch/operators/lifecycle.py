@@ -56,6 +56,17 @@ def sweep(events: DataFrame, articles: DataFrame, as_of: Column) -> tuple[DataFr
     return events.withColumn("status", idle_status(F.col("status"), F.col("last_seen"), as_of)), rows
 
 
+def sweep_changes(events: DataFrame, articles: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """What sweep changes: (event_id, status, archived, closed) of the events that it moves, with the steps that moved them, and (article_id)
+    of the bodies that it drops. An event that is archived and closed in one sweep counts for both."""
+    hours = F.make_dt_interval(F.lit(0), F.lit(ARCHIVE_HOURS), F.lit(0), F.lit(0))
+    due = F.coalesce((F.col("status") == "enriched") & (F.col("last_seen") < as_of - hours), F.lit(False))
+    after = idle_status(F.col("status"), F.col("last_seen"), as_of)
+    moved = events.select("event_id", after.alias("status"), due.alias("archived"), F.coalesce((after == "closed") & (F.col("status") != "closed"), F.lit(False)).alias("closed"))
+    idle = events.where(due | (F.col("status") == "archived")).select("event_id").distinct()
+    return moved.where("archived or closed"), articles.where("body_text is not null").join(idle, "event_id", "left_semi").select("article_id")
+
+
 def link(articles: DataFrame, members: DataFrame, duplicates: DataFrame) -> DataFrame:
     """articles with event_id of members (article_id, event_id) and is_duplicate of duplicates (article_id)."""
     rows = articles.join(members.select("article_id", F.col("event_id").alias("__e")), "article_id", "left")

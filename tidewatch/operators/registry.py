@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +13,11 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.vector import dot
 
+from . import dedup
 from .blocks import facing, matrix
 
 THETA = 0.85
 SETTLED = ("closed", "rejected")
-#: Clusters of one run whose order matters, at most.
-MOST_CLUSTERS = 100_000
-#: Live events that are kept for each cluster of a run, the nearest ones.
-OPTIONS = 16
 #: Clusters that are broadcast, at most.
 FEW = 1_000
 
@@ -28,9 +26,9 @@ def matchable(events: DataFrame) -> DataFrame:
     return events.where(F.col("centroid").isNotNull() & ~F.coalesce(F.col("status"), F.lit("")).isin(*SETTLED))
 
 
-def _nearest(clusters: DataFrame, events: DataFrame, theta: float, most: int, digits: int = 9, few: int = FEW) -> DataFrame:
+def _nearest(clusters: DataFrame, events: DataFrame, theta: float, most: int | None, digits: int = 9, few: int = FEW) -> DataFrame:
     """(cluster_id, event_id, similarity): live events of each cluster at theta or more. Up to `few` clusters are counted and sent to
-    every part of the events; of more, blocks of both sides meet, and each pair of blocks gives the nearest `most`, the smaller
+    every part of the events; of more, blocks of both sides meet, and each pair of blocks gives the nearest `most` (None: all), the smaller
     event_id first on ties. Centroids of different dimensions match nothing."""
     known = matchable(events).select("event_id", "centroid")
     new = clusters.where(F.col("centroid").isNotNull()).select("cluster_id", "centroid")
@@ -67,41 +65,67 @@ def best_match(clusters: DataFrame, events: DataFrame, theta: float = THETA, dig
     return _nearest(clusters, events, theta, 1, digits, few).groupBy("cluster_id").agg(best.alias("b")).select("cluster_id", "b.event_id", "b.similarity")
 
 
-def assign(clusters: DataFrame, events: DataFrame, theta: float = THETA) -> list[dict]:
-    """Assignments of the clusters of one run in order of cluster_id: cluster_id, event_id, is_new, similarity.
+def identify(clusters: DataFrame, events: DataFrame, theta: float = THETA) -> DataFrame:
+    """(cluster_id, event_id, is_new, similarity) of the clusters of one run (cluster_id, centroid, first_id), as if taken in order of cluster_id.
 
-    A cluster may match an event that an earlier cluster of the run created or moved, so what is left after the match with the
-    snapshot is folded in order on the driver: clusters of one run, their matches, and nothing of the registry's other events.
+    A cluster takes the nearest live event whose centroid reaches theta, by the registry or as an earlier cluster of the run has set it;
+    smaller event_id on ties; else it is a new one. The order matters only among clusters that share events or are near each
+    other, directly or through others: each such component is folded by itself, over similarities and no vectors. Of k clusters of a component at
+    most k - 1 events have moved before one is taken, so that its k nearest events of the registry are enough.
     """
-    rows = clusters.select("cluster_id", "centroid", F.col("n").alias("n"), F.col("first_id").cast("string").alias("first_id")).orderBy("cluster_id").limit(MOST_CLUSTERS + 1).collect()
-    if len(rows) > MOST_CLUSTERS:
-        raise ValueError(f"more than {MOST_CLUSTERS} clusters in a run")
-    near = _nearest(clusters, events, theta, OPTIONS).withColumnRenamed("similarity", "s")
-    top = F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "event_id")))
-    ranked = near.withColumn("__n", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("s"), "event_id"))).where(F.col("__n") <= OPTIONS)
-    options = {r.cluster_id: [(x.event_id, -x.s) for x in r.own] for r in ranked.groupBy("cluster_id").agg(top.alias("own")).collect()}
-    moved: dict[str, int] = {}  # events whose centroid this run has set, and the row of it
-    held = np.zeros((len(rows), len(rows[0].centroid) if rows else 0))
-    out = []
-    for r in rows:
-        v = np.array(r.centroid, float)
-        own = options.get(r.cluster_id, [])
-        found = [(e, s) for e, s in own if e not in moved][:1]
-        if len(own) == OPTIONS and not found:  # all that were kept have moved: the registry is asked again, without them
-            gone = events.sparkSession.createDataFrame([(e,) for e in moved], "event_id string")
-            left = best_match(clusters.where(F.col("cluster_id") == r.cluster_id), events.join(gone, "event_id", "left_anti"), theta).first()
-            found = [(left.event_id, left.similarity)] if left else []
-        if moved:
-            sims = np.round(held[: len(moved)] @ v, 9)
-            found += [(e, float(sims[i])) for e, i in moved.items() if sims[i] >= theta]
-        if found:
-            event, s = min(found, key=lambda x: (-x[1], x[0]))
-        else:
-            event, s = hashlib.sha256(f"{r.cluster_id}|{r.first_id}".encode()).hexdigest()[:32], None
-        out.append({"cluster_id": r.cluster_id, "event_id": event, "is_new": not found, "similarity": s})
-        at = moved.setdefault(event, len(moved))
-        held[at] = v
-    return out
+    keep = dedup.checkpointed
+    kind = dict(clusters.dtypes)["cluster_id"]
+    new = keep(clusters.select("cluster_id", "centroid", F.col("first_id").cast("string").alias("first_id")))
+    near = keep(_nearest(new, events, theta, None))
+    valid = new.where("centroid is not null").select(F.lit(0).alias("run"), F.size("centroid").alias("k"), F.col("cluster_id").alias("article_id"), F.col("centroid").alias("embedding"), F.lit(None).cast("timestamp").alias("published_at"))
+    peers = keep(dedup.similar_pairs(valid, theta, math.inf, "k").select("a", "b", F.col("similarity").alias("s")))
+    name = lambda c, sign: F.concat(F.lit(sign), c.cast("string"))
+    links = near.select(name(F.col("cluster_id"), "c").alias("a"), name(F.col("event_id"), "e").alias("b"))
+    links = links.union(peers.select(name(F.col("a"), "c"), name(F.col("b"), "c")))
+    part = keep(dedup.components(links)).where(F.startswith("node", F.lit("c"))).select(F.expr("substring(node, 2)").alias("__id"), "root")
+    rows = new.select("cluster_id", "first_id", F.col("cluster_id").cast("string").alias("__id")).join(part, "__id", "left")
+    rows = keep(rows.withColumn("root", F.coalesce("root", name(F.col("cluster_id"), "c"))))
+    sizes = rows.groupBy("root").agg(F.count("*").alias("__k"))
+    order = Window.partitionBy("cluster_id").orderBy(F.desc("similarity"), "event_id")
+    options = near.join(rows.select("cluster_id", "root"), "cluster_id").join(sizes, "root").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= F.col("__k"))
+    none = lambda t: F.lit(None).cast(t)
+    facts = options.select("root", "cluster_id", "event_id", none("string").alias("other"), F.col("similarity").alias("s"), none("string").alias("first_id"))
+    apart = peers.union(peers.select("b", "a", "s")).select(F.col("a").alias("__id"), F.col("b").alias("other"), "s")
+    facts = facts.unionByName(apart.join(rows, "__id").select("root", "cluster_id", none("string").alias("event_id"), "other", "s", none("string").alias("first_id")))
+    facts = facts.unionByName(rows.select("root", "cluster_id", none("string").alias("event_id"), none("string").alias("other"), none("double").alias("s"), "first_id"))
+
+    def fold(t: pa.Table) -> pa.Table:
+        ids, choices, others, first = [], {}, {}, {}
+        for _, c, e, o, s, f in zip(*(x.to_pylist() for x in t.columns), strict=True):
+            if e is not None:
+                choices.setdefault(c, []).append((-s, e))
+            elif o is not None:
+                others.setdefault(c, []).append((o, s))
+            else:
+                ids.append(c)
+                first[c] = f
+        taken: dict[str, str] = {}  # the event of each cluster so far
+        holder: dict[str, str] = {}  # the cluster whose centroid an event has now
+        out = []
+        for c in sorted(ids):
+            found = [(-s, taken[o]) for o, s in others.get(c, []) if o in taken and holder[taken[o]] == o]
+            found += next(([x] for x in sorted(choices.get(c, [])) if x[1] not in holder), [])
+            if found:
+                s, event = min(found)
+            else:
+                s, event = None, hashlib.sha256(f"{c}|{first[c]}".encode()).hexdigest()[:32]
+            taken[str(c)], holder[event] = event, str(c)
+            out.append((c, event, not found, None if s is None else -s))
+        columns = list(zip(*out, strict=True))
+        kinds = (t["cluster_id"].type, pa.string(), pa.bool_(), pa.float64())
+        return pa.table({n: pa.array(x, k) for n, x, k in zip(("cluster_id", "event_id", "is_new", "similarity"), columns, kinds, strict=True)})
+
+    return facts.groupBy("root").applyInArrow(fold, f"cluster_id {kind}, event_id string, is_new boolean, similarity double")
+
+
+def assign(clusters: DataFrame, events: DataFrame, theta: float = THETA) -> list[dict]:
+    """The rows of identify in order, for small runs."""
+    return [r.asDict() for r in identify(clusters, events, theta).orderBy("cluster_id").collect()]
 
 
 def apply(events: DataFrame, assigned: DataFrame, as_of: Column) -> DataFrame:
@@ -126,16 +150,16 @@ def close_unseen(registry: DataFrame, seen: DataFrame) -> DataFrame:
     return flagged.withColumn("status", F.when(F.col("__seen").isNull() & (F.col("status") == "ongoing"), "closed").otherwise(F.col("status"))).drop("__seen")
 
 
-def run(events: DataFrame, clusters: DataFrame, as_of: Column, theta: float = THETA) -> tuple[DataFrame, DataFrame]:
-    """(registry, assigned) after the clusters of one run: cluster_id, centroid, n, first_id. Entries of another dimension stay as they are and match nothing."""
-    spark = events.sparkSession
+def identified(events: DataFrame, clusters: DataFrame, theta: float = THETA) -> DataFrame:
+    """identify with the clusters' centroid and n. Entries of another dimension match nothing."""
     first = clusters.select(F.size("centroid").alias("k")).first()
     known = same_size(events, first.k) if first else events
-    found = assign(clusters, known, theta)
-    kinds = dict(clusters.dtypes)
-    schema = f"cluster_id {kinds['cluster_id']}, event_id string, is_new boolean, similarity double"
-    assigned = spark.createDataFrame([(r["cluster_id"], r["event_id"], r["is_new"], r["similarity"]) for r in found], schema)
-    both = assigned.join(clusters.select("cluster_id", "centroid", "n"), "cluster_id")
+    return dedup.checkpointed(identify(clusters, known, theta)).join(clusters.select("cluster_id", "centroid", "n"), "cluster_id")
+
+
+def run(events: DataFrame, clusters: DataFrame, as_of: Column, theta: float = THETA) -> tuple[DataFrame, DataFrame]:
+    """(registry, assigned) after the clusters of one run: cluster_id, centroid, n, first_id. Entries of another dimension stay as they are and match nothing."""
+    both = identified(events, clusters, theta)
     return apply(events, both, as_of), both
 
 

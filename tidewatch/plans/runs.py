@@ -11,7 +11,7 @@ from tidewatch.functions import text as T
 from tidewatch.functions.vector import centroids
 from tidewatch.operators import analysis, clustering, registry, serve, stats
 from tidewatch.session import shared_folder
-from tidewatch.sources import sinks
+from tidewatch.sources import keyed, sinks
 
 from .bindings import AS_OF_SQL, EVENTS_SQL, VECTORS_SQL, as_of, orders_as_events, table, vectors
 from .registry import query
@@ -154,3 +154,39 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in out[1:]:
         whole = whole.unionByName(part)
     return whole.select("step", "n")
+
+
+def _deltas(spark: SparkSession, sf_dir: str) -> keyed.KeyedTable:
+    """Orders as a keyed table that is compacted and then changed: prices, ends, new rows, and prices again."""
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    out = keyed.KeyedTable(spark, f"{shared_folder(spark).rstrip('/')}/keyed-{uuid.uuid4().hex}", "o_orderkey long, o_orderstatus string, o_totalprice double, note string", "o_orderkey", 4)
+    out.upsert(orders.select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit("first").alias("note")))
+    out.compact()
+    out.update(orders.where("o_orderkey % 10 = 0").select("o_orderkey", F.lit(0.0).alias("o_totalprice")))
+    out.delete(orders.where("o_orderkey % 7 = 0"))
+    out.upsert(orders.where("o_orderkey % 11 = 0").select(key, F.lit(None).cast("string").alias("note")))
+    out.upsert(orders.where("o_orderkey % 13 = 0").select((-1 - key).alias("o_orderkey"), "o_totalprice"))
+    out.update(orders.where("o_orderkey % 26 = 0").select((-1 - key).alias("o_orderkey"), F.lit("later").alias("note")))
+    return out
+
+
+_DELTAS = """x AS (SELECT o_orderkey AS k, o_orderstatus AS s, CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE o_totalprice END AS p, CASE WHEN o_orderkey % 11 <> 0 THEN 'first' END AS n FROM orders WHERE o_orderkey % 7 <> 0
+ UNION ALL SELECT o_orderkey, NULL, NULL, NULL FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 11 = 0
+ UNION ALL SELECT -1 - o_orderkey, NULL, o_totalprice, CASE WHEN o_orderkey % 26 = 0 THEN 'later' END FROM orders WHERE o_orderkey % 13 = 0)"""
+
+
+@query(f"WITH {_DELTAS} SELECT k AS o_orderkey, s AS o_orderstatus, p AS o_totalprice, n AS note FROM x")
+def delta_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed table read through its changes: the last value of each column, ended rows left out unless made again."""
+    return _deltas(spark, sf_dir).read()
+
+
+@query(f"""WITH {_DELTAS}, o AS (SELECT count(*) AS n, count(n) AS notes FROM x) SELECT step, done, n AS "rows", notes FROM o, (VALUES ('joined', 'joined'), ('small', 'none'), ('base', 'base'), ('again', 'none')) t(step, done)""")
+def delta_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes joined to one, then held by a new base; the rows stay the same."""
+    changes, whole = _deltas(spark, sf_dir), None
+    for step, share, most in (("joined", 1e9, 2), ("small", 1e9, 2), ("base", 0.0, 2), ("again", 0.0, 2)):
+        done = changes.compact(share, most) or "none"
+        row = changes.read("note", version=changes.version).agg(F.count("*").alias("rows"), F.count("note").alias("notes")).select(F.lit(step).alias("step"), F.lit(done).alias("done"), "rows", "notes")
+        whole = row if whole is None else whole.unionByName(row)
+    return whole
