@@ -1,13 +1,18 @@
-"""Text expressions: folding, keys, cleaning, dates and labels. All stay in the JVM."""
+"""Text expressions: folding, keys, cleaning, dates and labels. All stay in the JVM, but for searches for many words."""
 
 from __future__ import annotations
 
 import unicodedata
 from functools import cache, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from . import automaton
+
+#: Words that a plan holds as literals, at most; more are looked for by an automaton.
+LITERALS = 500
+
 
 @cache
 def _fold_table() -> tuple[str, str]:
@@ -27,10 +32,18 @@ def fold(x: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(x), *_fold_table()), r"\p{Mn}+", "")
 
 
+def fold_all(words: list[str]) -> list[str]:
+    """Words folded as texts are, by the session."""
+    rows = SparkSession.active().createDataFrame(list(enumerate(words)), "i int, k string").select("i", fold(F.col("k")).alias("k")).collect()
+    return [r.k for r in sorted(rows)]
+
+
 def contains_any(x: Column, keywords: list[str], folded: bool = True) -> Column:
-    """Whether any keyword is a substring; blank text and no keywords give false."""
+    """Whether any keyword is a substring; blank text and no keywords give false. Many keywords are looked for in one pass."""
     own = fold(x) if folded else F.lower(x)
     low = [k.lower() for k in keywords if k.strip()]
+    if len(low) > LITERALS:
+        return F.coalesce(automaton.any_of(own, fold_all(low) if folded else low) & (F.trim(x) != ""), F.lit(False))
     hits = [F.contains(own, fold(F.lit(k)) if folded else F.lit(k)) for k in low]
     return F.coalesce(reduce(lambda a, b: a | b, hits, F.lit(False)) & (F.trim(x) != ""), F.lit(False))
 
@@ -113,9 +126,8 @@ def is_greek(x: Column) -> Column:
     return script_share(x) > 0.30
 
 
-#: Upper-case Greek letters with dots between, or two and more in a row with further words in capitals.
-_CAPITAL = r"[\u0391-\u03A9]"
-ACRONYM = rf"(?:{_CAPITAL}\.)+{_CAPITAL}\.?|{_CAPITAL}{_CAPITAL}+(?: {_CAPITAL}+)*"
+#: Fixed value: the pattern of acronyms in Greek capitals, with dots or in a row, that translation must leave alone.
+ACRONYM = r"[\u0391-\u03A9](?:\.[\u0391-\u03A9]){1,}\.?|[\u0391-\u03A9]{2,}(?:\s[\u0391-\u03A9]{1,})*"
 
 
 def _held(i: Column) -> Column:

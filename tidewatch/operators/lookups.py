@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.text import fold
+from tidewatch.functions import automaton
+from tidewatch.functions.text import LITERALS, fold, fold_all
+
+from . import dedup
+
+#: Names of one automaton.
+SHARD = 200_000
 
-#: Names that a plan holds as literals, at most; more are one broadcast row.
-LITERALS = 500
 
 def _map(table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
@@ -32,27 +36,41 @@ def translated(value: Column, table: dict[str, str]) -> Column:
     return F.coalesce(_map(table)[value], value)
 
 
-def first_in_text(df: DataFrame, text: str, names: DataFrame, limit: int = 100_000) -> DataFrame:
+def first_in_text(df: DataFrame, text: str, names: DataFrame, limit: int | None = None) -> DataFrame:
     """df with place, lat and lon of the first name, in the names' order, that is a substring of the lower-case text.
 
-    names: ord, name, lat, lon, of a size that is checked, as every worker holds them; rows without a match get nulls.
+    names: ord, name, lat, lon; rows without a match get nulls. A few names are part of the plan; more are looked for by an automaton in
+    one pass over a text, and beyond SHARD names in one pass for each so many, so that a worker holds one such part at a time. A limit, where one
+    is given, is checked.
     """
-    rows = names.select("ord", "name", "lat", "lon")
+    rows = names.select("ord", "name", "lat", "lon").where("name is not null")
     few = rows.limit(LITERALS + 1).collect()
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    hit = lambda entries: F.get(F.filter(entries, lambda e: F.contains(low, e["name"])), F.lit(0))
-    if 0 < len(few) <= LITERALS:
-        found = df.withColumn("__hit", hit(F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.lat).alias("lat"), F.lit(r.lon).alias("lon")) for r in sorted(few)])))
-    elif rows.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} names")
+    if len(few) <= LITERALS:
+        hit = lambda entries: F.get(F.filter(entries, lambda e: F.contains(low, e["name"])), F.lit(0))
+        none = F.lit(None).cast("struct<name:string,lat:double,lon:double>")
+        found = df.withColumn("__hit", hit(F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.lat).alias("lat"), F.lit(r.lon).alias("lon")) for r in sorted(few)])) if few else none)
     else:
-        entries = rows.agg(F.array_sort(F.collect_list(F.struct("ord", "name", "lat", "lon"))).alias("__names"))
-        found = df.join(F.broadcast(entries)).withColumn("__hit", hit("__names"))  # one row
+        n = rows.count()
+        if limit is not None and n > limit:
+            raise ValueError(f"more than {limit} names")
+        kind = rows.select(F.struct("ord", "name", "lat", "lon").alias("e")).schema["e"].dataType
+        found, parts = df.withColumn("__hit", F.lit(None).cast(kind)), -(-n // SHARD)
+        for k in range(parts):
+            own = sorted(tuple(r) for r in rows.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == k).collect())  # about SHARD names
+            side = df.sparkSession.createDataFrame([(own,)], f"__names array<{kind.simpleString()}>")
+            at = automaton.first_of(low, [r[1] for r in own])
+            found = found.withColumn("__at", at).join(F.broadcast(side))  # one row
+            found = found.withColumn("__hit", F.array_min(F.array_compact(F.array("__hit", F.get("__names", F.col("__at")))))).drop("__at", "__names")
+            found = dedup.checkpointed(found) if parts > 1 else found
     return found.select(*df.columns, F.initcap("__hit.name").alias("place"), F.col("__hit.lat").alias("lat"), F.col("__hit.lon").alias("lon"))
 
 
 def keyword_hits(df: DataFrame, key: str, text: str, keywords: list[str]) -> DataFrame:
     """(key, keyword) of all folded keywords in a text."""
+    if len(keywords) > LITERALS:
+        own = F.array(*[F.lit(k) for k in keywords])
+        return df.select(key, F.explode(automaton.all_of(fold(F.col(text)), fold_all(keywords))).alias("__i")).select(key, F.get(own, F.col("__i")).alias("keyword"))
     found = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(fold(F.col(text)), fold(k)))
     return df.select(key, F.explode(found).alias("keyword"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import geo, moments
 from tidewatch.functions import text as T
 from tidewatch.operators import classify, lookups, serve, stats
+from tidewatch.session import shared_folder
 from tidewatch.sources import config, feeds, sinks
 
 from .bindings import ARTICLES_SQL, AS_OF_SQL, EVENTS_SQL, LAT_SQL, LON_SQL, as_of, coordinates, lines_as_articles, orders_as_events, parts_as_labelled, table
@@ -120,6 +123,18 @@ def gazetteer_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.first_in_text(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", names).select("p_partkey", "place", "lat")
 
 
+@query("""WITH n AS (SELECT doc_id AS ord, regexp_extract(lower(text), '[a-z]{6,}', 0) AS name FROM documents WHERE regexp_extract(lower(text), '[a-z]{6,}', 0) <> '' UNION ALL SELECT 10000000 + c_custkey, lower(c_name) FROM customer),
+ f AS (SELECT name, min(ord) AS ord FROM n GROUP BY 1), h AS (SELECT d.doc_id, min(f.ord) AS ord FROM documents d JOIN f ON contains(lower(d.text), f.name) GROUP BY 1)
+ SELECT doc_id, name AS place, h.ord::DOUBLE AS lat FROM documents LEFT JOIN h USING (doc_id) LEFT JOIN f ON f.ord = h.ord""")
+def gazetteer_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of many names, of all documents and customers, that a text contains."""
+    docs, customers = table(spark, sf_dir, "documents"), table(spark, sf_dir, "customer")
+    first = F.regexp_extract(F.lower("text"), "[a-z]{6,}", 0)
+    names = docs.select(F.col("doc_id").cast("long").alias("ord"), first.alias("name")).where("name <> ''").union(customers.select((F.col("c_custkey") + 10000000).cast("long"), F.lower("c_name")))
+    names = names.withColumns({"lat": F.col("ord").cast("double"), "lon": F.lit(0.0)})
+    return lookups.first_in_text(docs.select("doc_id", "text"), "text", names).select("doc_id", F.lower("place").alias("place"), "lat")
+
+
 def _code_case(column: str) -> str:
     whens = lambda n: " ".join(f"WHEN left({column}, {n}) = '{k}' THEN '{v}'" for k, v in feeds.EVENT_CATEGORY.items() if len(k) == n)
     same = " ".join(f"WHEN {column} = '{k}' THEN '{v}'" for k, v in feeds.EVENT_CATEGORY.items())
@@ -167,6 +182,21 @@ def polygon_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", geo.within(F.col("lat"), F.col("lon"), geo.edges(rings)).alias("inside"))
 
 
+@query(f"""WITH n AS (SELECT n_nationkey, {LAT_SQL.format('n_nationkey')} AS y, {LON_SQL.format('n_nationkey')} AS x, 0.4 + n_nationkey % 3 * 0.3 AS h FROM nation), p AS (SELECT o_orderkey, {LAT_SQL.format('o_orderkey')} AS lat, {LON_SQL.format('o_orderkey')} AS lon FROM orders),
+ d AS (SELECT o_orderkey, h, n_nationkey % 2 = 0 AS hole, abs(lon - x) AS a, abs(lat - y) AS b FROM p, n), b AS (SELECT 5.0 / 111.0 AS b0)
+ SELECT o_orderkey, bool_or(sqrt(pow(greatest(a - h, 0), 2) + pow(greatest(b - h, 0), 2)) < b0 AND NOT (hole AND h / 2 - greatest(a, b) >= b0)) AS inside FROM d, b GROUP BY 1""")
+def territory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in the union of features that overlap and have holes, as read from GeoJSON: a square around each nation, every second with a hole."""
+    n = F.col("n_nationkey")
+    rows = table(spark, sf_dir, "nation").withColumns(coordinates("n_nationkey")).withColumn("h", 0.4 + n % 3 * 0.3)
+    ring = lambda h: F.array(*[F.array(F.col("lon") + sx * h, F.col("lat") + sy * h) for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))])
+    rings = F.when(n % 2 == 0, F.array(ring(F.col("h")), ring(F.col("h") / 2))).otherwise(F.array(ring(F.col("h"))))
+    path = f"{shared_folder(spark).rstrip('/')}/features-{uuid.uuid4().hex}"
+    sinks.export_json(rows.select(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates")).alias("geometry")), path)
+    points = table(spark, sf_dir, "orders").select("o_orderkey", *[c.alias(k) for k, c in coordinates("o_orderkey").items()])
+    return points.select("o_orderkey", geo.Territory(config.features(spark, path)).contains(F.col("lat"), F.col("lon")).alias("inside"))
+
+
 @query(f"""WITH e AS (SELECT event_id, ts, date_diff('microsecond', {AS_OF_SQL}, ts) / 1e6 AS s FROM events)
  SELECT event_id, CASE WHEN abs(s) >= 2592000 THEN floor(s / 2592000 + 0.5) WHEN abs(s) >= 86400 THEN floor(s / 86400 + 0.5) WHEN abs(s) >= 3600 THEN floor(s / 3600 + 0.5) ELSE floor(s / 60 + 0.5) END::BIGINT AS amount,
  CASE WHEN abs(s) >= 2592000 THEN 'month' WHEN abs(s) >= 86400 THEN 'day' WHEN abs(s) >= 3600 THEN 'hour' ELSE 'minute' END AS unit FROM e""")

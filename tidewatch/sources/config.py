@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Characters of a file of shapes, at most.
+MOST_CHARS = 32 << 20
+
+
 def _lines(path: str):
     with open(path, encoding="utf-8") as f:
         for line in f:
@@ -43,17 +47,29 @@ def gazetteer(spark: SparkSession, path: str) -> DataFrame:
 
 
 def polygon(spark: SparkSession, path: str) -> DataFrame:
-    """One row: the rings of all features of a GeoJSON file, as array<array<struct<x,y>>>; overlaps count as one area only if disjoint."""
-    with open(path, encoding="utf-8") as f:
-        features = json.load(f)["features"]
-    rings = []
-    for feature in features:
-        shape = feature["geometry"]
-        for part in [shape["coordinates"]] if shape["type"] == "Polygon" else shape["coordinates"]:
-            rings += [[(float(x), float(y)) for x, y, *_ in ring] for ring in part]
+    """One row: the rings of all polygons of a GeoJSON file, as array<array<struct<x,y>>>, for features that are disjoint; see features."""
+    rings = [[(float(x), float(y)) for x, y, *_ in ring] for feature in features(spark, path) for part in feature for ring in part]
     return spark.createDataFrame([(rings,)], "rings array<array<struct<x:double,y:double>>>")
 
 
+def features(spark: SparkSession, path: str, most: int = MOST_CHARS) -> list[list[list[list[tuple]]]]:
+    """The polygons of each feature of a GeoJSON file, or of a table of files with a feature a line, each a ring and its holes.
+
+    Shapes go into plans, so their size is checked: one file of a feature collection, or lines, of so many characters in all.
+    """
+    lines = spark.read.text(path, wholetext=True)
+    if (lines.agg(F.sum(F.length("value"))).first()[0] or 0) > most:
+        raise ValueError(f"{path} has over {most} characters")
+    found = []
+    for r in lines.collect():
+        try:
+            found += json.loads(r.value)["features"]
+        except (json.JSONDecodeError, KeyError):  # a feature a line
+            found += [json.loads(x) for x in r.value.splitlines() if x.strip()]
+    shapes = [f["geometry"] for f in found]
+    return [[s["coordinates"]] if s["type"] == "Polygon" else s["coordinates"] for s in shapes]
+
+
 def model_choice(explicit: str | None, keys: list[tuple[str | None, str]], local: str) -> str:
     """The model to use: the explicit one, else the first whose key is set, else the local one."""
     return explicit or next((model for key, model in keys if key), local)
