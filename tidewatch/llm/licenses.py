@@ -5,7 +5,8 @@ WIDER, as the set of its words; it holds a template if it has at least CONTAINED
 rarest first. A block that holds a template must have one of the first words in this order (prefix filter),
 enough words (length filter), and enough words of both sides behind the first common one (positional
 filter); whatever passes is counted exactly, so no block is missed. Of windows that overlap, the
-first with the largest share counts, unless a line has as much there. Beside this, fixed phrases are found
+first with the largest share counts, unless a line has as much there; it ends with the word that completes its share, and the
+search goes on behind it, so that notices in a row are a block each. Beside this, fixed phrases are found
 wherever their words stand consecutively.
 
 Defined cases: null is empty and has no words; blank lines are no blocks; a repeated line counts each time;
@@ -29,17 +30,21 @@ CONTAINED = 0.8
 WIDER = 1.25
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: License notices and the labels that a block holding one gets.
+#: License notices and the labels that a block holding one gets; whole paragraphs of public license texts and headers among them.
 TEMPLATES = {
     "apache-notice": "licensed under the apache license version 2 0",
     "apache-terms": "you may not use this file except in compliance with the license you may obtain a copy of the license at",
+    "apache-warranty": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     "bsd-terms": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-warranty": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
     "cc-notice": "this work is licensed under a creative commons attribution 4 0 international license",
     "cc-by-nc-notice": "licensed under cc by nc 4 0",
     "gpl-notice": "this work is licensed under the gnu general public license version 3",
     "gpl-terms": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
     "mit-notice": "released under the mit license",
     "mit-terms": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "mpl-terms": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
 
@@ -126,28 +131,38 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 
 
 def windows(at: np.ndarray, w: Words, line: np.ndarray, label: str, span: int, index: Index) -> list[tuple[int, int, float]]:
-    """(first word, word after the last, share) of the windows across lines that hold a template, the best of those that overlap."""
+    """(first word, word after the last, share) of blocks across lines that hold a template, from left to right, none overlapping.
+
+    A block starts where the best window does that overlaps the first one left (the first of equals), and ends with the word that
+    completes its share, so that a notice that follows at once is a block of its own.
+    """
     member, need, size = index.member[label][at], index.need[label], len(index.sets[label])
     total, rare = (np.concatenate([[0], np.cumsum(x)]) for x in (member, index.first[label][at]))
     a = np.flatnonzero(member)
     b = np.minimum(a + span, w.at[w.doc[a] + 1])
     some = (total[b] - total[a] >= need) & (rare[b] > rare[a]) & (line[a] != line[b - 1])  # length and prefix filters
-    out: list[tuple[int, int, float]] = []
-    reach = -1
+    found = []
     for i, j in zip(a[some].tolist(), b[some].tolist(), strict=True):
-        own = np.unique(at[i:j][member[i:j]])
-        if len(own) < need:
+        own = i + np.flatnonzero(member[i:j])
+        _, places = np.unique(at[own], return_index=True)
+        if len(places) < need:
             continue
-        end = i + int(np.flatnonzero(member[i:j])[-1]) + 1
-        if line[i] == line[end - 1]:
-            continue
-        share = len(own) / size
-        if i < reach:
-            if share > out[-1][2]:
-                out[-1] = (i, end, share)
-        else:
-            out.append((i, end, share))
-        reach = max(reach, end)
+        end = int(own[places.max()]) + 1  # the word that completes the share
+        if line[i] != line[end - 1]:
+            found.append((i, end, len(places) / size))
+    out: list[tuple[int, int, float]] = []
+    k = 0
+    while k < len(found):
+        best, reach = found[k], found[k][1]
+        while k < len(found) and found[k][0] < reach:
+            if found[k][2] > best[2]:
+                best = found[k]
+            k += 1
+        out.append(best)
+        while k and found[k - 1][0] >= best[1]:  # windows behind the block are looked at again
+            k -= 1
+        while k < len(found) and found[k][0] < best[1]:
+            k += 1
     return out
 
 
