@@ -98,6 +98,20 @@ def build(df: DataFrame, key: str, vector: str, k: int = 10, sample: int = SAMPL
     return Index(_placed(rows, key, centres, 1), key, centres, _probes(x, centres, k, recall))
 
 
+def _meeting(rows: DataFrame, asked: DataFrame, sizes: tuple[int, int], kernel, schema: str) -> DataFrame:
+    """What a kernel gives for every block of a cell's rows (__id, cell, ...) with every block of the queries (query, cell, ...) that look at the cell."""
+    counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / sizes[0]).cast("int").alias("a")).join(asked.groupBy("cell").agg(F.ceil(F.count("*") / sizes[1]).cast("int").alias("b")), "cell")
+    known = counts.select("cell", "a", "b")  # a row a cell, of which there are CELLS at most
+
+    def dealt(side: DataFrame, id: str, own: str, other: str) -> DataFrame:
+        both = side.join(F.broadcast(known), "cell")
+        mine = F.pmod(F.xxhash64(id), F.col(own)).cast("int").alias(f"__{own}")
+        return both.select(*side.columns, mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"__{other}"))
+
+    names = ["cell", "__a", "__b"]
+    return dealt(rows, "__id", "a", "b").groupBy(*names).cogroup(dealt(asked, "query", "b", "a").groupBy(*names)).applyInArrow(kernel, schema)
+
+
 def search(index: Index, queries: DataFrame, key: str, vector: str, k: int = 10, probes: int | None = None, sizes: tuple[int, int] = (ROWS, QUERIES)) -> DataFrame:
     """(query, key, similarity): the k nearest rows of each query among its nearest cells, rounded to 9 places, the smaller key first
     on ties. With as many probes as cells it is exact."""
@@ -105,13 +119,6 @@ def search(index: Index, queries: DataFrame, key: str, vector: str, k: int = 10,
     asked = _placed(_vectors(queries, key, vector).withColumnRenamed(key, "query"), "query", index.centres, probes)
     rows = index.rows.withColumnRenamed(index.key, "__id")
     kinds = dict(asked.dtypes)["query"], dict(rows.dtypes)["__id"]
-    counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / sizes[0]).cast("int").alias("a")).join(asked.groupBy("cell").agg(F.ceil(F.count("*") / sizes[1]).cast("int").alias("b")), "cell")
-    known = counts.select("cell", "a", "b")  # a row a cell, of which there are CELLS at most
-
-    def dealt(side: DataFrame, id: str, own: str, other: str) -> DataFrame:
-        both = side.join(F.broadcast(known), "cell")
-        mine = F.pmod(F.xxhash64(id), F.col(own)).cast("int").alias(f"__{own}")
-        return both.select(id, "v", "cell", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"__{other}"))
 
     def near(t: pa.Table, q: pa.Table) -> pa.Table:
         ids, found, sims = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
@@ -124,8 +131,7 @@ def search(index: Index, queries: DataFrame, key: str, vector: str, k: int = 10,
                 ids.append(np.repeat(np.arange(i, i + len(s)), top.shape[1])), found.append(top.ravel()), sims.append(np.take_along_axis(s, top, 1).ravel())
         return pa.table({"query": q["query"].take(pa.array(np.concatenate(ids))), "__id": t["__id"].take(pa.array(np.concatenate(found))), "similarity": np.concatenate(sims)})
 
-    names = ["cell", "__a", "__b"]
-    met = dealt(rows, "__id", "a", "b").groupBy(*names).cogroup(dealt(asked, "query", "b", "a").groupBy(*names)).applyInArrow(near, f"query {kinds[0]}, __id {kinds[1]}, similarity double")
+    met = _meeting(rows, asked, sizes, near, f"query {kinds[0]}, __id {kinds[1]}, similarity double")
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "__id")
     return met.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).select("query", F.col("__id").alias(index.key), "similarity")
 

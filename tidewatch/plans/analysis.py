@@ -5,11 +5,14 @@ The supplied vectors are nearly random, so thresholds are set where they select
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.vector import centroids
-from tidewatch.operators import classify, clustering, dedup, nearest, registry
+from tidewatch.operators import classify, clustering, dedup, nearest, quantised, registry
+from tidewatch.session import shared_folder
 
 from .bindings import VECTORS_SQL, table, vectors
 from .registry import query
@@ -185,6 +188,35 @@ def nearest_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir, True).select("query", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> quantised.Stored:
+    """An index of two thirds of the rows, to which the rest are added; some are added a second time and some removed and added again."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = quantised.create(rows.where("vec_id % 3 <> 0"), "vec_id", "embedding", f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}", buckets=4)
+    index.add(rows.where("vec_id % 3 = 0 OR vec_id % 7 = 0"), "vec_id", "embedding")
+    index.remove(rows.where("vec_id % 11 = 0").select("vec_id"))
+    index.add(rows.where("vec_id % 11 = 0"), "vec_id", "embedding")
+    return quantised.load(spark, index.path)
+
+
+@query(f"WITH {_NEAR} SELECT query, vec_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS k FROM n) WHERE k <= 10")
+def nearest_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of every fiftieth by a stored index that was added to, with all cells looked at and all rows kept."""
+    index, rows = _stored(spark, sf_dir), table(spark, sf_dir, "embeddings")
+    found = index.search(rows.where("vec_id % 50 = 0"), "vec_id", "embedding", 11, len(index.model.centres), 1 << 30).where("query <> vec_id")
+    return found.select("query", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def nearest_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the ten nearest rows by codes and re-ranking as fitted, and the share of all similarities that are computed for it."""
+    index, rows = _stored(spark, sf_dir), table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 50 = 0")
+    found = index.search(asked, "vec_id", "embedding", 11).where("query <> vec_id")
+    told = nearest.recall(found, _near(spark, sf_dir, True), "vec_id")
+    pairs = asked.agg(F.count("*").alias("q")).join(rows.agg(F.count("*").alias("n")))  # one row each
+    return told.join(index.candidates(asked, "vec_id", "embedding").agg(F.count("*").alias("c"))).join(pairs).select("recall", (F.col("c") / F.col("q") / F.col("n")).alias("share"))
+
+
 @query("SELECT true AS enough")
 def nearest_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the index finds at least 0.9 of the ten nearest rows of every fiftieth, with as many cells as it has fitted."""
