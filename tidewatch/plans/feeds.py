@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
 import uuid
 from datetime import datetime
 
@@ -9,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.session import shared_folder
-from tidewatch.sources import config, feeds, schemas, sinks
+from tidewatch.sources import config, exports, feeds, schemas, sinks
+from tidewatch.streaming import cycle
 
 from .bindings import AS_OF_SQL, table
 from .registry import query
@@ -37,7 +40,7 @@ def rss_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT 'u' || doc_id AS url, left(sha256('u' || doc_id), 32) AS id, source FROM documents WHERE doc_id % 3 <> 0""")
 def ndjson_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of line files by source and day: those without title and body, broken lines and later copies are left out."""
+    """Records of line files by source and day: those without title and body, broken lines and later copies are left out."""
     at = _folder(spark, "raw")
     some = F.col("doc_id") % 3 != 0
     rows = table(spark, sf_dir, "documents").select(
@@ -56,7 +59,7 @@ _CODES = "CASE o_orderkey % 4 WHEN 0 THEN '1413' WHEN 1 THEN '145' WHEN 2 THEN '
 @query(f"""SELECT o_orderkey::VARCHAR AS event_id, 'https://o/' || o_orderkey AS url, DATE '2024-06-03' AS published_on, CASE o_orderkey % 4 WHEN 0 THEN 'labor_economic' WHEN 1 THEN 'mass_mobilization' ELSE 'conflict' END AS category_hint,
  CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey / 8.0::DOUBLE END AS lat FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 9 <> 0""")
 def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tab-separated exports: short lines, other countries and other root codes are dropped; first of each id; codes by prefix."""
+    """Tab-separated exports: short lines, other countries and other root codes are dropped; first of each id; codes by prefix."""
     at = _folder(spark, "export")
     key = F.col("o_orderkey")
     code = F.element_at(F.array(*map(F.lit, ("1413", "145", "1899", "999"))), (key % 4 + 1).cast("int"))
@@ -70,9 +73,36 @@ def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.event_exports(spark, at).select("event_id", "url", "published_on", "category_hint", "lat")
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 8 AS q FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderkey % 8 <> 5), l AS (SELECT k, q FROM o UNION ALL SELECT k, q + 1 FROM o WHERE k % 10 = 0 AND q < 7)
+ SELECT k::VARCHAR AS event_id, strftime(TIMESTAMP '2024-06-03 00:00:00' + INTERVAL 15 MINUTE * min(q), '%Y%m%d%H%M%S') AS first_file, (SELECT count(*) FROM l) AS lines FROM l GROUP BY k""")
+def export_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarter-hourly exports as a stream, stopped in the middle and begun again; some hours have no file, and events stand in two."""
+    at, run = _folder(spark, "quarters"), _folder(spark, "quarters-run")
+    key = F.col("o_orderkey")
+    values = {0: key.cast("string"), 26: F.lit("1413"), 28: F.when(key % 9 == 0, "05").otherwise("14"), 53: F.lit("GR")}
+    line = F.concat_ws("\t", *[values.get(i, F.lit("")) for i in range(feeds.EXPORT_COLUMNS)])
+    quarter = lambda q: F.date_format(F.lit(datetime(2024, 6, 3)).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), (15 * q).cast("int"), F.lit(0)), "yyyyMMddHHmmss")
+    rows = table(spark, sf_dir, "orders").select(key, (key % 8).alias("q"), line.alias("value")).where("q <> 5")
+    rows = rows.union(rows.where("o_orderkey % 10 = 0 and q < 7").withColumn("q", F.col("q") + 1))
+    written = rows.select(quarter(F.col("q")).alias("stamp"), "value").repartition(8, "stamp")
+    written.write.partitionBy("stamp").text(at)
+
+    def fetch(stamp: str) -> bytes | None:
+        folder = f"{at.removeprefix('file:')}/stamp={stamp}"
+        parts = sorted(f for f in os.listdir(folder) if f.startswith("part-")) if os.path.isdir(folder) else []
+        return b"".join(pathlib.Path(folder, f).read_bytes() for f in parts) if parts else None
+
+    spark.dataSource.register(exports.export_source("quarter_exports", fetch))
+    for until in ("20240603003000", "20240603003000", "20240603014500"):  # the second finds nothing new
+        lines = cycle.run_to(exports.stream(spark, "quarter_exports", "20240602234500", until), f"{run}/table", f"{run}/checkpoint")
+    own = lines.withColumn("event_id", F.split("value", "\t")[0]).groupBy("event_id").agg(F.min("file").alias("first_file"))
+    total = lines.where("split(value, '\t')[28] = '14'").agg(F.count("*").alias("lines"))
+    return exports.records(lines).select("event_id").join(own, "event_id").join(F.broadcast(total)).select("event_id", "first_file", "lines")  # one row
+
+
 @query("""SELECT 'https://c/' || c_custkey AS url, c_name AS title, c_mktsegment AS domain, TIMESTAMP '2024-06-03 10:20:30' AS published_at FROM customer WHERE c_custkey % 4 <> 0""")
 def article_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles of JSON replies; those without an address and later copies are dropped."""
+    """Articles of JSON replies; those without an address and later copies are dropped."""
     at = _folder(spark, "lists")
     url = F.when(F.col("c_custkey") % 4 == 0, " ").otherwise(F.concat(F.lit("https://c/"), F.col("c_custkey").cast("string")))
     one = F.struct(url.alias("url"), F.concat(F.lit("  "), F.col("c_name")).alias("title"), F.lit("20240603T102030Z").alias("seendate"), F.col("c_mktsegment").alias("domain"))
