@@ -39,7 +39,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), pages=table(spark, sf_dir, "pages"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
