@@ -139,3 +139,24 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of several sources."""
     frames = [table(spark, sf_dir, t).select(F.lit(t).alias("source"), k) for t, k in (("documents", "doc_id"), ("pages", "page_id"), ("benchmark", "item_id"))]
     return feeds.union_all(frames).groupBy("source").agg(F.count("*").alias("n"))
+
+
+_LATIN, _GREEK = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩΑΒ"
+
+
+@query(f"""WITH g AS (SELECT p_partkey, split_part(p_name, ' ', 2) AS w, translate(upper(split_part(p_name, ' ', 1)), '{_LATIN}', '{_GREEK}') AS a FROM part WHERE contains(p_name, ' '))
+ SELECT p_partkey, 'Η ⟦0⟧ ' || w || ' ⟦1⟧ με ⟦2⟧' AS masked, a || '|Κ.Κ.Ε.|ΟΛΜΕ ' || a AS acronyms, 'Η ' || a || ' ' || w || ' Κ.Κ.Ε. με ΟΛΜΕ ' || a AS restored FROM g""")
+def acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """acronyms that a translation must leave alone: in a row, with dots, and with further words in capitals; taken out and put back."""
+    own = F.translate(F.upper(F.split_part("p_name", F.lit(" "), F.lit(1))), _LATIN, _GREEK)
+    text = F.concat(F.lit("Η "), own, F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" Κ.Κ.Ε. με ΟΛΜΕ "), own)
+    rows = table(spark, sf_dir, "part").where("contains(p_name, ' ')").select("p_partkey", T.mask_acronyms(text).alias("m"))
+    return rows.select("p_partkey", F.col("m.text").alias("masked"), F.array_join("m.acronyms", "|").alias("acronyms"), T.restore_acronyms(F.col("m.text"), F.col("m.acronyms")).alias("restored"))
+
+
+@query("""SELECT p_partkey, contains(lower(p_type), 'brass') OR (list_has_any(string_split(lower(p_name), ' '), ['red', 'ring']) AND trim(p_type) <> '') AS relevant,
+ CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END AS shown FROM part""")
+def relevance_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevance by keywords or by the lemmas of a text, and the column of a language."""
+    lemmas, lang = F.split(F.lower("p_name"), " "), F.when(F.col("p_size") % 2 == 0, "el").otherwise("en")
+    return table(spark, sf_dir, "part").select("p_partkey", T.is_relevant(F.col("p_type"), ["brass"], lemmas, ["red", "ring"]).alias("relevant"), T.bilingual(lang, F.col("p_brand"), F.col("p_name")).alias("shown"))

@@ -70,11 +70,16 @@ def resolve_by(df: DataFrame, column: str, lookup: DataFrame) -> DataFrame:
     return df.join(lookup.select(F.col("url").alias("__u"), "canonical_url"), F.col(column) == F.col("__u")).drop("__u")
 
 
+def _line() -> Column:
+    """Orders the lines of a file: by the split that they are read in, then within it; splits of a file need not be read in order."""
+    return F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+
+
 def raw_records(spark: SparkSession, path: str) -> DataFrame:
     """NDJSON records under a folder, by file and line: malformed and blank lines, records without title and body, and
     later records of one address are left out."""
     rows = spark.read.schema(RAW + ", _corrupt_record string").option("recursiveFileLookup", "true").option("mode", "PERMISSIVE").json(path)
-    rows = rows.withColumn("__file", F.col("_metadata.file_path")).withColumn("__at", F.monotonically_increasing_id()).where("_corrupt_record is null")
+    rows = rows.withColumn("__file", F.col("_metadata.file_path")).withColumn("__at", _line()).where("_corrupt_record is null")
     full = (F.coalesce(F.trim("title"), F.lit("")) != "") | (F.coalesce(F.trim("body"), F.lit("")) != "")
     rows = rows.where(full & (F.coalesce("url", F.lit("")) != ""))
     return first_by(rows, ["url"], ["__file", "__at"]).drop("__file", "__at", "_corrupt_record").withColumn("id", T.url_id(F.col("url")))
@@ -97,7 +102,7 @@ EVENT_CATEGORY = {
 
 def event_exports(spark: SparkSession, path: str, country: str = COUNTRY, roots: tuple[str, ...] = ROOT_CODES) -> DataFrame:
     """Records of tab-separated exports: short lines dropped, one country and the root codes kept, first of each event id."""
-    lines = spark.read.text(path).withColumn("__file", F.col("_metadata.file_path")).withColumn("__at", F.monotonically_increasing_id())
+    lines = spark.read.text(path).withColumn("__file", F.col("_metadata.file_path")).withColumn("__at", _line())
     return export_records(lines.withColumn("c", F.split("value", "\t", -1)).where(F.size("c") >= EXPORT_COLUMNS), country, roots)
 
 
