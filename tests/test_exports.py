@@ -1,10 +1,10 @@
-"""Quarter-hourly exports: stamps, packed files, and a stream that is stopped, begun again and finds a gap."""
+"""Paged histories with few calls; quarter-hourly exports: stamps, packed files, and a stream that is stopped, begun again and finds a gap."""
 
 import io
 import zipfile
 from datetime import datetime
 
-from tidewatch.sources import exports
+from tidewatch.sources import exports, feeds
 from tidewatch.streaming import cycle
 
 
@@ -34,3 +34,28 @@ def test_restart_neither_loses_nor_repeats(spark, tmp_path):
     assert run("20240101010000") == first + rest
     (tmp_path / "in" / "20240101011500.export.CSV").write_text("d\n")
     assert run("20240101011500") == [*first, *rest, ("0115", 0, "d")]
+
+
+def test_pages_are_found_with_few_calls():
+    for n in (*range(40), 100, 1023, 1024, 5000):
+        asked = []
+        assert feeds.last_page(lambda page, n=n, asked=asked: asked.append(page) or page < n) == n
+        assert len(asked) <= 2 * (n + 1).bit_length() + 1 and len(set(asked)) == len(asked)
+
+
+def test_history_is_read_once(spark, tmp_path):
+    """Every page is read by one task, the planner asks few times, and no row is lost or given twice."""
+    log, rows = tmp_path / "calls", {"2020": 95, "2021": 0, "2022": 30, "2023": 1}
+
+    def fetch(since, until, page):
+        with open(log, "a") as f:
+            f.write(f"{since} {until} {page}\n")
+        return [(since[:4], str(i)) for i in range(10 * page, min(rows[since[:4]], 10 * page + 10))]
+
+    spark.dataSource.register(feeds.history_source("history_for_test", fetch, "source string, url string"))
+    got = spark.read.format("history_for_test").option("since", "2020-05-01").option("until", "2023-02-03").option("per_page", "10").load().collect()
+    assert sorted((r.source, int(r.url)) for r in got) == [(y, i) for y, n in rows.items() for i in range(n)]
+    calls = log.read_text().split("\n")[:-1]
+    pages = sum(n // 10 + 1 for n in rows.values())
+    assert pages < len(calls) <= pages + 2 * sum(2 * (n // 10 + 1).bit_length() + 1 for n in rows.values())  # a plan may be made twice
+    assert {c.split()[0] for c in calls} == {"2020-05-01", "2021-01-01", "2022-01-01", "2023-01-01"} and "2023-01-01 2023-02-03 0" in calls

@@ -7,7 +7,7 @@ import pathlib
 import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.session import shared_folder
@@ -125,6 +125,23 @@ def year_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(a.year, a, b) for a, b in feeds.years(datetime(2021, 5, 1).date(), datetime(2024, 6, 1).date())], "year int, since date, until date")
 
 
+@query("""SELECT o_orderkey::VARCHAR AS url, 'y' || year(o_orderdate) AS source FROM orders WHERE o_orderdate >= TIMESTAMP '1993-03-01' AND o_orderdate < TIMESTAMP '1997-08-01'""")
+def paged_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the history of a service that gives 50 rows a page: years, their pages found by doubling and halving, then all read at once."""
+    at = _folder(spark, "history")
+    year, day = F.year("o_orderdate").alias("year"), F.to_date("o_orderdate")
+    rows = table(spark, sf_dir, "orders").where((day >= "1993-03-01") & (day < "1997-08-01")).select(year, F.col("o_orderkey").cast("string").alias("value"), "o_orderdate", "o_orderkey")
+    order = F.row_number().over(Window.partitionBy("year").orderBy("o_orderdate", "o_orderkey")) - 1
+    rows.select("year", F.floor(order / 50).alias("page"), "value").repartition(8, "year", "page").write.partitionBy("year", "page").text(at)
+
+    def fetch(since: str, until: str, page: int) -> list[tuple]:
+        folder = pathlib.Path(at.removeprefix("file:"), f"year={since[:4]}", f"page={page}")
+        return [(f"y{until[:4]}", x) for part in sorted(folder.glob("part-*")) for x in part.read_text().splitlines()]
+
+    spark.dataSource.register(feeds.history_source("order_history", fetch, "source string, url string"))
+    return spark.read.format("order_history").option("since", "1993-03-01").option("until", "1997-07-31").option("per_page", "50").load().select("url", "source")
+
+
 @query("SELECT page_id, 'https://canonical/' || page_id AS canonical_url FROM pages WHERE page_id % 3 <> 0")
 def resolved_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3: addresses through a resolver on the workers; what it declines or fails at is dropped."""

@@ -222,6 +222,61 @@ def paged_source(name: str, fetch: Callable[[int], list[tuple]], schema: str = R
     return Paged
 
 
+def last_page(full: Callable[[int], bool]) -> int:
+    """The number of full pages of a list, by doubling and then halving: full says whether a page, counted from 0, has all its rows."""
+    low, step = 0, 1  # pages below low are full
+    while full(low + step - 1):
+        low, step = low + step, step * 2
+    high = low + step - 1  # this page is not full
+    while low < high:
+        middle = (low + high) // 2
+        if full(middle):
+            low = middle + 1
+        else:
+            high = middle
+    return low
+
+
+def history_source(name: str, fetch: Callable[[str, str, int], list[tuple]], schema: str = RAW) -> type[DataSource]:
+    """A paged service with a history as a source to register. fetch takes the first and last day of a piece and a page of it, and returns its rows.
+
+    The options since and until (days) are split into calendar years. How many pages a year has is found on the driver with calls in the
+    order of twice the logarithm of their number, whose rows are not kept; then every page is a partition. Option per_page: rows of a full page.
+    """
+
+    class Page(InputPartition):
+        pass
+
+    class Reader(DataSourceReader):
+        def __init__(self, since: date, until: date, per_page: int):
+            self.pieces, self.per_page = years(since, until, 0), per_page
+
+        def partitions(self) -> list[InputPartition]:
+            out = []
+            for a, b in self.pieces:
+                first, last = a.isoformat(), b.isoformat()
+                full = last_page(lambda page, first=first, last=last: len(fetch(first, last, page)) >= self.per_page)
+                out += [Page((first, last, page)) for page in range(full + 1)]  # the last one is short, or empty
+            return out or [Page(None)]
+
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            if partition.value is not None:
+                yield from fetch(*partition.value)
+
+    class History(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return schema
+
+        def reader(self, schema) -> DataSourceReader:
+            return Reader(date.fromisoformat(self.options["since"]), date.fromisoformat(self.options["until"]), int(self.options.get("per_page", "1")))
+
+    return History
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """All rows of several sources; columns that one lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
