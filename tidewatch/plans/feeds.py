@@ -10,11 +10,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators import lookups
 from tidewatch.session import shared_folder
 from tidewatch.sources import config, exports, feeds, schemas, sinks
 from tidewatch.streaming import cycle
 
-from .bindings import AS_OF_SQL, table
+from .bindings import table
 from .registry import query
 
 
@@ -106,23 +107,34 @@ def article_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _folder(spark, "lists")
     url = F.when(F.col("c_custkey") % 4 == 0, " ").otherwise(F.concat(F.lit("https://c/"), F.col("c_custkey").cast("string")))
     one = F.struct(url.alias("url"), F.concat(F.lit("  "), F.col("c_name")).alias("title"), F.lit("20240603T102030Z").alias("seendate"), F.col("c_mktsegment").alias("domain"))
-    rows = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 8).alias("reply"), one.alias("a"))
-    replies = rows.groupBy("reply").agg(F.collect_list("a").alias("articles")).select(F.to_json(F.struct("articles")))  # a file is a reply, of bounded size
-    replies.repartition(8).write.text(at)
+    rows = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 1000).alias("reply"), one.alias("a"))
+    replies = rows.groupBy("reply").agg(F.collect_list("a").alias("articles")).select("reply", F.to_json(F.struct("articles")).alias("value"))  # 1,000 at the most in a reply, and a reply a file
+    replies.write.partitionBy("reply").text(at)
     return feeds.article_lists(spark, at).withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
 
 
-@query("SELECT range::VARCHAR AS url, 's' || (range // 20) AS source FROM range(70)")
+@query("SELECT p_partkey::VARCHAR AS url, p_brand AS source FROM part")
 def paged_service(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A paged service, read until a short page."""
-    spark.dataSource.register(feeds.paged_source("pages_of_numbers", lambda page: [(f"s{page}", str(i)) for i in range(20 * page, min(70, 20 * page + 20))], "source string, url string"))
-    return spark.read.format("pages_of_numbers").option("per_page", "20").load().select("url", "source")
+    """Parts as a service that gives 100 rows a page; how many pages there are is found by doubling and halving, then each is a partition."""
+    at = _folder(spark, "paged")
+    rows = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 100).alias("page"), F.concat_ws("\t", "p_brand", F.col("p_partkey").cast("string")).alias("value"))
+    rows.repartition(8, "page").write.partitionBy("page").text(at)
 
+    def fetch(page: int) -> list[tuple]:
+        folder = pathlib.Path(at.removeprefix("file:"), f"page={page}")
+        return [tuple(x.split("\t")) for part in sorted(folder.glob("part-*")) for x in part.read_text().splitlines()]
 
-@query("SELECT year::INTEGER AS year, greatest(make_date(year, 1, 1), DATE '2021-05-01') AS since, least(make_date(year, 12, 31), DATE '2023-06-02') AS until FROM range(2021, 2024) t(year)")
+    spark.dataSource.register(feeds.paged_source("pages_of_parts", fetch, "source string, url string"))
+    full = feeds.last_page(lambda page: len(fetch(page)) >= 100)
+    return spark.read.format("pages_of_parts").option("per_page", "100").option("pages", str(full + 1)).load().select("url", "source")
+
+
+@query("""WITH c AS (SELECT o_custkey, min(o_orderdate)::DATE AS since, max(o_orderdate)::DATE AS until FROM orders GROUP BY 1)
+ SELECT o_custkey, y::INTEGER AS year, greatest(since, make_date(y, 1, 1)) AS since, least(make_date(y, 12, 31), until - 365) AS until FROM c, LATERAL (SELECT unnest(range(year(since), year(until - 365) + 1)) AS y) WHERE since <= until - 365""")
 def year_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calendar-year pieces of a historical range, up to a delay before its end."""
-    return spark.createDataFrame([(a.year, a, b) for a, b in feeds.years(datetime(2021, 5, 1).date(), datetime(2024, 6, 1).date())], "year int, since date, until date")
+    """Calendar-year pieces of each customer's history, up to a delay before its end."""
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("since"), F.to_date(F.max("o_orderdate")).alias("until"))
+    return feeds.year_pieces(rows, "since", "until").select("o_custkey", "year", F.col("first").alias("since"), F.col("last").alias("until"))
 
 
 @query("""SELECT o_orderkey::VARCHAR AS url, 'y' || year(o_orderdate) AS source FROM orders WHERE o_orderdate >= TIMESTAMP '1993-03-01' AND o_orderdate < TIMESTAMP '1997-08-01'""")
@@ -156,23 +168,30 @@ def resolved_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.resolve(rows, "at", resolver).select("page_id", "canonical_url")
 
 
-@query("SELECT '(' || string_agg(CASE WHEN contains(n_name, ' ') THEN '\"' || n_name || '\"' ELSE n_name END, ' OR ' ORDER BY n_nationkey) || ') lang:x' AS q FROM nation")
+@query("""SELECT r_name, '(' || string_agg(CASE WHEN contains(t, ' ') THEN '"' || t || '"' ELSE t END, ' OR ' ORDER BY n_nationkey) || ') lang:x' AS q
+ FROM (SELECT *, CASE WHEN n_nationkey % 2 = 0 THEN replace(n_name, '_', ' ') ELSE n_name END AS t FROM nation) JOIN region ON r_regionkey = n_regionkey GROUP BY 1""")
 def boolean_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query of terms, phrases quoted."""
-    from tidewatch.functions.text import search_query
+    """A query of the names of each region's nations, phrases quoted."""
+    from tidewatch.functions.text import search_query_of
 
-    names = [r.n_name for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]  # a list of keywords
-    return spark.createDataFrame([(search_query(names, "lang:x"),)], "q string")
+    name = F.when(F.col("n_nationkey") % 2 == 0, F.replace("n_name", F.lit("_"), F.lit(" "))).otherwise(F.col("n_name"))
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    terms = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", name.alias("t")))), lambda x: x["t"])  # a list of keywords
+    return rows.groupBy("r_name").agg(search_query_of(terms, "lang:x").alias("q"))
 
 
-@query(f"SELECT 'r' || event_id AS run_id, event_id::BIGINT AS found, {AS_OF_SQL} AS finished FROM (SELECT DISTINCT event_id FROM events WHERE event_id < 3)")
+@query("""SELECT 'm' || strftime(o_orderdate, '%Y-%m') AS run_id, count(*) AS found, count(DISTINCT o_custkey) AS customers, max(o_orderdate) AS finished FROM orders GROUP BY 1""")
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2: the run log, appended to and read back."""
+    """K2: a run for each month of orders, appended to the log in two goes and read back."""
     at = _folder(spark, "runs")
-    for n in range(3):
-        sinks.append_run(spark, at, f"r{n}", datetime(2024, 1, 30), datetime(2024, 1, 31), {"mode": "full"}, {"found": n})
+    rows = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("m"), F.date_format("o_orderdate", "yyyy-MM")).alias("run_id")).agg(
+        F.min("o_orderdate").alias("started_at"), F.max("o_orderdate").alias("finished_at"), F.map_from_arrays(F.array(F.lit("mode")), F.array(F.lit("full"))).alias("config"),
+        F.map_from_arrays(F.array(F.lit("found"), F.lit("customers")), F.array(F.count("*"), F.count_distinct("o_custkey"))).alias("metrics"),
+    )
+    for part in ("run_id < 'm1995'", "run_id >= 'm1995'"):
+        sinks.append_runs(rows.where(part), at)
     rows = spark.read.schema(schemas.RUN).parquet(at)
-    return rows.select("run_id", F.col("metrics")["found"].alias("found"), F.col("finished_at").cast("timestamp_ntz").alias("finished"))
+    return rows.select("run_id", F.col("metrics")["found"].alias("found"), F.col("metrics")["customers"].alias("customers"), F.col("finished_at").cast("timestamp_ntz").alias("finished"))
 
 
 @query("SELECT o_orderkey AS event_id, o_orderpriority AS channel FROM orders WHERE o_orderstatus = 'F'")
@@ -185,25 +204,21 @@ def exported_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lower(n_name) AS name, n_nationkey::INTEGER AS ord, n_nationkey / 4.0::DOUBLE AS lat, -n_nationkey / 2.0::DOUBLE AS lon FROM nation")
 def gazetteer_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A gazetteer of a settings file, which the driver reads; names in lower case, in the file's order."""
-    import os
-    import tempfile
-
-    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # settings are small
-    with tempfile.TemporaryDirectory() as d:
-        with open(os.path.join(d, "places.yml"), "w", encoding="utf-8") as f:
-            f.writelines(f'"{r.n_name}": {{lat: {r.n_nationkey / 4}, lon: {-r.n_nationkey / 2}}}\n' for r in rows)
-        return config.gazetteer(spark, os.path.join(d, "places.yml")).select("name", "ord", "lat", "lon")
+    """A gazetteer of settings that workers write, in files by order; names in lower case, in the files' order."""
+    at, key = _folder(spark, "places"), F.col("n_nationkey")
+    line = F.concat(F.lit('"'), "n_name", F.lit('": {lat: '), (key / 4).cast("string"), F.lit(", lon: "), (-key / 2).cast("string"), F.lit("}"))
+    table(spark, sf_dir, "nation").orderBy("n_nationkey").select(line.alias("value")).write.text(at)
+    return config.gazetteer(spark, at, shared=True).select("name", "ord", "lat", "lon")
 
 
-@query("SELECT k AS keyword, g AS grp FROM (VALUES ('one', 'a'), ('two three', 'a'), ('four', 'b')) t(k, g)")
+@query("""SELECT k.w AS keyword, k.g AS grp, (SELECT count(*) FROM documents WHERE contains(strip_accents(lower(coalesce(text, ''))), k.w)) AS hits FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS w, left(p_name, 1) AS g FROM part) k""")
 def keyword_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword groups of a settings file."""
-    import os
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as d:
-        with open(os.path.join(d, "words.yml"), "w", encoding="utf-8") as f:
-            f.write("# words\na:\n  - one\n  - 'two three'\n\nb:\n  - four # last\n")
-        groups = config.keyword_groups(os.path.join(d, "words.yml"))
-    return spark.createDataFrame([(k, g) for g, own in groups.items() for k in own], "keyword string, grp string")
+    """Keyword groups of settings that workers write, a file a group; how many documents have each keyword."""
+    at, word = _folder(spark, "words"), F.split_part("p_name", F.lit(" "), F.lit(1))
+    names = table(spark, sf_dir, "part").select(F.left("p_name", F.lit(1)).alias("g"), word.alias("w")).distinct()
+    lines = names.groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list("w")), lambda w: F.concat(F.lit("  - '"), w, F.lit("'  # word"))), "\n").alias("own"))
+    lines.select(F.concat(F.lit("# words\n"), "g", F.lit(":\n"), "own").alias("value")).write.text(at)
+    groups = [(k, g) for g, own in config.keyword_groups(at, spark).items() for k in own]
+    hits = lookups.keyword_hits(table(spark, sf_dir, "documents"), "doc_id", "text", [k for k, _ in groups]).groupBy("keyword").agg(F.count("*").alias("hits"))
+    rows = spark.createDataFrame(groups, "keyword string, grp string").join(hits, "keyword", "left")
+    return rows.select("keyword", "grp", F.coalesce("hits", F.lit(0)).alias("hits"))

@@ -220,10 +220,12 @@ def validate_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.array_join("errors", " ").alias("errors"))
 
 
-@query("SELECT 'ok' AS status")
+@query("""SELECT 'engine' AS name, 'ok' AS status UNION ALL SELECT 'orders', CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END FROM orders
+ UNION ALL SELECT 'lineitem', CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END FROM lineitem UNION ALL SELECT 'late', CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END FROM orders WHERE o_orderdate > DATE '2100-01-01'""")
 def health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F30."""
-    return config.health(spark)
+    """whether the engine and its tables answer, a row each."""
+    orders = table(spark, sf_dir, "orders")
+    return config.health(spark, orders=orders, lineitem=table(spark, sf_dir, "lineitem"), late=orders.where("o_orderdate > '2100-01-01'"))
 
 
 @query(f"""WITH {EVENTS_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY last_seen DESC NULLS LAST, event_id) AS r FROM events_)

@@ -13,18 +13,26 @@ from pyspark.sql import functions as F
 MOST_CHARS = 32 << 20
 
 
-def _lines(path: str):
-    with open(path, encoding="utf-8") as f:
-        for line in f:
-            bare = re.sub(r"(^|\s)#.*$", "", line.rstrip("\n"))
-            if bare.strip():
-                yield bare
-
-
-def keyword_groups(path: str) -> dict[str, list[str]]:
+def _lines(path: str, spark: SparkSession | None = None, most: int = MOST_CHARS):
+    """The lines of a settings file without comments: of the driver's, or, with a session, of a file or folder that workers share, by name, of so many characters."""
+    if spark is None:
+        with open(path, encoding="utf-8") as f:
+            texts = [f.read()]
+    else:
+        files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("at"), "value")
+        if (files.agg(F.sum(F.length("value"))).first()[0] or 0) > most:
+            raise ValueError(f"{path} has over {most} characters")
+        texts = [r.value for r in sorted(files.collect())]
+    for line in (line for text in texts for line in text.split("\n")):
+        bare = re.sub(r"(^|\s)#.*$", "", line.rstrip("\r"))
+        if bare.strip():
+            yield bare
+
+
+def keyword_groups(path: str, spark: SparkSession | None = None) -> dict[str, list[str]]:
     """Groups of a file of `group:` lines followed by `- keyword` lines."""
     groups: dict[str, list[str]] = {}
-    for line in _lines(path):
+    for line in _lines(path, spark):
         if line.lstrip().startswith("- "):
             groups[next(reversed(groups))].append(line.strip()[2:].strip().strip("\"'"))
         else:
@@ -36,10 +44,10 @@ def keywords(path: str) -> list[str]:
     return [k for group in keyword_groups(path).values() for k in group]
 
 
-def gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, name, lat, lon) of a file of `"Name": {lat: x, lon: y}` lines; names in lower case, in file order."""
+def gazetteer(spark: SparkSession, path: str, shared: bool = False) -> DataFrame:
+    """(ord, name, lat, lon) of a file of `"Name": {lat: x, lon: y}` lines; names in lower case, in file order. shared: whether workers see the path."""
     rows = []
-    for line in _lines(path):
+    for line in _lines(path, spark if shared else None):
         m = re.match(r"""["']?(.+?)["']?\s*:\s*\{\s*lat:\s*([-\d.]+)\s*,\s*lon:\s*([-\d.]+)\s*\}""", line.strip())
         if m:
             rows.append((len(rows), m[1].lower(), float(m[2]), float(m[3])))
@@ -80,5 +88,12 @@ def existing(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return ids.join(df.select(key), key, "left_semi")
 
 
-def health(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.lit("ok").alias("status"))
+def health(spark: SparkSession, **tables: DataFrame) -> DataFrame:
+    """(name, status) of the engine and of each table: ok, empty, or down where it can't be read."""
+    found = {"engine": "ok"}
+    for name, df in tables.items():
+        try:
+            found[name] = "empty" if df.isEmpty() else "ok"
+        except Exception:  # whatever it is, the table gives no rows
+            found[name] = "down"
+    return spark.createDataFrame(list(found.items()), "name string, status string")

@@ -180,6 +180,16 @@ def years(since: date, until: date, delay_days: int = 365) -> list[tuple[date, d
     return [(max(since, date(y, 1, 1)), min(end, date(y, 12, 31))) for y in range(since.year, end.year + 1) if since <= end]
 
 
+def year_pieces(df: DataFrame, since: str, until: str, delay_days: int = 365) -> DataFrame:
+    """df with year, first and last: a row for each calendar-year piece of a row's own range (days), which ends a delay before its end; a range
+    that is shorter than the delay, or has no bounds, has none."""
+    end = F.date_sub(F.col(until), delay_days)
+    year = F.explode(F.when(F.col(since) <= end, F.sequence(F.year(since), F.year(end))))
+    rows = df.withColumn("year", year)
+    day = lambda month, of: F.make_date("year", F.lit(month), F.lit(of))
+    return rows.withColumns({"first": F.greatest(F.col(since), day(1, 1)), "last": F.least(end, day(12, 31))})
+
+
 def paged_source(name: str, fetch: Callable[[int], list[tuple]], schema: str = RAW) -> type[DataSource]:
     """A paged service as a source to register. fetch takes a page number and returns its rows.
 
