@@ -162,8 +162,9 @@ def _run(stream: DataFrame, mode: str = "append") -> DataFrame:
 @query("""WITH w AS (SELECT event_type, unnest(range(time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 13 DAY, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS start FROM events)
  SELECT strftime(start, '%Y-%m-%d') AS start, event_type, count(*) AS count FROM w GROUP BY ALL""")
 def stream_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in sliding windows of 14 days."""
-    rows = _run(cycle.sliding_counts(_stream(spark, sf_dir), "ts", "0 seconds", "14 days", "1 day", "event_type"), "complete")
+    """Rows in sliding windows of 14 days; the stream counts days, which are added."""
+    days = _run(cycle.step_counts(_stream(spark, sf_dir), "ts", "0 seconds", "1 day", "event_type"), "complete")
+    rows = cycle.slid(days, "14 days", "1 day", "event_type")
     return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("start"), "event_type", "count")
 
 
