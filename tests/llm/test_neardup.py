@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+from pyspark.sql import functions as F
 from tidewatch.llm import neardup
 
 
@@ -63,3 +65,39 @@ def test_joined_texts_and_common_order_change_nothing(spark, monkeypatch):
     texts = planted()
     kept = neardup.one_of_each(spark.createDataFrame(texts, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(survivors(texts))
+
+
+def fingerprint(text):
+    """By definition: a bit is set if it is in over half of the distinct shingles' hashes."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    _, key = neardup.shingles(data, np.array([0, len(data)]))
+    hashes = neardup.mix(key).tolist()
+    return sum((2 * sum(h >> k & 1 for h in hashes) > len(hashes)) << k for k in range(64))
+
+
+def test_trees_of_fingerprints_link_the_near_ones_without_any_band(spark, monkeypatch):
+    texts = planted()
+    sets = {i: sets_of(t) for i, t in texts if sets_of(t)}
+    prints = {i: fingerprint(t) for i, t in texts if i in sets}
+    far = lambda i, j: (prints[i] ^ prints[j]).bit_count()
+    group = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and far(i, j) <= 4 and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = neardup.cut(neardup.described(docs, 5))
+    of = dict(rows.where("n > 0").select("id", "doc_id").collect())
+    met = {}
+    for r in neardup.tree_buckets(rows.where("sketch is not null")).collect():
+        met.setdefault(r.key, set()).add(frozenset(sets[of[r.id]]))
+    want = {}
+    for i, g in group.items():
+        want.setdefault(g, set()).add(frozenset(sets[i]))
+    assert sorted(map(sorted, ([sorted(x) for x in m] for m in met.values()))) == sorted(map(sorted, ([sorted(x) for x in m] for m in want.values() if len(m) > 1)))
+    monkeypatch.setattr(neardup, "band_buckets", lambda sets: sets.select(F.lit(0).cast("long").alias("key"), "id").limit(0))
+    kept = {r.doc_id for r in neardup.one_of_each(docs).collect()}
+    near = {i for i in sets for j in sets if j < i and group[i] == group[j] and 0.8 <= similarity(sets[i], sets[j]) < 1}
+    assert survivors(texts) < kept and len(near) > 10 and not near & kept
+    assert all(any(j < i and (i not in sets or group[i] == group[j]) for j in range(i)) for i, _ in texts if i not in kept)

@@ -1,13 +1,16 @@
-"""The pipeline's near-duplicate stage: texts whose sets of shingles have a Jaccard similarity of LEAST or more, checked exactly.
+"""The pipeline's near-duplicate stage: SimHash fingerprints in vantage-point trees, checked exactly, and what lies beyond their radius.
 
-Vantage-point trees over 64-bit fingerprints cannot do this: at similarity 0.8 about 10 bits differ, and at a radius
-that holds such pairs a tree prunes nothing. So candidates come from min-hashes. A set's sketch has one byte for each of
-SKETCH hash functions, that of its smallest shingle; two sets agree in a byte about as often as they are alike. Sets that
-agree in all ROWS bytes of one of BANDS bands are compared: sizes, then the agreement of sketches, then the sets on
-their texts. At the similarity itself a pair is in no common band with a probability of 5e-6, and agrees in fewer than
-AGREE bytes with one of 7e-6; both fall fast above it. Nothing is dropped otherwise.
+Texts are alike whose sets of shingles have a Jaccard similarity of LEAST or more. First each set has its SimHash fingerprint, and
+operator 2's trees link fingerprints of RADIUS bits or fewer; the sets that these links connect are a bucket. At similarity 0.8
+about 10 bits differ, and at a radius that holds such pairs a tree prunes nothing. So what is still apart is looked for by
+min-hashes, too. A set's sketch has one byte for each of SKETCH hash functions, that of its smallest shingle; two sets agree
+in a byte about as often as they are alike. Sets that agree in all ROWS bytes of one of BANDS bands are a bucket.
 
-Of the sets in a bucket all are compared with one first, the one that meets most others over all its buckets; what these links
+Sets of a bucket are compared: sizes, then the agreement of sketches, then the sets on their texts. At the similarity itself
+a pair is in no common band with a probability of 5e-6, and agrees in fewer than AGREE bytes with one of 7e-6; both fall fast
+above it. Nothing is dropped otherwise.
+
+Of the sets in a bucket all are compared with one first, the one that meets most others over all its buckets; what links
 connect needs no more comparisons. Buckets that are still apart compare their smaller parts with all, in cells of
 bounded size, and only the pairs that pass the sketches leave a cell. This is quadratic in the sets of a bucket
 that are neither alike nor far apart.
@@ -22,17 +25,22 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.dedup import components as connected
 
+from . import simhash
 from .shared import arrow_schema, as_batch, cut, mapped, passes, row_key, row_sig, utf8
 from .words import U, Words, among, mix, prefix, spans_hash, window_hash
 
 WIDTH, LEAST = 5, 0.8
+#: Bits in which fingerprints that the trees link differ, at most.
+RADIUS = simhash.RADIUS
 #: Bands and bytes in each, all bytes of a sketch, and the fewest that two sets of LEAST agree in.
 BANDS, ROWS, SKETCH, AGREE = 40, 6, 480, 347
+#: The lowest bits of a bucket's key name its band, or the trees.
+TREES = 63
 #: Texts of candidate pairs whose keys are sent to all workers to pick them out, at most; beyond, they are joined.
 BROADCAST = 2_000_000
 #: Sets of a bucket in one part; cells compare two parts.
@@ -90,8 +98,8 @@ def needed(n: np.ndarray, least: float) -> np.ndarray:
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, sig, id, n, sketch) of every row: its set's hash, size and sketch; a task gives a set's sketch once."""
-    schema = "doc_id long, sig long, id long, n long, sketch binary"
+    """(doc_id, sig, id, n, fp, sketch) of every row: its set's hash, size, fingerprint and sketch; a task gives the last two of a set once."""
+    schema = "doc_id long, sig long, id long, n long, fp long, sketch binary"
     arrow = arrow_schema(schema)
 
     def run(batches):
@@ -106,23 +114,23 @@ def described(docs: DataFrame, width: int) -> DataFrame:
                         seen.add(x)
                         new[k] = True
                 keep = new[doc]
-                bytes_of = sketches((np.cumsum(new) - 1)[doc[keep]], key[keep], int(new.sum()))
+                of = (np.cumsum(new) - 1)[doc[keep]]
+                bytes_of = sketches(of, key[keep], int(new.sum()))
+                fp = np.zeros(j - i, np.uint64)
+                fp[new] = simhash.majority(of, mix(key[keep]), n[new])
                 held: list[bytes | None] = [None] * (j - i)
                 for k, row in zip(np.flatnonzero(new).tolist(), bytes_of, strict=True):
                     held[k] = row.tobytes()
                 rows = batch.slice(i, j - i)
-                yield as_batch([rows.column(0), rows.column(2), ids.view(np.int64), n, held], arrow)
+                yield as_batch([rows.column(0), rows.column(2), ids.view(np.int64), n, pa.array(fp.view(np.int64), mask=~new), held], arrow)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_sig().alias("sig")).mapInArrow(run, schema)
 
 
-def shared_buckets(sets: DataFrame) -> DataFrame:
-    """(key, id) of the buckets that several sets are in, each once; sets may be repeated."""
+def shared(rows: DataFrame) -> DataFrame:
+    """(key, id) of the rows (key, id) whose key several ids have, each once."""
     schema = "key long, id long"
     arrow = arrow_schema(schema)
-    bits = lambda k: F.xxhash64(k, F.substring("sketch", k * ROWS + 1, F.lit(ROWS)))
-    band = lambda k: bits(k).bitwiseAND(F.lit(-64)).bitwiseOR(k.cast("long"))  # noqa: E731  the lowest bits name the band
-    rows = sets.where("n > 0").select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("key"), "id")
 
     def run(batches):
         held = np.zeros((2, 0), np.int64)
@@ -148,6 +156,26 @@ def shared_buckets(sets: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, schema)
 
 
+def tree_buckets(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(key, id) of sets whose fingerprints are linked within the radius, directly or through others, each once; sets may be repeated."""
+    sets = sets.where("n > 0")
+    roots = connected(simhash.shard_edges(cut(sets.select("fp").distinct()), radius), checkpoint=cut)
+    placed = sets.select("fp", "id").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return shared(placed.select(_key(F.xxhash64(F.coalesce("root", "fp")), TREES), "id"))
+
+
+def band_buckets(sets: DataFrame) -> DataFrame:
+    """(key, id) of the sets that have a band in common with another, each once; sets may be repeated."""
+    band = lambda k: _key(F.xxhash64(k, F.substring("sketch", k * ROWS + 1, F.lit(ROWS))), k)
+    return shared(sets.where("n > 0").select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("key"), "id"))
+
+
+def _key(bits: Column, name: Column | int) -> Column:
+    """A bucket's key: bits, of which the lowest name the band."""
+    name = F.lit(name) if isinstance(name, int) else name
+    return bits.bitwiseAND(F.lit(-64)).bitwiseOR(name.cast("long")).alias("key")
+
+
 def _square(column: pa.Array) -> np.ndarray:
     """The sketches of a column as rows of bytes."""
     return utf8(column)[0].reshape(-1, SKETCH)
@@ -248,9 +276,9 @@ def compared(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 a, b = i[k : k + 4096], j[k : k + 4096]
                 same = sketch[a] == sketch[b]
                 near = np.flatnonzero(same.sum(axis=1) >= AGREE)
-                # Of the bands that both are in, the first gives the pair out.
-                first = same[near, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-                near = near[first == (key[a[near]] & 63)]
+                # Of the bands that both are in, the first gives the pair out; under the trees a set is in one bucket.
+                first, band = same[near, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1), key[a[near]] & 63
+                near = near[(first == band) | (band == TREES)]
                 a, b = a[near], b[near]
                 if len(a):
                     first, last = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
@@ -280,24 +308,41 @@ def compared(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return full.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, schema)
 
 
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different roots."""
+    of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def joined(docs: DataFrame, several: DataFrame, sets: DataFrame, edges: DataFrame | None, width: int, least: float) -> DataFrame:
+    """edges, if any, and those (a, b) between alike sets of a bucket that connect what edges leave apart."""
+    roots_of = lambda edges: cut(connected(edges, checkpoint=cut).withColumnRenamed("node", "id"))
+    first = cut(apart(stars(several), roots_of(edges)) if edges else stars(several))
+    found = alike(docs, likely(first, sets, least), width, least)
+    edges = cut(edges.union(found) if edges else found)
+    rest = compared(cells(several, roots_of(edges)), sets, least)
+    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return cut(edges.union(alike(docs, rest.join(known, ["a", "b"], "left_anti"), width, least)))
+
+
 def links(docs: DataFrame, rows: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """(a, b) edges between the sets of rows (described() of docs), each alike, whose components are those of all that are alike."""
     given = rows.where("sketch is not null")
-    several = cut(shared_buckets(given))
-    sets = cut(given.join(several.select("id").distinct(), "id", "left_semi").select("id", "n", "sig", "sketch").dropDuplicates(["id"]))
-    first = cut(stars(several))
-    edges = cut(alike(docs, likely(first, sets, least), width, least))
-    roots = cut(connected(edges, checkpoint=cut)).withColumnRenamed("node", "id")
-    rest = compared(cells(several, roots), sets, least)
-    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return edges.union(alike(docs, rest.join(known, ["a", "b"], "left_anti"), width, least))
+    buckets = [cut(tree_buckets(given)), cut(band_buckets(given))]
+    some = buckets[0].union(buckets[1]).select("id").distinct()
+    sets = cut(given.join(some, "id", "left_semi").select("id", "n", "sig", "sketch").dropDuplicates(["id"]))
+    edges = None
+    for several in buckets:
+        edges = joined(docs, several, sets, edges, width, least)
+    return edges
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """The rows of docs that stay: of each group of texts linked by the similarity the row with the smallest doc_id, repeated rows once."""
     rows = cut(described(docs, width))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("first")
-    roots = connected(cut(links(docs, rows, width, least)), checkpoint=cut).withColumnRenamed("node", "id")
+    roots = connected(links(docs, rows, width, least), checkpoint=cut).withColumnRenamed("node", "id")
     placed = rows.groupBy("id").agg(first).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     stay = placed.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.sig")
     stay = stay.select(row_key(F.col("sig")).alias("__key"))

@@ -39,6 +39,16 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+def majority(of: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The 64-bit fingerprints of texts that have so many hashes, of which `of` names the text: a bit is set if it is in over half of them."""
+    ones = np.zeros((len(counts), 64))
+    if len(hashes):
+        for k, byte in enumerate(hashes.view(np.uint8).reshape(-1, 8).T):
+            seen = np.bincount(of * 256 + byte, minlength=256 * len(counts)).reshape(-1, 256)
+            ones[:, 8 * k : 8 * k + 8] = seen @ _BITS
+    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
 def fingerprints(texts: list[bytes], width: int = SHINGLE) -> np.ndarray:
     """The 64-bit fingerprints of texts in UTF-8: a bit is set if it is in over half of the shingles' hashes."""
     hashes, counts, digest = [], np.zeros(len(texts), np.int64), xxhash.xxh64_intdigest
@@ -55,13 +65,7 @@ def fingerprints(texts: list[bytes], width: int = SHINGLE) -> np.ndarray:
         starts = [0, *ends[: len(words) - width].tolist()]
         hashes.extend([digest(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)])
         counts[i] = len(starts)
-    ones = np.zeros((len(texts), 64))
-    if hashes:
-        of = np.repeat(np.arange(len(texts)) * 256, counts)
-        for k, byte in enumerate(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8).T):
-            seen = np.bincount(of + byte, minlength=256 * len(texts)).reshape(-1, 256)
-            ones[:, 8 * k : 8 * k + 8] = seen @ _BITS
-    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return majority(np.repeat(np.arange(len(texts)), counts), np.array(hashes, np.uint64), counts)
 
 
 def fingerprint_rows(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
