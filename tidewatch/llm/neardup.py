@@ -159,7 +159,8 @@ def shared(rows: DataFrame) -> DataFrame:
 def tree_buckets(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(key, id) of sets whose fingerprints are linked within the radius, directly or through others, each once; sets may be repeated."""
     sets = sets.where("n > 0")
-    roots = connected(simhash.shard_edges(cut(sets.select("fp").distinct()), radius), checkpoint=cut)
+    edges = cut(simhash.shard_edges(cut(sets.select("fp").distinct()), radius))  # else a task would hold a Python worker for the trees and one for the forest
+    roots = connected(edges, checkpoint=cut)
     placed = sets.select("fp", "id").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     return shared(placed.select(_key(F.xxhash64(F.coalesce("root", "fp")), TREES), "id"))
 
