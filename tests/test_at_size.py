@@ -3,10 +3,12 @@
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from tidewatch.plans import registry
+from tidewatch.operators import clustering
+from tidewatch.plans import enrichments, registry
 
 START = datetime(2024, 1, 1)
 
@@ -43,3 +45,18 @@ def test_users_idle_at_the_end_of_the_log(spark, tmp_path):
 
 def test_users_first_seen_far_apart(spark, tmp_path):
     same(spark, tmp_path, "stream_idle_gaps", events=log([(i, u, h, "view") for i, (u, h) in enumerate([(0, 0), (1, 1), (2, 90), (4, 300), (5, 700), (8, 719), (0, 719)])]))
+
+
+def test_copies_make_no_clusters_among_planted_vectors():
+    """Of few different vectors, many times each, only the tight groups are clusters that pass the gates, and each is whole."""
+    some = np.random.default_rng(1).standard_normal((3, 64))
+    some /= np.linalg.norm(some, axis=1, keepdims=True)
+    groups = np.arange(960) % enrichments._GROUPS
+    texts = [f"p{g}x {i} " + " ".join(f"{x:.5f}" for x in some[i // 16 % 3]) for i, g in enumerate(groups)]
+    x = np.array(enrichments._planted_vectors(texts))
+    labels, found = clustering.hdbscan_labels(x), []
+    for k in range(labels.max() + 1):
+        own, total = labels == k, x[labels == k].sum(axis=0)
+        if own.sum() >= 6 and (total @ total - (x[own] ** 2).sum()) / (own.sum() * (own.sum() - 1)) >= clustering.MIN_COHESION:
+            found.append((set(groups[own]), own.sum()))
+    assert found == [({g}, 60) for g in range(enrichments._TIGHT)]
