@@ -1,6 +1,7 @@
 """Tables made so that what seldom happens in small ones does happen: queries still give the rows of their SQL."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow.parquet as pq
 
 from tidewatch.operators import clustering
 from tidewatch.plans import enrichments, registry
+from tidewatch.session import shared_folder
+from tidewatch.sources import feeds
 
 START = datetime(2024, 1, 1)
 
@@ -60,3 +63,27 @@ def test_copies_make_no_clusters_among_planted_vectors():
         if own.sum() >= 6 and (total @ total - (x[own] ** 2).sum()) / (own.sum() * (own.sum() - 1)) >= clustering.MIN_COHESION:
             found.append((set(groups[own]), own.sum()))
     assert found == [({g}, 60) for g in range(enrichments._TIGHT)]
+
+
+def test_pages_of_a_long_history_share_partitions():
+    """All rows of all pages, in partitions of a few pages each where there are many."""
+    pages = {"2020": 901, "2021": 1, "2022": 310}
+
+    def fetch(since, until, page):
+        return [(since, f"{page}-{k}") for k in range(2)] if page < pages[since[:4]] else []
+
+    source = feeds.history_source("long_history", fetch, "source string, url string")({"since": "2020-02-01", "until": "2022-03-01", "per_page": "2"})
+    reader = source.reader(source.schema())
+    parts = reader.partitions()
+    rows = [r for p in parts for r in reader.read(p)]
+    assert feeds.PARTS <= len(parts) < 2 * feeds.PARTS and len(rows) == len(set(rows)) == 2 * sum(pages.values())
+
+
+def test_history_of_many_orders_a_day(spark, tmp_path):
+    n = 12_000
+    days = [datetime(1995 + i % 2, 1 + i % 11, 1 + i % 3) for i in range(n)]
+    orders = pa.table({"o_orderkey": pa.array(range(n), pa.int64()), "o_orderdate": pa.array(days, pa.timestamp("us"))})
+    files = lambda: set(Path(shared_folder(spark).removeprefix("file:")).glob("history-*/year=*/*/part-*"))
+    before = files()
+    assert len(same(spark, tmp_path, "paged_history", orders=orders)) == n
+    assert len(files() - before) == 4  # a file holds a hundred pages

@@ -139,16 +139,25 @@ def year_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey::VARCHAR AS url, 'y' || year(o_orderdate) AS source FROM orders WHERE o_orderdate >= TIMESTAMP '1993-03-01' AND o_orderdate < TIMESTAMP '1997-08-01'""")
 def paged_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as the history of a service that gives 50 rows a page: years, their pages found by doubling and halving, then all read at once."""
-    at = _folder(spark, "history")
-    year, day = F.year("o_orderdate").alias("year"), F.to_date("o_orderdate")
-    rows = table(spark, sf_dir, "orders").where((day >= "1993-03-01") & (day < "1997-08-01")).select(year, F.col("o_orderkey").cast("string").alias("value"), "o_orderdate", "o_orderkey")
-    order = F.row_number().over(Window.partitionBy("year").orderBy("o_orderdate", "o_orderkey")) - 1
-    rows.select("year", F.floor(order / 50).alias("page"), "value").repartition(8, "year", "page").write.partitionBy("year", "page").text(at)
+    """Orders as the history of a service that gives 50 rows a page: years, their pages found by doubling and halving, then all read at once.
+    The service keeps a hundred pages in a file, in lines of one length, and reads the bytes of the page that it is asked for."""
+    at, a_page, a_file, width = _folder(spark, "history"), 50, 100, 20
+    year, day = F.year("o_orderdate").alias("year"), F.to_date("o_orderdate").alias("day")
+    rows = table(spark, sf_dir, "orders").where((day >= "1993-03-01") & (day < "1997-08-01")).select(year, day, F.rpad(F.col("o_orderkey").cast("string"), width, " ").alias("value"), "o_orderdate", "o_orderkey")
+    earlier = Window.partitionBy("year").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy("year", "day").agg(F.count("*").alias("n")).select("year", "day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("year", "day").orderBy("o_orderdate", "o_orderkey")) - 1
+    rows = rows.join(F.broadcast(days), ["year", "day"]).select("year", place.alias("place"), "value")  # a row a day
+    rows = rows.withColumn("file", F.floor(F.col("place") / (a_page * a_file))).repartition("year", "file").sortWithinPartitions("year", "file", "place")
+    rows.select("year", "file", "value").write.partitionBy("year", "file").text(at)
 
     def fetch(since: str, until: str, page: int) -> list[tuple]:
-        folder = pathlib.Path(at.removeprefix("file:"), f"year={since[:4]}", f"page={page}")
-        return [(f"y{until[:4]}", x) for part in sorted(folder.glob("part-*")) for x in part.read_text().splitlines()]
+        folder = pathlib.Path(at.removeprefix("file:"), f"year={since[:4]}", f"file={page // a_file}")
+        for part in folder.glob("part-*"):  # one, if any
+            with open(part, "rb") as f:
+                f.seek(page % a_file * a_page * (width + 1))
+                return [(f"y{until[:4]}", x) for x in f.read(a_page * (width + 1)).decode().split()]
+        return []
 
     spark.dataSource.register(feeds.history_source("order_history", fetch, "source string, url string"))
     return spark.read.format("order_history").option("since", "1993-03-01").option("until", "1997-07-31").option("per_page", "50").load().select("url", "source")
