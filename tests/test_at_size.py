@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from tidewatch.operators import clustering
+from tidewatch.functions import automaton
+from tidewatch.operators import clustering, lookups
 from tidewatch.plans import enrichments, registry
 from tidewatch.session import shared_folder
 from tidewatch.sources import feeds
@@ -87,3 +88,20 @@ def test_history_of_many_orders_a_day(spark, tmp_path):
     before = files()
     assert len(same(spark, tmp_path, "paged_history", orders=orders)) == n
     assert len(files() - before) == 4  # a file holds a hundred pages
+
+
+def test_names_are_looked_for_in_their_order(spark, monkeypatch):
+    """A text that has one of the first names is not searched for later ones; equal names count once."""
+    monkeypatch.setattr(lookups, "SHARD", 400)
+    names = [(i, f"n{i:05d}", float(i), 0.0) for i in range(1500)]
+    again = [(5000 + i, f"n{i:05d}", -1.0, 0.0) for i in range(1500)]
+    table = spark.createDataFrame(again + names, "ord int, name string, lat double, lon double")
+    searched, first_of = [], automaton.first_of
+    monkeypatch.setattr(automaton, "first_of", lambda x, words: searched.append(len(words)) or first_of(x, words))
+    texts = [(i, f"N{99 - i:05d} n{i + 3:05d}") for i in range(50)]
+    got = {r.id: r.lat for r in lookups.first_in_text(spark.createDataFrame(texts, "id int, t string"), "t", table).collect()}
+    assert got == {i: float(min(99 - i, i + 3)) for i, _ in texts} and len(searched) == 1
+    searched.clear()
+    late = [(100, "n01499 n01400"), (101, "none"), (102, None)]
+    got = {r.id: r.lat for r in lookups.first_in_text(spark.createDataFrame(texts + late, "id int, t string"), "t", table).collect()}
+    assert got == {**{i: float(min(99 - i, i + 3)) for i, _ in texts}, 100: 1400.0, 101: None, 102: None} and sum(searched) == 1500
