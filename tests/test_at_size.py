@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tidewatch.functions import automaton
-from tidewatch.operators import clustering, lookups
+from tidewatch.operators import clustering, lookups, quantised
 from tidewatch.plans import enrichments, registry
 from tidewatch.session import shared_folder
 from tidewatch.sources import feeds
@@ -105,3 +105,17 @@ def test_names_are_looked_for_in_their_order(spark, monkeypatch):
     late = [(100, "n01499 n01400"), (101, "none"), (102, None)]
     got = {r.id: r.lat for r in lookups.first_in_text(spark.createDataFrame(texts + late, "id int, t string"), "t", table).collect()}
     assert got == {**{i: float(min(99 - i, i + 3)) for i, _ in texts}, 100: 1400.0, 101: None, 102: None} and sum(searched) == 1500
+
+
+def test_a_whole_search_makes_no_candidates(spark, tmp_path, monkeypatch):
+    """Where all rows are kept, a query has no row for each of them: it leaves a block with its nearest ones."""
+    x = np.random.default_rng(5).standard_normal((300, 8)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<float>")
+    index = quantised.create(rows, "id", "v", str(tmp_path / "index"), buckets=2)
+    index.remove(rows.where("id % 7 = 0").select("id"))
+    monkeypatch.setattr(quantised.Stored, "candidates", lambda *args: 1 / 0)
+    found = index.search(rows.where("id < 20"), "id", "v", 5, len(index.model.centres), 1 << 30, (64, 8)).collect()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    left = [i for i in range(300) if i % 7]
+    want = {(q, i) for q in range(20) for i in sorted(left, key=lambda i, q=q: (-np.round(unit[q] @ unit[i], 9), i))[:5]}
+    assert {(r["query"], r["id"]) for r in found} == want

@@ -141,8 +141,12 @@ class Stored:
 
     def search(self, queries: DataFrame, key: str, vector: str, k: int = 10, probes: int | None = None, keep: int | None = None, sizes: tuple[int, int] = (nearest.ROWS, nearest.QUERIES)) -> DataFrame:
         """(query, key, similarity): the k nearest rows of each query among its candidates, rounded to 9 places, the smaller key first on ties.
-        With all cells looked at and all rows kept it is exact."""
-        name = self.rows.key
+        With all cells looked at and all rows kept it is exact. Where as many rows are kept as there are, codes would choose nothing: vectors are compared
+        where blocks of rows and queries meet, and a query leaves each with its k best only."""
+        name, model = self.rows.key, self.model
+        if (keep := keep or model.keep) > nearest.ROWS and keep >= self.rows.read("cell").count():
+            whole = nearest.Index(self.rows.read("cell", "v"), name, model.centres, model.probes)
+            return nearest.search(whole, queries, key, vector, k, probes, sizes)
         pairs = dedup.checkpointed(self.candidates(queries, key, vector, probes, keep, sizes))
         asked = nearest._vectors(queries, key, vector).select(F.col(key).alias("query"), F.col("v").alias("__q"))
         both = pairs.join(self.rows.read("v"), name).join(asked, "query")
