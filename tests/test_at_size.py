@@ -119,3 +119,14 @@ def test_a_whole_search_makes_no_candidates(spark, tmp_path, monkeypatch):
     left = [i for i in range(300) if i % 7]
     want = {(q, i) for q in range(20) for i in sorted(left, key=lambda i, q=q: (-np.round(unit[q] @ unit[i], 9), i))[:5]}
     assert {(r["query"], r["id"]) for r in found} == want
+
+
+def test_pages_of_the_collection_lie_in_small_files(spark, tmp_path):
+    """What a call to the service reads does not grow with the number of pages."""
+    n = 6_600
+    pages = pa.table({"page_id": pa.array(range(n), pa.int64()), "html": [f"<p>text of page {i} that is long enough to be kept, and has a table of {i * 7} rows</p>" for i in range(n)]})
+    files = lambda: set(Path(shared_folder(spark).removeprefix("file:")).glob("bodies-*/bin=*/part-*"))
+    before = files()
+    assert len(same(spark, tmp_path, "collected_articles", pages=pages)) > n / 3
+    lines = [f.read_text().count("\n") for f in files() - before]
+    assert sum(lines) == n and max(lines) <= 64
