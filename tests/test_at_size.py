@@ -130,3 +130,15 @@ def test_pages_of_the_collection_lie_in_small_files(spark, tmp_path):
     assert len(same(spark, tmp_path, "collected_articles", pages=pages)) > n / 3
     lines = [f.read_text().count("\n") for f in files() - before]
     assert sum(lines) == n and max(lines) <= 64
+
+
+def test_blocks_of_density_clusters_are_written_once(spark):
+    """However many blocks a group has, each stage writes a row once; labels are those of all points at once."""
+    x = np.random.default_rng(8).standard_normal((300, 4)).round(2)
+    x[100:] += 10 * (np.arange(200)[:, None] % 5)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "article_id int, embedding array<double>")
+    folders = lambda: set(Path(shared_folder(spark).removeprefix("file:")).glob("blocks-*"))
+    before = folders()
+    found = {r.article_id: r.cluster_id for r in clustering.hdbscan(rows, block=32).collect()}
+    assert [found[i] for i in range(300)] == clustering.hdbscan_labels(x).tolist()
+    assert [sum(pq.ParquetFile(f).metadata.num_rows for f in at.rglob("*.parquet")) for at in folders() - before] == [300, 300]
